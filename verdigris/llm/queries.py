@@ -67,8 +67,8 @@ with recursive words as (
   select distinct doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') as s
   from words, unnest(generate_series(1, len(w) - least(len(w), 5) + 1)) as g(i) where len(w) > 0
 ), sizes as (select doc_id, count(*) as n from shingles group by 1),
-common as (select a.doc_id as a, b.doc_id as b, count(*) as both from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
-links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * both >= 75 * (x.n + y.n - both)),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as shared from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * shared >= 75 * (x.n + y.n - shared)),
 reach as (select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a),
 least_id as (select a as doc_id, min(b) as low from reach group by 1)
 select doc_id, coalesce(n, 0)::bigint as n_shingles, least(doc_id, coalesce(low, doc_id)) as component_id, doc_id = least(doc_id, coalesce(low, doc_id)) as kept
@@ -77,8 +77,8 @@ from words left join sizes using (doc_id) left join least_id using (doc_id)
 
 OP3_SQL = """
 with good as (
-  select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as v from embeddings
-  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scores as (
   select q.vec_id as query_id, c.vec_id as vec_id, list_dot_product(q.v, c.v)::bigint as score
   from good q join good c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
