@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hex_crc32, table
 from .decontaminate import contamination
 from .neardup import near_duplicates
 from .packing import packed
+from .pii import pseudonymized
 from .sharding import sharded
 from .topk import top_products
+from .toxicity import toxicity
+
+#: For these queries only; whoever runs the operator brings a secret one.
+PSEUDONYM_KEY = "demonstration key"
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +34,13 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its pseudonymised text, the number of replaced values, and their kinds and pseudonyms in order."""
+    found = pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    names = lambda part: F.array_join(F.transform("findings", lambda f: f[part]), "\n")
+    return found.select("doc_id", "text", F.size("findings").cast("bigint").alias("n_values"), names("kind").alias("kinds"), names("pseudonym").alias("pseudonyms"))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
@@ -37,7 +49,13 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_neardup, op3_topk, op8_pack, op9_shard)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    held_out = F.pmod(hex_crc32(F.col("doc_id")), F.lit(5)) == 0
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_neardup, op3_topk, op5_pii, op8_pack, op9_shard, op10_toxicity)}
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
