@@ -13,8 +13,10 @@ from .neardup import near_duplicates
 from .packing import packed
 from .pii import pseudonymized
 from .sharding import sharded
+from .tokencounts import section_tokens
 from .topk import top_products
 from .toxicity import toxicity
+from .urlfilter import judged_urls
 
 #: For these queries only; whoever runs the operator brings a secret one.
 PSEUDONYM_KEY = "demonstration key"
@@ -34,6 +36,11 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings"))
 
 
+def op4_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document; a token over a line's end counts for the line that has most of it."""
+    return section_tokens(table(spark, sf_dir, "documents")).withColumn("n_tokens", F.col("n_tokens").cast("bigint"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its pseudonymised text, the number of replaced values, and their kinds and pseudonyms in order."""
     found = pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
@@ -41,6 +48,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("findings").cast("bigint").alias("n_values"), names("kind").alias("kinds"), names("pseudonym").alias("pseudonyms"))
 
 
+def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are labelled by the label row of the same number: quality 0 is a bad outcome."""
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
+    return judged_urls(table(spark, sf_dir, "pages"), outcomes)
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
@@ -55,7 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_neardup, op3_topk, op5_pii, op8_pack, op9_shard, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_neardup, op3_topk, op4_tokencounts, op5_pii, op6_urlfilter, op8_pack, op9_shard, op10_toxicity)}
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -105,4 +118,52 @@ select query_id, rank::int as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scores) where rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_neardup": OP2_SQL, "op3_topk": OP3_SQL}
+OP6_SQL = r"""
+with urls as (
+  select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages
+), sites as (
+  select *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') as site from urls
+), parts as (select *, string_split(site, '.') as p from sites),
+named as (
+  select *, array_to_string(p[-2:], '.') as two,
+         array_to_string(p[-2:], '.') in ('ac.uk', 'co.in', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'co.za', 'com.ar', 'com.au', 'com.br', 'com.cn', 'com.mx', 'com.tr', 'gov.uk', 'net.au', 'org.au', 'org.uk') as long
+  from parts
+), placed as (
+  select *, case when regexp_matches(site, '^[0-9.]+$') then site when long then array_to_string(p[-3:], '.') else two end as domain,
+         case when long then two else p[-1] end as suffix from named
+), outcomes as (select doc_id as id, case when quality = 0 then 1 else 0 end as bad from labels where quality is not null and doc_id is not null),
+hosts as (
+  select site, any_value(domain) as domain, any_value(suffix) as suffix, count(bad) as n, coalesce(sum(bad), 0) as bad
+  from placed left join outcomes on page_id = id where site <> '' group by site
+), whole as (select (sum(bad) + 0.5) / (sum(n) + 1)::double as m from hosts),
+suffixes as (select suffix, sum(n)::double as n, sum(bad)::double as bad, any_value(m) as prior from hosts, whole group by suffix),
+w1 as (
+  select 1 / least(0.5, greatest(0.001, case when count(*) < 2 or sum(n) - sum(n * n) / sum(n) - (count(*) - 1) <= 0 then 0.001
+    else (sum(n * pow(bad / n - prior, 2) / (prior * (1 - prior))) - (count(*) - 1)) / (sum(n) - sum(n * n) / sum(n) - (count(*) - 1)) end)) - 1 as w from suffixes where n > 0
+), s2 as (select suffix, (w * prior + bad) / (w + n) as mean from suffixes, w1),
+domains as (select domain, sum(n)::double as n, sum(bad)::double as bad, any_value(mean) as prior from hosts join s2 using (suffix) group by domain, suffix),
+w2 as (
+  select 1 / least(0.5, greatest(0.001, case when count(*) < 2 or sum(n) - sum(n * n) / sum(n) - (count(*) - 1) <= 0 then 0.001
+    else (sum(n * pow(bad / n - prior, 2) / (prior * (1 - prior))) - (count(*) - 1)) / (sum(n) - sum(n * n) / sum(n) - (count(*) - 1)) end)) - 1 as w from domains where n > 0
+), d2 as (select domain, (w * prior + bad) / (w + n) as mean from domains, w2),
+own as (select site, n::double as n, bad::double as bad, mean as prior from hosts join d2 using (domain)),
+w3 as (
+  select 1 / least(0.5, greatest(0.001, case when count(*) < 2 or sum(n) - sum(n * n) / sum(n) - (count(*) - 1) <= 0 then 0.001
+    else (sum(n * pow(bad / n - prior, 2) / (prior * (1 - prior))) - (count(*) - 1)) / (sum(n) - sum(n * n) / sum(n) - (count(*) - 1)) end)) - 1 as w from own where n > 0
+), beta as (select site, w * prior + bad as a, w * (1 - prior) + n - bad as b from own, w3),
+blocked as (select site from beta where a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.25),
+ruled as (
+  select page_id, host, path, site, case
+    when (host = 'example.com' or host like '%.example.com') and path like '/de/%' then 'example.com/de/'
+    when (host = 'example.net' or host like '%.example.net') and path like '/en/%' then 'example.net/en/'
+    when (host = 'org' or host like '%.org') and path like '/fr/%' then 'org/fr/'
+    when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end as rule
+  from placed
+)
+select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
+       when site in (select site from blocked) then 'block' else 'allow' end as verdict
+from ruled
+"""
+
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_neardup": OP2_SQL, "op3_topk": OP3_SQL, "op6_urlfilter": OP6_SQL}
