@@ -14,7 +14,9 @@ from .components import components
 from .neardup_sets import MinMax, distinct, set_key, shingles, word_hashes
 
 #: Rows of one comparison block; a block is all that a task holds of a bucket.
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 512
+#: Buckets of more rows bring full sets into their blocks.
+SMALL_BUCKET = 32
 #: Permutations of the sketches that tell which pairs of a bucket are worth a comparison on full sets.
 SKETCH_PERMUTATIONS = 256
 #: Standard errors below the threshold that a sketch's estimate may lie.
@@ -65,16 +67,33 @@ def _full_sets(width: int):
     return run, spec
 
 
+def _links_within(sets: list[np.ndarray], i: int, j: np.ndarray, part: int, whole: int) -> np.ndarray:
+    """Which of the sets j have whole * intersection >= part * union with set i."""
+    flat = np.concatenate([sets[k] for k in j])
+    sizes = np.array([len(sets[k]) for k in j])
+    own = sets[i]
+    found = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+    both = np.add.reduceat(found.astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
+    return whole * both >= part * (len(own) + sizes - both)
+
+
 def _close_pairs(part: int, whole: int):
-    """Pairs of a block whose components differ and whose sketches are close enough for a comparison on full sets."""
-    spec = "a bigint, b bigint"
+    """Pairs of a block that are of different components and close by their sketches.
+
+    In a block of a small bucket they come out unconfirmed. A block of a large bucket brings the
+    full sets; there each pair is compared in the first bucket that it shares, confirmed at once,
+    and comes out only if it joins what no earlier pair of the block has joined, so that a block
+    gives no more pairs than it has rows.
+    """
+    spec = "a bigint, b bigint, confirmed boolean"
     length = 2 * SKETCH_PERMUTATIONS
     share = part / whole
     least = (share - SKETCH_ERRORS * np.sqrt(share * (1 - share) / length)) * length
 
-    def of_group(chunk, node, component, size, sketch, one: bool):
+    def of_block(bucket, one: bool, chunk, node, component, size, sketch, bands, sets):
         order = np.argsort(size, kind="stable")
-        chunk, node, component, size, sketch = chunk[order], node[order], component[order], size[order], sketch[order]
+        chunk, node, component, size, sketch = chunk[order], node[order], component[order].copy(), size[order], sketch[order]
+        bands, sets = (None, None) if bands is None else (bands[order], [sets[k] for k in order])
         last = np.searchsorted(size, size * whole // part, "right")
         for i in range(len(node) - 1):
             j = np.arange(i + 1, last[i])
@@ -83,36 +102,54 @@ def _close_pairs(part: int, whole: int):
                 j = j[chunk[j] != chunk[i]]
             if len(j):
                 j = j[(sketch[j] == sketch[i]).sum(axis=1) >= least]
-                if len(j):
-                    yield np.full(len(j), node[i]), node[j]
+            if not len(j):
+                continue
+            if sets is None:
+                yield np.full(len(j), node[i]), node[j]
+                continue
+            shared = bands[j] == bands[i]
+            j = j[bands[j, shared.argmax(axis=1)] == bucket]
+            if len(j):
+                j = j[_links_within(sets, i, j, part, whole)]
+            if len(j):
+                _, firsts = np.unique(component[j], return_index=True)
+                j = j[firsts]
+                yield np.full(len(j), node[i]), node[j]
+                component[np.isin(component, component[j])] = component[i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(spec)
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         key = None
 
         def flush():
             if key is None:
                 return
-            chunk, node, component, size = (np.concatenate([x[k] for x in held]) for k in range(4))
-            sketch = np.concatenate([x[4] for x in held])
-            found = list(of_group(chunk, node, component, size, sketch, key[1] == key[2]))
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            chunk, node, component, size = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(3, 7))
+            sketch = np.frombuffer(b"".join(rows.column(7).to_pylist()), dtype=np.uint8).reshape(-1, length)
+            exact = not rows.column(9).null_count
+            bands = sets = None
+            if exact:
+                bands = rows.column(8).flatten().to_numpy().reshape(rows.num_rows, -1)
+                flat, ends = rows.column(9).flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(size)))
+                sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            found = list(of_block(key[0], key[1] == key[2], chunk, node, component, size, sketch, bands, sets))
             if found:
                 a, b = (np.concatenate([x[k] for x in found]) for k in range(2))
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array([exact] * len(a))], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bucket, low, high, chunk, node, component, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
-            sketch = np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype=np.uint8).reshape(-1, length)
+            bucket, low, high = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             edge = np.flatnonzero((bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
             for i, j in zip([0, *edge], [*edge, len(bucket)], strict=True):
                 now = (bucket[i], low[i], high[i])
                 if now != key:
                     yield from flush()
                     key, held = now, []
-                held.append((chunk[i:j], node[i:j], component[i:j], size[i:j], sketch[i:j]))
+                held.append(batch.slice(i, j - i))
         yield from flush()
 
     return run, spec
@@ -137,7 +174,8 @@ def near_duplicates(docs: DataFrame, part: int = 75, whole: int = 100, width: in
     bucket every node is paired with one representative and the pair is confirmed on full sets.
     Buckets that still hold several components are then compared in blocks of bounded size, all
     pairs of nodes of different components, by long sketches; the close ones are confirmed on
-    full sets as well. So pairs are never listed inside a group that is already one component.
+    full sets as well, in large buckets inside the block, which gives back one pair for each two
+    components that it joins. So pairs are never listed inside a group that is already one component.
     With 32 bands of 4 a pair at the threshold is missed with a chance of about 5e-6.
 
     Cases: a null or empty text, or one without words, has no shingles and stands alone; a text
@@ -163,11 +201,13 @@ def near_duplicates(docs: DataFrame, part: int = 75, whole: int = 100, width: in
 
     placed = members.select("bucket", "node").join(first, F.col("node") == F.col("id"), "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
-    open_rows = placed.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK_ROWS).alias("chunks")), "bucket").join(sets.select("node", "size", "sketch"), "node")
+    large = F.col("n") > SMALL_BUCKET
+    open_rows = placed.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK_ROWS).alias("chunks"), large.alias("large")), "bucket").join(sets, "node")
+    open_rows = open_rows.where("not large").select("*", F.lit(None).cast("array<bigint>").alias("bands")).unionByName(open_rows.where("large").join(nodes.select("node", "bands"), "node"))
     chunked = open_rows.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-    dealt = chunked.select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "component", "size", "sketch")
-    close = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(*_close_pairs(part, whole)).distinct()
-    more = confirmed(close, sets, part, whole)
+    dealt = chunked.select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "component", "size", "sketch", "bands", F.when(F.col("large"), F.col("members")).alias("members"))
+    close = materialize(dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(*_close_pairs(part, whole)), "neardup-close")
+    more = confirmed(close.where("not confirmed").select("a", "b").distinct(), sets, part, whole).union(close.where("confirmed").select("a", "b"))
 
     label = first.select("id", "component")
     lifted = more.join(label.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(label.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
