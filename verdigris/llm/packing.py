@@ -27,8 +27,7 @@ def _cutter(path: str, size: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
         for batch, data, offsets in blocks(batches, 1, 4 << 20):
-            raw = data.tobytes()
-            ids, first = encoder.texts([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+            ids, first = encoder.texts(data, offsets)
             row, piece, start, length, crc, own = [], [], [], [], [], []
             for i in range(batch.num_rows):
                 text = np.append(ids[first[i] : first[i + 1]], np.uint32(end_id)).astype("<u4", copy=False)
