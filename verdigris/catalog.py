@@ -1,4 +1,8 @@
 """All queries of the library's own operators with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from .plans import base, evaluation
+
+MODULES = (evaluation,)
+QUERIES, ORACLES = base.QUERIES, base.ORACLES
