@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import base, evaluation
+from .plans import base, calibration, evaluation
 
-MODULES = (evaluation,)
+MODULES = (evaluation, calibration)
 QUERIES, ORACLES = base.QUERIES, base.ORACLES

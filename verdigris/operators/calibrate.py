@@ -87,7 +87,7 @@ def _levels(rows: DataFrame, by: Sequence[str], score: str, truth: str) -> DataF
     """Distinct scores with their positives and negatives, and how many of each lie below."""
     levels = rows.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("__s")).agg(F.count_if(F.col(truth)).alias("p"), F.count_if(~F.col(truth)).alias("n"))
     placed = running_totals(levels, by, "__s", ["p", "n"])
-    return placed.select(*by, "__s", *[F.col(a).alias(b) for a, b in (("p", "__p"), ("n", "__n"), ("p_all", "__P"), ("n_all", "__N"), ("p_below", "__pb"), ("n_below", "__nb"), ("next_value", "__next"), ("is_first", "__first"))])
+    return placed.select(*by, "__s", *[F.col(a).alias(b) for a, b in (("p", "__p"), ("n", "__n"), ("p_all", "__pos"), ("n_all", "__neg"), ("p_below", "__pb"), ("n_below", "__nb"), ("next_value", "__next"), ("is_first", "__first"))])
 
 
 def candidates(rows: DataFrame, kind: str, by: Sequence[str] = (), score: str = "score", truth: str = "truth") -> DataFrame:
@@ -113,9 +113,9 @@ def candidates(rows: DataFrame, kind: str, by: Sequence[str] = (), score: str =
         "edges": [low(F.col("__s") - EDGE), here, high(F.col("__s") + EDGE)],
     }[kind]
     typed = [F.when(F.lit(True), c).cast("struct<threshold:double,p:bigint,n:bigint>") for c in made]
-    rows = levels.select(*by, "__P", "__N", F.explode(F.filter(F.array(*typed), lambda c: c.isNotNull())).alias("c"))
-    sensitivity, specificity = ratio(F.col("__P") - F.col("c.p"), F.col("__P"), 0.0), ratio(F.col("c.n"), F.col("__N"), 0.0)
-    rates = rows.select(*by, F.col("c.threshold").alias("threshold"), (F.col("__P") - F.col("c.p")).alias("tp"), F.col("c.n").alias("tn"), (F.col("__N") - F.col("c.n")).alias("fp"), F.col("c.p").alias("fn"), sensitivity.alias("sensitivity"), specificity.alias("specificity"))
+    rows = levels.select(*by, "__pos", "__neg", F.explode(F.filter(F.array(*typed), lambda c: c.isNotNull())).alias("c"))
+    sensitivity, specificity = ratio(F.col("__pos") - F.col("c.p"), F.col("__pos"), 0.0), ratio(F.col("c.n"), F.col("__neg"), 0.0)
+    rates = rows.select(*by, F.col("c.threshold").alias("threshold"), (F.col("__pos") - F.col("c.p")).alias("tp"), F.col("c.n").alias("tn"), (F.col("__neg") - F.col("c.n")).alias("fp"), F.col("c.p").alias("fn"), sensitivity.alias("sensitivity"), specificity.alias("specificity"))
     return rates.withColumns({"minimum_rate": F.least("sensitivity", "specificity"), "balanced_accuracy": (F.col("sensitivity") + F.col("specificity")) / 2})
 
 
@@ -182,8 +182,8 @@ def leave_one_out_threshold(rows: DataFrame, by: Sequence[str] = (), score: str
 
     def rated(threshold: Column, pb: Column, nb: Column, positive: bool, above: bool) -> Column:
         """Order of a candidate with pb, nb at or below it once a row of the truth is gone that lies under (above: the candidate is above it) or over it."""
-        P, N = F.col("__P") - int(positive), F.col("__N") - int(not positive)
-        sens = ratio(F.col("__P") - pb - int(positive and not above), P, 0.0)
+        P, N = F.col("__pos") - int(positive), F.col("__neg") - int(not positive)
+        sens = ratio(F.col("__pos") - pb - int(positive and not above), P, 0.0)
         spec = ratio(nb - int(not positive and above), N, 0.0)
         return F.struct(F.least(sens, spec).alias("a"), ((sens + spec) / 2).alias("b"), (-F.abs(sens - spec)).alias("c"), (-threshold).alias("d"))
 
