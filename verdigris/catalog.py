@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import base, calibration, evaluation
+from .plans import base, calibration, evaluation, retrieval
 
-MODULES = (evaluation, calibration)
+MODULES = (evaluation, calibration, retrieval)
 QUERIES, ORACLES = base.QUERIES, base.ORACLES
