@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import base, calibration, evaluation, retrieval
+from .plans import base, calibration, evaluation, retrieval, statistics
 
-MODULES = (evaluation, calibration, retrieval)
+MODULES = (evaluation, calibration, retrieval, statistics)
 QUERIES, ORACLES = base.QUERIES, base.ORACLES
