@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import base, calibration, evaluation, retrieval, statistics
+from .plans import base, calibration, cohorts, evaluation, retrieval, statistics
 
-MODULES = (evaluation, calibration, retrieval, statistics)
+MODULES = (evaluation, calibration, retrieval, statistics, cohorts)
 QUERIES, ORACLES = base.QUERIES, base.ORACLES
