@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import base, calibration, cohorts, evaluation, retrieval, statistics
+from .plans import base, calibration, cohorts, evaluation, modelling, retrieval, statistics
 
-MODULES = (evaluation, calibration, retrieval, statistics, cohorts)
+MODULES = (evaluation, calibration, retrieval, statistics, cohorts, modelling)
 QUERIES, ORACLES = base.QUERIES, base.ORACLES

@@ -21,8 +21,13 @@ POSITIVE, NEGATIVE, INCONCLUSIVE = "POSITIVA", "NEGATIVA", "INCONCLUSIVA"
 STATUSES = ("decisive", "inconclusive", "failure", "timeout", "invalid_response")
 STATUS_ALIASES = {"failed": "failure", "invalid": "invalid_response"}
 
-TRUE_POSITIVE = (F.col("truth") == "positive") & F.col("prediction").eqNullSafe(POSITIVE)
-TRUE_NEGATIVE = (F.col("truth") == "negative") & F.col("prediction").eqNullSafe(NEGATIVE)
+
+def true_positive() -> Column:
+    return (F.col("truth") == "positive") & F.col("prediction").eqNullSafe(POSITIVE)
+
+
+def true_negative() -> Column:
+    return (F.col("truth") == "negative") & F.col("prediction").eqNullSafe(NEGATIVE)
 
 
 def canonical_status(status: Column) -> Column:
@@ -64,8 +69,8 @@ def primary_metrics(cases: DataFrame, by: Sequence[str] = (), overall: bool = Fa
         F.count("*").alias("total_cases"),
         F.count_if(F.col("truth") == "positive").alias("positive_cases"),
         F.count_if(F.col("truth") == "negative").alias("negative_cases"),
-        F.count_if(TRUE_POSITIVE).alias("tp"),
-        F.count_if(TRUE_NEGATIVE).alias("tn"),
+        F.count_if(true_positive()).alias("tp"),
+        F.count_if(true_negative()).alias("tn"),
         F.count_if(is_decision()).alias("decisive_cases"),
         *[_of_status(s).alias(f"{s}_count") for s in STATUSES[1:]],
     )
@@ -131,7 +136,7 @@ def subtype_metrics(cases: DataFrame, truth: str, column: str) -> DataFrame:
 def tag_metrics(cases: DataFrame, tags: str = "tags") -> DataFrame:
     """One row for each tag; a case counts under each of its different tags."""
     rows = cases.withColumn("tag", F.explode(F.array_distinct(tags)))
-    counts = rows.groupBy("tag").agg(F.count("*").alias("total"), F.count_if(F.col("truth") == "negative").alias("negative_cases"), F.count_if(F.col("truth") == "positive").alias("positive_cases"), F.count_if(TRUE_NEGATIVE).alias("tn"), F.count_if(TRUE_POSITIVE).alias("tp"), *terminal_counts())
+    counts = rows.groupBy("tag").agg(F.count("*").alias("total"), F.count_if(F.col("truth") == "negative").alias("negative_cases"), F.count_if(F.col("truth") == "positive").alias("positive_cases"), F.count_if(true_negative()).alias("tn"), F.count_if(true_positive()).alias("tp"), *terminal_counts())
     total = F.col("total")
     return counts.withColumns({"specificity_on_tagged_negatives": ratio(F.col("tn"), F.col("negative_cases")), "sensitivity_on_tagged_positives": ratio(F.col("tp"), F.col("positive_cases")), "positive_prediction_rate": ratio(F.col("positive_predictions"), total), "inconclusive_rate": ratio(F.col("inconclusive"), total)}).drop("tn", "tp")
 
