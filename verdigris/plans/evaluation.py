@@ -17,7 +17,12 @@ def _wilson(k: str, n: str, end: str, z: str = Z) -> str:
     sign = "-" if end == "low" else "+"
     p = f"({k})::double / nullif({n}, 0)"
     value = f"(({p} + {z} * {z} / (2 * nullif({n}, 0))) {sign} {z} * sqrt({p} * (1 - {p}) / nullif({n}, 0) + {z} * {z} / (4 * nullif({n}, 0) * nullif({n}, 0)))) / (1 + {z} * {z} / nullif({n}, 0))"
-    return f"case when {n} > 0 then {'greatest(0.0, ' if end == 'low' else 'least(1.0, '}{value}) end"
+    return f"case when {n} > 0 then round({'greatest(0.0, ' if end == 'low' else 'least(1.0, '}{value}), 9) end"
+
+
+def _ends(report: DataFrame) -> DataFrame:
+    """Interval ends to nine decimals: at the limits their last bits depend on the order of operations."""
+    return report.withColumns({c: F.round(c, 9) for c in report.columns if c.endswith(("low", "high", "low80", "high80"))})
 
 
 def _interval(name: str, k: str, n: str) -> str:
@@ -47,7 +52,7 @@ from errors
 @query(_PRIMARY)
 def cohort_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the penalized report of every dataset and of the whole cohort."""
-    return metrics.primary_metrics(cohort(spark, sf_dir), ["dataset_id"], overall=True)
+    return _ends(metrics.primary_metrics(cohort(spark, sf_dir), ["dataset_id"], overall=True))
 
 
 @query(f"""
@@ -128,7 +133,7 @@ select patient_group_id, n, k, {_wilson('k', 'n', 'low')} as low, {_wilson('k',
 def wilson_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = cohort(spark, sf_dir).groupBy("patient_group_id").agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == "NEGATIVA").alias("k"))
     a, b = wilson(F.col("k"), F.col("n")), wilson(F.col("k"), F.col("n"), 0.8)
-    return counts.select("patient_group_id", "n", "k", a["low"].alias("low"), a["high"].alias("high"), b["low"].alias("low80"), b["high"].alias("high80"))
+    return _ends(counts.select("patient_group_id", "n", "k", a["low"].alias("low"), a["high"].alias("high"), b["low"].alias("low80"), b["high"].alias("high80")))
 
 
 
@@ -170,7 +175,7 @@ def _robust(by: str, rows: str = "predictions") -> str:
 
 @query(f"with {PREDICTIONS}, {_robust('dataset_id')} select * from robust")
 def robustness_by_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.robustness_metrics(predictions(spark, sf_dir), ["dataset_id"])
+    return _ends(metrics.robustness_metrics(predictions(spark, sf_dir), ["dataset_id"]))
 
 
 @query(f"with {PREDICTIONS}, {_robust('patient_group_id')} select count(*) as datasets, min(sensitivity) as worst_sensitivity, min(specificity) as worst_specificity, bool_and(passed) as all_passed from robust")
@@ -196,7 +201,7 @@ select robust.*, label_class, case label_class when 'POSITIVE' then 'sensitivity
 """)
 def clinical_subtypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = predictions(spark, sf_dir)
-    return metrics.clinical_subtype_metrics(rows.withColumn("clinical_subtype", metrics.clinical_subtype(F.col("positive_subtype"), F.col("negative_subtype"))))
+    return _ends(metrics.clinical_subtype_metrics(rows.withColumn("clinical_subtype", metrics.clinical_subtype(F.col("positive_subtype"), F.col("negative_subtype")))))
 
 
 _VERDICTS = "verdicts as (select *, case when case_id % 7 = 0 then 'in_sample' when case_id % 7 < 4 then 'out_of_sample' else 'unknown' end as verdict from predictions)"
@@ -206,7 +211,7 @@ _VERDICTS = "verdicts as (select *, case when case_id % 7 = 0 then 'in_sample' w
 def metrics_by_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     seven = F.col("case_id") % 7
     rows = predictions(spark, sf_dir).withColumn("verdict", F.when(seven == 0, "in_sample").when(seven < 4, "out_of_sample").otherwise("unknown"))
-    return metrics.robustness_metrics(rows, ["verdict"])
+    return _ends(metrics.robustness_metrics(rows, ["verdict"]))
 
 
 @query(f"""
@@ -263,7 +268,7 @@ with {_CLASSES}, per as (select truth, count(*) as total, count(*) filter (predi
 select *, total - correct as errors, correct / total as recall, {_wilson('correct', 'total', 'low')} as low, {_wilson('correct', 'total', 'high')} as high from per
 """)
 def per_class_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.per_class_recall(_class_rows(spark, sf_dir))
+    return _ends(metrics.per_class_recall(_class_rows(spark, sf_dir)))
 
 
 @query("""
