@@ -19,7 +19,7 @@ DATE_ORIGIN, DATE_RADICES = "1900-01-01", (365, 200)
 #: What may be a value, in the order in which alternatives are tried. Validation comes after.
 CANDIDATES: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])|(?<=\bpassword=)[A-Za-z0-9]{6,64}",
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])|\b(?:password|passwd|pwd|secret|api_key|apikey)[=:] ?[A-Za-z0-9_-]{6,64}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![A-Za-z0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![A-Za-z0-9/-])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
@@ -29,7 +29,7 @@ CANDIDATES: dict[str, str] = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in CANDIDATES.values())
 #: No candidate is without one of these characters.
-HINT = "[0-9@=]"
+HINT = "[0-9@=:]"
 
 _DATE_FORMATS = (("^[0-9]{4}-", "yyyy-MM-dd"), ("^[0-9]{4}/", "yyyy/MM/dd"), (r"^[0-9]{2}\\.", "dd.MM.yyyy"), ("^[0-9]{2}/", "dd/MM/yyyy"))
 
@@ -87,7 +87,9 @@ def _email(key: str) -> str:
 def _secret(key: str) -> str:
     aws = f"concat('AKIA', {_characters('substr(m, 5)', _classes('substr(m, 5)'), _quoted('aws'), key)})"
     hexes = _characters("m", _classes("m", "h"), _quoted("hex"), key)
-    word = _characters("m", _classes("m"), _quoted("word"), key)
+    name = "regexp_extract(m, '^[a-z_]+[=:] ?', 0)"
+    value = f"substr(m, length({name}) + 1)"
+    word = f"concat({name}, {_characters(value, _classes(value), _quoted('word'), key)})"
     return f"case when m rlike '^AKIA[0-9A-Z]{{16}}$' then {aws} when m rlike '^[0-9a-f]+$' then {hexes} else {word} end"
 
 
@@ -151,7 +153,7 @@ def _valid() -> dict[str, str]:
     """SQL tests of a candidate m, in the order in which they decide its kind."""
     dates = " or ".join(f"(m rlike '{start}' and try_to_date(m, '{pattern}') is not null)" for start, pattern in _DATE_FORMATS)
     digits = "regexp_replace(m, '[^0-9]', '')"
-    whole = lambda kind: f"m rlike {_quoted('^(?:' + CANDIDATES[kind].replace('(?<=' + chr(92) + 'bpassword=)', '') + ')$')}"
+    whole = lambda kind: f"m rlike {_quoted('^(?:' + CANDIDATES[kind] + ')$')}"
     return {
         "email": "instr(m, '@') > 0",
         "iban": f"{whole('iban')} and {_mod97("concat(substr(replace(m, ' ', ''), 5), substr(m, 1, 4))")} = 1",

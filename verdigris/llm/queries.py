@@ -141,7 +141,7 @@ named as (
 hosts as (
   select site, any_value(domain) as domain, any_value(suffix) as suffix, count(bad) as n, coalesce(sum(bad), 0) as bad
   from placed left join outcomes on page_id = id where site <> '' group by site
-), whole as (select (sum(bad) + 0.5) / (sum(n) + 1)::double as m from hosts),
+), whole as (select (sum(bad) + 0.05) / (sum(n) + 1)::double as m from hosts),
 suffixes as (select suffix, sum(n)::double as n, sum(bad)::double as bad, any_value(m) as prior from hosts, whole group by suffix),
 w1 as (
   select 1 / least(0.5, greatest(0.001, case when count(*) < 2 or sum(n) - sum(n * n) / sum(n) - (count(*) - 1) <= 0 then 0.001

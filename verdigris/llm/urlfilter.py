@@ -15,6 +15,8 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 LONG_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "org.au", "org.uk")
 #: A host is blocked if its share of bad pages is above this with about 95 % certainty.
 BAD_SHARE, ERRORS = 0.25, 1.645
+#: Bad part of the one page that is added to all outcomes, so that there is a share without any.
+PRIOR_BAD = 0.05
 #: Bounds of the correlation of outcomes inside a group, 1 / (1 + prior weight).
 LEAST_CORRELATION, MOST_CORRELATION = 0.001, 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -76,7 +78,7 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     hosts = joined.groupBy("site").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     hosts = materialize(hosts.withColumns({"domain": domain_of(F.col("site")), "suffix": suffix_of(F.col("site"))}), "hosts")
     total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
-    whole = (total["bad"] + 0.5) / (total["n"] + 1)
+    whole = (total["bad"] + PRIOR_BAD) / (total["n"] + 1)
 
     def level(groups: DataFrame) -> DataFrame:
         weight = _prior_weight(groups)
