@@ -16,6 +16,10 @@ from pyspark.sql import types as T
 LOCAL_DIR = "/tmp/checkpoints/verdigris"
 
 
+#: Setting of the bytes of a batch that goes to a worker, its value here, and Spark's own default.
+BATCH_BYTES, BATCH, DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m", ("67108864b", "64m", "64MB", "67108864")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table as Spark reads it; the path may be in a store that only Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,6 +52,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df``, marked for broadcast if a count says that it has at most ``most`` rows; a larger one is joined by shuffling."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with workers' batches of at most ``BATCH`` from now on, unless the session has a size of its own.
+
+    A task holds a batch several times over, in the JVM and in the worker; the default size
+    would take hundreds of megabytes of an executor for texts.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES, None) in (None, *DEFAULT_BATCH):
+        conf.set(BATCH_BYTES, BATCH)
+    return df
+
+
 def hex_crc32(column) -> object:
     """crc32 of a column's text form, as the labels' fold is defined on it."""
     return F.crc32(column.cast("string").cast("binary"))
@@ -68,8 +89,9 @@ def binary_offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of record batches with about ``most`` bytes in a text column (one row at least), with that column's bytes and offsets from 0."""
+    pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
     for batch in batches:
         data, offsets = binary_offsets(batch.column(column))
         at = 0

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_offsets
+from .common import binary_offsets, materialize, small_batches
 
 #: Bytes of benchmark text that one automaton may cover; it takes some 300 bytes of memory for each.
 MAX_ITEM_BYTES = 1_000_000
@@ -128,15 +128,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_it
     has no windows; a shorter item is one window; items that share a window are all named; rows
     that repeat a doc_id are scanned each; empty tables give no hits or no rows.
     """
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    slices = max(1, -(-size // max_item_bytes))
+    base = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    items, slices = _measured(benchmark, max_item_bytes)
     if slices == 1:
-        return base.mapInArrow(_scanner([(r["item"], bytes(r["text"])) for r in items.collect()], width), RESULT)
+        return base.mapInArrow(_scanner(_collected(items), width), RESULT)
     return _sliced(base, items, width, slices)
 
 
+def _measured(benchmark: DataFrame, max_item_bytes: int) -> tuple[DataFrame, int]:
+    """The items, and into how many slices their bytes are to be cut."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    return items, max(1, -(-size // max_item_bytes))
+
+
+def _collected(items: DataFrame) -> list[tuple[str, bytes]]:
+    return [(r["item"], bytes(r["text"])) for r in items.collect()]
+
+
 def _sliced(base: DataFrame, items: DataFrame, width: int, slices: int) -> DataFrame:
     """The same from several automata: hits of each slice as word numbers, put together by document and text."""
     words = "doc_id bigint, text_key bigint, n_words bigint, item_ids array<string>, spans array<struct<begin:bigint,end:bigint>>"
@@ -208,12 +217,26 @@ def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a hit, with all their columns; rows that repeat a doc_id go if any of them has a hit.
+def _clean(items: list[tuple[str, bytes]], width: int, text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        built = automaton(items, width)
+        for batch in batches:
+            data, offsets = binary_offsets(batch.column(text))
+            yield batch.filter(pa.array([scan(data[a:b].tobytes(), built)[1] == 0 for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.bool_()))
+
+    return run
+
 
-    A row with null doc_id is judged by its own text.
+def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+    """The rows in whose texts no window occurs, with all their columns.
+
+    One automaton after another filters the rows, each in a scan of its own if there are several.
     """
-    own = docs.withColumn("__row", F.struct(*docs.columns))
-    judged = contamination(docs.select(F.col("doc_id"), "text"), benchmark)
-    bad = judged.where("n_hit > 0").select("doc_id").distinct()
-    return own.join(bad, own.doc_id.eqNullSafe(bad.doc_id), "left_anti").select("__row.*")
+    items, slices = _measured(benchmark, max_item_bytes)
+    text, out = docs.columns.index("text"), small_batches(docs)
+    for k in range(slices):
+        own = items if slices == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == k)
+        if k:
+            out = materialize(out, "clean")
+        out = out.mapInArrow(_clean(_collected(own), width, text), docs.schema)
+    return out

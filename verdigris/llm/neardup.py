@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, blocks, materialize
+from .common import arrow_schema, blocks, materialize, sized, small_batches
 from .components import components
 from .neardup_sets import MinMax, distinct, set_key, shingles, word_hashes
 
@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, part: int = 75, whole: int = 100, width: in
     is no representative and is kept only if its group has no other id; rows that repeat a
     doc_id count as documents of their own; an empty table gives an empty result.
     """
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    base = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = materialize(base.mapInArrow(*_signed(width, permutations, rows)), "neardup-signed")
     nodes = signed.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "neardup-nodes")
@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, part: int = 75, whole: int = 100, width: in
     crowded = banded.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("bucket", "first")
     members = materialize(banded.join(crowded, "bucket"), "neardup-members")
 
-    wanted = members.select("node").distinct().join(nodes.select("node", "key", "doc_id"), "node")
+    wanted = sized(materialize(members.select("node").distinct().join(nodes.select("node", "key", "doc_id"), "node"), "neardup-wanted"))
     texts = base.join(wanted.withColumnRenamed("doc_id", "id"), base.doc_id.eqNullSafe(F.col("id"))).select("node", "text", "key")
     sets = materialize(texts.mapInArrow(*_full_sets(width)), "neardup-sets")
 
@@ -226,9 +226,10 @@ def near_duplicates(docs: DataFrame, part: int = 75, whole: int = 100, width: in
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents that stay: of each group the one with the smallest id, with all its columns.
 
-    Where rows repeat a kept doc_id, one of them stays if they are of one group.
+    Where rows repeat a kept doc_id with one text, one of them stays.
     """
-    kept = materialize(near_duplicates(docs).where("kept").groupBy("doc_id").count(), "neardup-kept")
-    if kept.where("count > 1").isEmpty():
-        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    judged = materialize(near_duplicates(docs).select("doc_id", "kept"), "neardup-kept")
+    repeated = not judged.groupBy("doc_id").count().where("count > 1").isEmpty()
+    ids = sized(judged.where("kept" if repeated else "not kept").select(F.col("doc_id").alias("__id")).distinct())
+    kept = docs.join(ids, docs.doc_id.eqNullSafe(F.col("__id")), "left_semi" if repeated else "left_anti")
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

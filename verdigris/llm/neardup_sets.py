@@ -31,6 +31,7 @@ BYTE_CODE = BYTE_CODE[LOWER]
 _MULTIPLIER = 0x5851F42D4C957F2D
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
+STRETCH = 1 << 19
 PLACE = _constants(64, 23)
 
 
@@ -71,10 +72,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after[:-1] = word[1:]
     edge[offsets[1:]] = True
     ends = np.flatnonzero(word & (~after | edge[1:])) + 1
-    sums = np.empty(n + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(BYTE_CODE[data] * _powers(_MULTIPLIER, n), out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * _powers(_INVERSE, n)[starts]
+    hashes = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):  # words in stretches of bounded length, so that the sums' room is bounded for any text
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + STRETCH, "right")))
+        low, high = int(starts[i]), int(ends[j - 1])
+        sums = np.empty(high - low + 1, dtype=np.uint64)
+        sums[0] = 0
+        np.cumsum(BYTE_CODE[data[low:high]] * _powers(_MULTIPLIER, high - low), out=sums[1:])
+        hashes[i:j] = (sums[ends[i:j] - low] - sums[starts[i:j] - low]) * _powers(_INVERSE, high - low)[starts[i:j] - low]
+        i = j
     hashes += (ends - starts).astype(np.uint64) * PLACE[63]
     return mix(hashes), np.searchsorted(starts, offsets)
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize
+from .common import blocks, materialize, small_batches
 from .subwords import public_tokenizer, word_encoder
 
 #: Tokens of a sequence, and the id that ends a document.
@@ -53,7 +53,7 @@ def _cutter(path: str, size: int, end_id: int, with_ids: bool):
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Token pieces of at most ``size``: only longer documents are cut, and each document ends with ``end_id``."""
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    base = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return base.mapInArrow(_cutter(path, size, end_id, with_ids), PIECES + ", ids array<int>" * with_ids)
 
 

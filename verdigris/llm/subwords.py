@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Words (of at most so many bytes) that one worker remembers.
-REMEMBERED, REMEMBERED_BYTES = 600_000, 40
+REMEMBERED, REMEMBERED_BYTES = 400_000, 40
 #: Words that go to the tokenizer as one text.
 TOGETHER = 256
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, small_batches
 
 #: How a token that crosses a boundary is counted: for the section of its first byte, for the one
 #: that holds most of its bytes (the earlier of equals), or for each one by its share of the bytes.
@@ -108,7 +108,7 @@ def section_tokens(docs: DataFrame, rule: str = "largest", path: str | None = No
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    base = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return base.mapInArrow(_counter(path or public_ranks(), rule, bounds_of), RESULT)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 #: Pivots, and the rows (lowest hashes of vec_id) that they are fitted on.
 PIVOTS, PIVOT_SAMPLE = 64, 4096
@@ -199,7 +199,7 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 2
     ids; vectors of different lengths are not compared; all rows with the query's id count as
     its own; a query with fewer others gets them all; an empty table gives no rows.
     """
-    base = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    base = small_batches(vectors).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     whole = base.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(scale) * x).cast("bigint")).alias("vector"))
     result = None
     shapes = whole.groupBy(F.size("vector").alias("n")).agg(F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("radius2")).orderBy("n").collect()

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_offsets, blocks, hex_crc32, materialize
+from .common import binary_offsets, blocks, hex_crc32, materialize, small_batches
 
 #: Labelled rows that the model is fitted on at most, those with the lowest hashes of doc_id.
 TRAINING_ROWS = 40_000
@@ -23,7 +23,7 @@ PRIOR, ERRORS = 0.5, 1.64
 #: Log-odds that a feature needs to enter the lexicon.
 LEAST_LOG_ODDS = 1.0
 PREFIXES = (4, 5, 6)
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 RESULT = "doc_id bigint, n_tokens bigint, score double, passages array<struct<begin:bigint,end:bigint,log_odds:double,e_value:double>>"
 
 
@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS)
     """
     usable = labels.where("doc_id is not null and toxic in (0, 1)").where(F.pmod(hex_crc32(F.col("doc_id")), F.lit(5)) != 0)
     picked = usable.groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(training_rows)
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    own = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     train = materialize(own.join(F.broadcast(picked), own.doc_id == F.col("id")).select("text", F.col("toxic").cast("int").alias("toxic")).where("text is not null"), "toxicity-train")
     sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -317,12 +317,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
     no rows; other columns are not read.
     """
     model = model or fit(docs, labels)
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    base = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return base.mapInArrow(_scored(model), RESULT)
 
 
+def _kept(model: Model, text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            data, offsets = binary_offsets(batch.column(text))
+            evidence = [scorer.scan(data[a:b].tobytes())[1] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield batch.filter(pa.array([model.probability(min(e, 12.0)) < 0.5 for e in evidence], pa.bool_()))
+
+    return run
+
+
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents scored under 0.5, all columns; rows of one doc_id go together."""
-    bad = toxicity(docs, labels).where("score >= 0.5").select("doc_id").distinct()
-    own = docs.withColumn("__row", F.struct(*docs.columns))
-    return own.join(bad, own.doc_id.eqNullSafe(bad.doc_id), "left_anti").select("__row.*")
+    """The rows scored under 0.5, all columns; each row is judged by its own text, and none is shuffled."""
+    return small_batches(docs).mapInArrow(_kept(fit(docs, labels), docs.columns.index("text")), docs.schema)
