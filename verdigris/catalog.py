@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import base, calibration, cohorts, evaluation, modelling, retrieval, statistics
+from .plans import base, calibration, cohorts, evaluation, modelling, protocols, retrieval, statistics
 
-MODULES = (evaluation, calibration, retrieval, statistics, cohorts, modelling)
+MODULES = (evaluation, calibration, retrieval, statistics, cohorts, modelling, protocols)
 QUERIES, ORACLES = base.QUERIES, base.ORACLES

@@ -9,9 +9,11 @@ from collections.abc import Callable, Iterator, Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import decoded
 
@@ -120,15 +122,16 @@ def archive_members(spark: SparkSession, path: str) -> DataFrame:
 
 def image_headers(spark: SparkSession, root: str, schema: str, parse: Callable[[bytes], dict | None], pattern: str = "*.dcm") -> DataFrame:
     """Header rows of image files by a parser of one file's bytes (null: not readable); pixels are the parser's to skip."""
-    names = [f.name for f in T.StructType.fromDDL(schema)]
+    kinds = T.StructType.fromDDL(f"path string, {schema}")
+    arrow = to_arrow_schema(kinds)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"path": p, **(parse(bytes(c)) or {})} for p, c in zip(batch["path"], batch["content"], strict=True)]
-            yield pd.DataFrame(rows).reindex(columns=["path", *names])
+            rows = [{"path": p.as_py(), **(parse(c.as_buffer().to_pybytes()) or {})} for p, c in zip(batch.column(0), batch.column(1), strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return rows.select("path", "content").mapInPandas(run, f"path string, {schema}")
+    return rows.select("path", "content").mapInArrow(run, kinds)
 
 
 def series_of_headers(headers: DataFrame, key: Sequence[str] = ("series_uid", "echo_time", "modality")) -> DataFrame:
