@@ -89,7 +89,7 @@ def binary_offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of record batches with about ``most`` bytes in a text column (one row at least), with that column's bytes and offsets from 0."""
     pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
     for batch in batches:

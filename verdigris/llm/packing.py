@@ -26,7 +26,7 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 def _cutter(path: str, size: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
-        for batch, data, offsets in blocks(batches, 1, 4 << 20):
+        for batch, data, offsets in blocks(batches, 1, 1 << 20):
             ids, first = encoder.texts(data, offsets)
             row, piece, start, length, crc, own = [], [], [], [], [], []
             for i in range(batch.num_rows):

@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Words (of at most so many bytes) that one worker remembers.
-REMEMBERED, REMEMBERED_BYTES = 400_000, 40
+REMEMBERED, REMEMBERED_BYTES = 250_000, 32
 #: Words that go to the tokenizer as one text.
 TOGETHER = 256
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -47,7 +47,7 @@ class WordEncoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.slots: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 20, dtype=np.uint32)
+        self.ids = np.zeros(1 << 18, dtype=np.uint32)
         self.first = np.zeros(REMEMBERED + 2, dtype=np.int64)
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

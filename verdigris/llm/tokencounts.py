@@ -71,7 +71,7 @@ def attributed(ends: np.ndarray, bounds: np.ndarray, rule: str) -> np.ndarray:
 def _counter(path: str, rule: str, bounds_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, sizes = encoding(path)
-        for batch, data, offsets in blocks(batches, 1, 4 << 20):
+        for batch, data, offsets in blocks(batches, 1, 1 << 20):
             raw = data.tobytes()
             characters = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
             rows, section, begin, end, counts = [], [], [], [], []

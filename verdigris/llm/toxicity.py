@@ -151,7 +151,7 @@ def _character_spans(text: bytes, found: list[tuple[int, int, float]]) -> list[t
 
 
 def _toxic_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, offsets in blocks(batches, 0, 4 << 20):
+    for batch, data, offsets in blocks(batches, 0, 1 << 20):
         counts: Counter = Counter()
         for a, b in zip(offsets[:-1], offsets[1:], strict=True):
             counts.update({f for w in set(tokens_of(data[a:b].tobytes())) for f in features_of(w)})
@@ -161,7 +161,7 @@ def _toxic_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _counted(wanted: frozenset[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch, data, offsets in blocks(batches, 0, 4 << 20):
+        for batch, data, offsets in blocks(batches, 0, 1 << 20):
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                 counts.update({f for w in set(tokens_of(data[a:b].tobytes())) for f in features_of(w) if f in wanted})
         yield pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
@@ -173,7 +173,7 @@ def _contexts(wanted: frozenset[bytes]):
     """Each wanted feature with the word before it: copies of one document have the same ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in blocks(batches, 0, 4 << 20):
+        for batch, data, offsets in blocks(batches, 0, 1 << 20):
             seen = set()
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                 words = tokens_of(data[a:b].tobytes())
