@@ -41,7 +41,7 @@ def ridge_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def extracted_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON object of event properties wrapped in fences and prose."""
-    rows = table(spark, sf_dir, "events").where("event_id % 10 = 0")
+    rows = table(spark, sf_dir, "events")
     text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("thinking ... ```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("answer: "), "props", F.lit(" and "), "props")).otherwise("no object")
     return reports.extracted(rows.select("event_id", text.alias("text"))).select("event_id", "report_json", "report_status")
 
