@@ -11,9 +11,9 @@ from .cohorts import _REGISTRY, _registry
 
 
 def _instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Instances of two classes, four to a case, with folds of cases."""
+    """All instances, labels below five against the rest; cases are of one label, with folds of cases."""
     v = F.col("vec_id")
-    rows = table(spark, sf_dir, "embeddings").where("label < 2").select((v % 40 + F.col("label") * 100).alias("case_id"), v.alias("instance"), F.col("label").cast("double").alias("label"), "embedding", (v % 2).cast("int").alias("fold"), (F.floor(v % 40 / 2) % 2).cast("int").alias("inner_fold"))
+    rows = table(spark, sf_dir, "embeddings").where("label is not null").select((v % 40 + F.col("label") * 100).alias("case_id"), v.alias("instance"), (F.col("label") < 5).cast("double").alias("label"), "embedding", (v % 2).cast("int").alias("fold"), (F.floor(v % 40 / 2) % 2).cast("int").alias("inner_fold"))
     return models.with_vectors(rows)
 
 

@@ -88,7 +88,7 @@ def chunk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sampling_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plan over the cohort; hash orders, so without SQL."""
     rows = cohort(spark, sf_dir).select(F.col("case_id").cast("string").alias("case_id"), F.col("positive_subtype").alias("label"), "truth")
-    return protocol.sampling_plan(rows.where("truth = 'negative'").limit(40), rows.where("label is not null").select("case_id", "label"), {"hcc": 60, "metastasis": 30, "no_focal_lesion": 25}, 20260731)
+    return protocol.sampling_plan(rows.where("truth = 'negative'"), rows.where("label is not null").select("case_id", "label"), {"hcc": 60, "metastasis": 30, "no_focal_lesion": 25}, 20260731)
 
 
 @query()
