@@ -106,3 +106,32 @@ def test_empty_table_and_plan_without_python(spark):
     out = pseudonymized(df, "k")
     assert out.count() == 0
     assert "Python" not in out._jdf.queryExecution().toString() and "Arrow" not in out._jdf.queryExecution().toString()
+
+
+NEIGHBOURS = [
+    ("+1 (826) 555-4081 190.137.223.204", ["+1 (826) 555-4081", "190.137.223.204"]),
+    ("+44 20 7946 0958 190.137.223.204", ["+44 20 7946 0958", "190.137.223.204"]),
+    ("+1 826 555 4081 1234", ["+1 826 555 4081"]),
+    ("4111111111111111 123", ["4111111111111111"]),
+    ("4111 1111 1111 1111 12", ["4111 1111 1111 1111"]),
+    ("123456 4111 1111 1111 1111 12x", ["4111 1111 1111 1111"]),
+    ("1234 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+    ("4111111111111111 4337166598464399", ["4111111111111111", "4337166598464399"]),
+    ("4111 1111 1111 1111 25/12/2020", ["4111 1111 1111 1111", "25/12/2020"]),
+    ("4111 1111 1111 1111 190.137.223.204", ["4111 1111 1111 1111", "190.137.223.204"]),
+    ("BE68 5390 0754 7034 USA", ["BE68 5390 0754 7034"]),
+    ("BE68 5390 0754 7034 WORD MORE TEXT 4111 1111 1111 1111", ["BE68 5390 0754 7034", "4111 1111 1111 1111"]),
+    ("1 2 3 4 5 6 7 8 9 10 11 12 13 14", []),
+    ("7 " * 30_000, []),
+]
+
+
+def test_neighbours_of_values_do_not_hide_them(spark):
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(NEIGHBOURS)], "doc_id bigint, text string")
+    for r in pseudonymized(rows, "key").collect():
+        text, values = NEIGHBOURS[r.doc_id]
+        assert [f.value for f in r.findings] == values
+        for f in r.findings:
+            assert f.value != f.pseudonym
+            text = text.replace(f.value, f.pseudonym, 1)
+        assert r.text == text

@@ -16,17 +16,37 @@ ROUNDS = 8
 #: Dates are permuted inside windows of 365 * 200 days that begin here.
 DATE_ORIGIN, DATE_RADICES = "1900-01-01", (365, 200)
 
-#: What may be a value, in the order in which alternatives are tried. Validation comes after.
+#: Lengths of the IBANs of countries.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBANS = "|".join(f"(?:{'|'.join(names.split())})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, names in IBAN_LENGTHS.items())
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+#: After a space, a value of another kind, which groups of digits before it do not take in.
+_NEXT = rf"(?! (?:{_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])|[0-9]{{4}}([/-])[0-9]{{2}}[/-][0-9]{{2}}(?![0-9/-])|[0-9]{{2}}[./][0-9]{{2}}[./][0-9]{{4}}(?![0-9])|[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9-])|[2-9][0-9]{{2}}[.-][2-9][0-9]{{2}}[.-][0-9]{{4}}(?![0-9-])))".replace("([/-])", "[/-]")
+
+#: A further digit of a telephone number; look-behinds take no repeated groups.
+_MORE = "[ .()-]{0,3}[0-9]"
+
+#: What may be a value, in the order in which alternatives are tried. Validation comes after; what fails it is searched again by ``WITHIN``.
 CANDIDATES: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
     "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])|\b(?:password|passwd|pwd|secret|api_key|apikey)[=:] ?[A-Za-z0-9_-]{6,64}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_IBANS})(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])",
     "date": r"(?<![A-Za-z0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![A-Za-z0-9/-])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     "ip": r"(?<![A-Za-z0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])",
-    "phone": r"(?<![A-Za-z0-9])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![A-Za-z0-9])|(?<![A-Za-z0-9])\([2-9][0-9]{2}\) ?[2-9][0-9]{2}[ .-][0-9]{4}(?![A-Za-z0-9])|(?<![A-Za-z0-9.-])[2-9][0-9]{2}[.-][2-9][0-9]{2}[.-][0-9]{4}(?![A-Za-z0-9-])",
-    "card": r"(?<![A-Za-z0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9-])",
+    "phone": r"(?<![A-Za-z0-9])\+1[ .-]?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}(?![A-Za-z0-9])"
+    + rf"|(?<![A-Za-z0-9])\+[0-9]{{1,3}}[ .-]?\(?[0-9]{{1,4}}\)?(?:{_NEXT}[ .-]?[0-9]{{2,4}}){{2,4}}(?![A-Za-z0-9])(?<=\+[0-9]{_MORE * 7}{f'(?:{_MORE})?' * 7})"
+    + r"|(?<![A-Za-z0-9])\([2-9][0-9]{2}\) ?[2-9][0-9]{2}[ .-][0-9]{4}(?![A-Za-z0-9])|(?<![A-Za-z0-9.-])[2-9][0-9]{2}[.-][2-9][0-9]{2}[.-][0-9]{4}(?![A-Za-z0-9-])",
+    "card": rf"(?<![A-Za-z0-9.-])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?![A-Za-z]|-(?![0-9]))(?:{_NEXT}[ -][0-9]++(?![A-Za-z]|-(?![0-9])))*+",
 }
+#: Real groupings of card numbers, longest first. A run of groups that is no card number as a whole may hold some.
+_CARDS = [r"[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}\2[0-9]{1,3}", r"[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}", r"[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}", r"[0-9]{4}([ -])[0-9]{6}\2[0-9]{4}", r"[0-9]{6}([ -])[0-9]{13}", r"[0-9]{13,19}"]
+#: Patterns of values inside a candidate that failed; the value is the first group, at any place, so that matches may overlap.
+WITHIN = [*(rf"(?<![A-Za-z0-9.-])(?=({p})(?![A-Za-z0-9-]))" for p in _CARDS), *(f"(?=({CANDIDATES[k]}))" for k in ("iban", "date", "ssn", "ip", "phone", "secret"))]
 PATTERN = "|".join(f"(?:{p})" for p in CANDIDATES.values())
 #: No candidate is without one of these characters.
 HINT = "[0-9@=:]"
@@ -161,20 +181,32 @@ def _valid() -> dict[str, str]:
         "ssn": f"{whole('ssn')} and not (substr(m, 1, 3) in ('000', '666') or substr(m, 1, 1) = '9' or substr(m, 5, 2) = '00' or substr(m, 8) = '0000')",
         "ip": f"{whole('ip')} and forall(split(m, '[.]'), c -> int(c) <= 255)",
         "phone": f"{whole('phone')} and length({digits}) between 8 and 15",
-        "card": f"{whole('card')} and {_luhn(digits)} = 0",
+        "card": f"{whole('card')} and length({digits}) between 13 and 19 and {_luhn(digits)} = 0",
         "secret": f"{whole('secret')} and not m rlike '^[0-9 -]{{13,19}}$'",
     }
 
 
 def findings(text: Column, key: str) -> tuple[Column, str]:
-    """The candidates of a text in order, and SQL that makes of them: value, kind (null if it is not valid) and pseudonym (the value itself if not valid)."""
+    """The candidates of a text in order, and SQL that makes of each: its new text, and what was found (value, kind and pseudonym; kind is null if nothing is valid).
+
+    A candidate that fails is searched again for valid values inside it.
+    """
     secret = _quoted(key)
     kind = "case " + " ".join(f"when {test} then '{name}'" for name, test in _valid().items()) + " end"
     makers = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone, "card": _card}
     pseudonym = "case k0 " + " ".join(f"when '{name}' then {maker(secret)}" for name, maker in makers.items()) + " else m end"
-    each = _let("k0", kind, f"struct(m as value, k0 as kind, {pseudonym} as pseudonym)")
+    one = _let("k0", kind, f"struct(m as value, k0 as kind, {pseudonym} as pseudonym)")
+    whole = "struct(a.pseudonym as text, array(a) as found)"
+    inside = ", ".join(f"regexp_extract_all(o, {_quoted(p)}, 1)" for p in WITHIN)
+    values = f"filter(array_distinct(flatten(array({inside}))), m -> ({kind}) is not null)"
+    literal = "concat('(?<![A-Za-z0-9])(?:', array_join(transform(vs, x -> concat('\\\\Q', x, '\\\\E')), '|'), ')(?![A-Za-z0-9])')"
+    parts = f"transform(regexp_extract_all(o, lit, 0), m -> {one})"
+    joined = "array_join(flatten(zip_with(split(o, lit, -1), ps, (x, y) -> array(x, coalesce(y.pseudonym, '')))), '')"
+    again = _let("lit", literal, _let("ps", parts, f"struct({joined} as text, ps as found)"))
+    retried = _let("vs", values, f"if(size(vs) = 0, {whole}, {again})")
+    each = _let("a", _let("m", "o", one), f"if(a.kind is not null or length(o) < 9, {whole}, {retried})")
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    return found, f"transform(candidates, m -> {each})"
+    return found, f"transform(candidates, o -> {each})"
 
 
 def pseudonymized(docs: DataFrame, key: str) -> DataFrame:
@@ -183,7 +215,7 @@ def pseudonymized(docs: DataFrame, key: str) -> DataFrame:
     Kinds: e-mail addresses (local part), keys and passwords, IBANs (with valid check digits),
     calendar dates, social security numbers, IPv4 addresses, telephone numbers and payment card
     numbers (with a valid check digit, which the pseudonym has too). What fails its kind's
-    validation stays as it is. One pass over the rows, no shuffle and no Python.
+    validation stays as it is, but for valid values inside it. One pass over the rows, no shuffle and no Python.
 
     Cases: a null text stays null and has no findings, an empty one stays empty; ``findings`` and
     the helper ``candidates`` replace columns of these names; rows that repeat get equal results;
@@ -193,6 +225,6 @@ def pseudonymized(docs: DataFrame, key: str) -> DataFrame:
     candidates, each = findings(text, key)
     rows = docs.withColumn("candidates", F.coalesce(candidates, F.array().cast("array<string>"))).withColumn("findings", F.expr(each))
     pieces = F.split(text, PATTERN, -1)
-    whole = F.array_join(F.flatten(F.zip_with(pieces, F.transform("findings", lambda f: f["pseudonym"]), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    whole = F.array_join(F.flatten(F.zip_with(pieces, F.transform("findings", lambda f: f["text"]), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     replaced = F.when(F.size("candidates") > 0, whole).otherwise(text)
-    return rows.withColumn("text", replaced).drop("candidates").withColumn("findings", F.filter("findings", lambda f: f["kind"].isNotNull()))
+    return rows.withColumn("text", replaced).drop("candidates").withColumn("findings", F.filter(F.flatten(F.transform("findings", lambda f: f["found"])), lambda f: f["kind"].isNotNull()))
