@@ -89,6 +89,24 @@ def test_fit_of_exact_patterns():
     assert (x >= 0).all() and np.abs(made[1:] - histogram[1:]).max() < 0.5
 
 
+@pytest.mark.parametrize("mean", [60, 900])
+def test_patterns_place_most_pieces_in_the_least_number_of_sequences(mean):
+    draw = np.random.default_rng(mean)
+    histogram = np.bincount(np.minimum(4096, draw.lognormal(np.log(mean), 0.8, 12_000).astype(int) + 1), minlength=4097)
+    planned, placed = packing.shared_plan(histogram)
+    assert sum(r for _, r in planned) == -(-int(histogram @ np.arange(4097)) // 4096)
+    assert placed > 0.9 * histogram.sum()
+
+
+def test_turns_number_the_pieces_of_each_length():
+    before, seen = np.zeros(8, dtype=np.int64), {}
+    for block in ([3, 5, 3, 3], [], [5, 7, 3]):
+        got = packing._turns(np.array(block, dtype=np.int64), before).tolist()
+        for n, turn in zip(block, got, strict=True):
+            assert turn == seen.get(n, 0)
+            seen[n] = turn + 1
+
+
 def test_packing_round_trip(spark, monkeypatch):
     monkeypatch.setattr(packing, "ROWS_PER_TASK", 3)
     draw = random.Random(5)

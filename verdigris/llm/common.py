@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,9 +91,23 @@ def binary_offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
+@cache
+def lean_memory() -> None:
+    """From now on this worker gives memory back: large arrays are mapped one by one and unmapped when they go.
+
+    Else the C library raises by itself the size from which it maps, and what small objects pin stays.
+    Where the C library has no such setting, nothing changes.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    setting = getattr(ctypes.CDLL(None), "mallopt", None)
+    if setting is not None:
+        for kind in (-1, -3):  # trim and map thresholds
+            setting(kind, 1 << 18)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of record batches with about ``most`` bytes in a text column (one row at least), with that column's bytes and offsets from 0."""
-    pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
+    lean_memory()
     for batch in batches:
         data, offsets = binary_offsets(batch.column(column))
         at = 0

@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Words (of at most so many bytes) that one worker remembers.
-REMEMBERED, REMEMBERED_BYTES = 250_000, 32
+REMEMBERED, REMEMBERED_BYTES = 200_000, 32
 #: Words that go to the tokenizer as one text.
 TOGETHER = 256
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -149,6 +149,11 @@ def word_encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Let go of this worker's encoders; tasks that need none call it."""
+    _ENCODERS.clear()
+
+
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
