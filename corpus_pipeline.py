@@ -11,7 +11,7 @@ from verdigris.llm.common import materialize, table
 from verdigris.llm.decontaminate import decontaminated
 from verdigris.llm.neardup import deduplicated
 from verdigris.llm.packing import packed
-from verdigris.llm.pii import pseudonymized
+from verdigris.llm.pii import with_pseudonyms
 from verdigris.llm.toxicity import without_toxic
 
 #: For this pipeline's demonstration; whoever runs it brings a secret one.
@@ -35,10 +35,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal values in their texts replaced; n_chars, where there is one, follows the text."""
-    out = pseudonymized(docs, PSEUDONYM_KEY)
+    out = with_pseudonyms(docs, PSEUDONYM_KEY)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

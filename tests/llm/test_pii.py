@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris.llm.pii import pseudonymized
+from verdigris.llm.pii import pseudonymized, with_pseudonyms
 
 TEXTS = [
     (1, "mail pfps.64@mail3.example.com now, pfps.64@mail3.example.com"),
@@ -135,3 +135,62 @@ def test_neighbours_of_values_do_not_hide_them(spark):
             assert f.value != f.pseudonym
             text = text.replace(f.value, f.pseudonym, 1)
         assert r.text == text
+
+
+def found(spark, texts, key="key"):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return [[(f.kind, f.value, f.pseudonym) for f in r.findings] for r in sorted(pseudonymized(rows, key).collect(), key=lambda r: r.doc_id)]
+
+
+PHONES = {
+    "44": ["+44 20 7123 4567", "+442071234567", "+44-20-7123-4567", "+44 (20) 7123 4567"],
+    "49": ["+49 30 1234 5678", "+493012345678", "+49.30.1234.5678"],
+    "351": ["+351 21 123 4567", "+351211234567"],
+    "7": ["+7 495 123 4567", "+74951234567"],
+    "1": ["+1 826 555 4081", "+18265554081", "826-555-4081"],
+}
+
+
+def test_a_number_has_one_pseudonym_however_it_is_written(spark):
+    for (code, spellings), rows in zip(PHONES.items(), [found(spark, s) for s in PHONES.values()], strict=True):
+        made = set()
+        for text, own in zip(spellings, rows, strict=True):
+            assert [(k, v) for k, v, _ in own] == [("phone", text)]
+            digits = re.sub("[^0-9]", "", own[0][2])
+            made.add(digits if text[0] == "+" else code + digits)
+        assert len(made) == 1 and made.pop().startswith(code)
+
+
+def test_dates_stay_in_the_calendar_and_are_permuted_in_it(spark):
+    ends = ["0001-01-01", "0050-03-01", "0101-03-11", "1899-12-31", "1900-01-01", "9999-12-31", "9894-09-05", "9000/01/01", "01.01.0001", "31/12/9999", "12/31/9999", "01/13/0001"]
+    for text, own in zip(ends, found(spark, ends), strict=True):
+        assert [(k, v) for k, v, _ in own] == [("date", text)]
+        assert re.fullmatch(re.sub("[0-9]", "[0-9]", re.escape(text).replace("\\-", "-")), own[0][2]) and own[0][2] != text
+        assert "0000" not in own[0][2]
+    days = spark.sql("select id as doc_id, date_format(date_add(date'0001-01-01', cast(id as int)), 'yyyy-MM-dd') as text from range(0, 37000)")
+    made = pseudonymized(days, "key")
+    assert made.select("text").distinct().count() == 37000
+    assert made.where("length(text) != 10 or text > '9999-12-31' or text < '0001-01-01'").count() == 0
+    late = spark.sql("select id as doc_id, date_format(date_add(date'9999-12-31', cast(-id as int)), 'MM/dd/yyyy') as text from range(0, 40000)").where("substr(text, 4, 2) > '12'")
+    made = pseudonymized(late, "key")
+    assert made.select("text").distinct().count() == late.count() and made.where("substr(text, 4, 2) <= '12' or text like '%+%'").count() == 0
+
+
+def test_secrets_need_more_than_a_word(spark):
+    kept = ["pwd: correct", "secret: nothing", "the secret: Everything is", "password: hunter", "deadbeef" * 3, "DEADBEEFdeadbeef" * 3]
+    assert found(spark, kept) == [[]] * len(kept)
+    gone = ["PASSWORD=f2f5acd241f026fd29", "Api_Key: aB3" + "x9" * 60, 'TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"', "0641917ea4e9feb9cda83477b57ac265" * 3, "pwd: camelCase"]
+    for text, own in zip(gone, found(spark, gone), strict=True):
+        assert [k for k, _, _ in own] == ["secret"]
+        shape = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", s)))
+        assert own[0][1] in text and own[0][1].rstrip("\"'")[-1] == text.rstrip("\"'")[-1] and shape(own[0][1]) == shape(own[0][2]) and own[0][1] != own[0][2]
+
+
+def test_text_only_form_hands_on_no_value_and_no_helper(spark):
+    docs = spark.createDataFrame([(1, "call +44 20 7123 4567", "mine", 3, [1], "x"), (1, "call +44 20 7123 4567", "mine", 3, [1], "x"), (2, None, None, None, None, None)], "doc_id bigint, text string, findings string, candidates int, PII_candidates array<int>, `a.b` string")
+    out = with_pseudonyms(docs, "key")
+    assert out.schema == docs.schema
+    rows = out.orderBy("doc_id").collect()
+    assert rows[0] == rows[1] and rows[0].findings == "mine" and rows[0].candidates == 3 and rows[0]["a.b"] == "x" and rows[2].text is None
+    assert not any("7123" in str(v) for r in rows for v in r)
+    assert with_pseudonyms(docs.limit(0), "key").count() == 0

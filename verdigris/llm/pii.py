@@ -13,8 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: Dates are permuted inside windows of 365 * 200 days that begin here.
-DATE_ORIGIN, DATE_RADICES = "1900-01-01", (365, 200)
+#: Dates are permuted inside windows of 365 * 200 days that begin here, and inside what these leave of the years 1 to 9999 at both ends.
+DATE_ORIGIN, DATE_RADICES, FIRST_RADICES, LAST_RADICES = "1900-01-01", (365, 200), (563, 65), (601, 64)
+#: Windows before the origin and from it on, and days before the origin.
+WINDOWS_BEFORE, WINDOWS_AFTER, DAYS_BEFORE = 9, 40, 693_595
+#: Country calling codes of one and of two digits; all others have three.
+CODES_1 = ("1", "7")
+CODES_2 = ("20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
 
 #: Lengths of the IBANs of countries.
 IBAN_LENGTHS = {
@@ -33,7 +38,7 @@ _MORE = "[ .()-]{0,3}[0-9]"
 #: What may be a value, in the order in which alternatives are tried. Validation comes after; what fails it is searched again by ``WITHIN``.
 CANDIDATES: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])|\b(?:password|passwd|pwd|secret|api_key|apikey)[=:] ?[A-Za-z0-9_-]{6,64}",
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])|\b(?i:password|passwd|pwd|secret|api_key|apikey)[=:] ?(?=[A-Za-z_-]*(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9_-]{6,}",
     "iban": rf"(?<![A-Za-z0-9])(?:{_IBANS})(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])",
     "date": r"(?<![A-Za-z0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![A-Za-z0-9/-])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
@@ -51,7 +56,8 @@ PATTERN = "|".join(f"(?:{p})" for p in CANDIDATES.values())
 #: No candidate is without one of these characters.
 HINT = "[0-9@=:]"
 
-_DATE_FORMATS = (("^[0-9]{4}-", "yyyy-MM-dd"), ("^[0-9]{4}/", "yyyy/MM/dd"), (r"^[0-9]{2}\\.", "dd.MM.yyyy"), ("^[0-9]{2}/", "dd/MM/yyyy"))
+#: How a date begins, and its format. The last one holds for dates that the one before cannot have, days from 13 on.
+_DATE_FORMATS = (("^[0-9]{4}-", "yyyy-MM-dd"), ("^[0-9]{4}/", "yyyy/MM/dd"), (r"^[0-9]{2}\\.", "dd.MM.yyyy"), ("^[0-9]{2}/(?:0[1-9]|1[0-2])/", "dd/MM/yyyy"), ("^[0-9]{2}/(?:1[3-9]|[23][0-9])/", "MM/dd/yyyy"))
 
 
 def _quoted(text: str) -> str:
@@ -74,19 +80,19 @@ def _feistel(values: str, radices: str, tweak: str, key: str) -> str:
 def _characters(text: str, kinds: str, tweak: str, key: str) -> str:
     """SQL: characters of ``text`` permuted, each inside the class that ``kinds`` names at its place.
 
-    Classes: d digit, n digit from 2, h letter a to f, l letter a to z, u letter A to Z, anything else stays.
+    Classes: d digit, n digit from 2, h letter a to f, g letter A to F, l letter a to z, u letter A to Z, anything else stays.
     """
-    radix = "case k when 'd' then 10L when 'n' then 8L when 'h' then 6L when 'l' then 26L when 'u' then 26L else 1L end"
-    base = "case k when 'd' then 48 when 'n' then 50 when 'h' then 97 when 'l' then 97 when 'u' then 65 else ascii(c) end"
+    radix = "case k when 'd' then 10L when 'n' then 8L when 'h' then 6L when 'g' then 6L when 'l' then 26L when 'u' then 26L else 1L end"
+    base = "case k when 'd' then 48 when 'n' then 50 when 'h' then 97 when 'g' then 65 when 'l' then 97 when 'u' then 65 else ascii(c) end"
     values = f"zip_with(cs, ks, (c, k) -> cast(ascii(c) - ({base}) as bigint))"
     new = _feistel(values, f"transform(ks, k -> {radix})", f"concat({tweak}, ':', ksn)", key)
-    join = f"array_join(zip_with(zip_with(cs, ks, (c, k) -> struct(c as c, k as k, ({base}) as b)), p, (s, w) -> if(instr('dnhlu', s.k) = 0, s.c, chr(s.b + w))), '')"
+    join = f"array_join(zip_with(zip_with(cs, ks, (c, k) -> struct(c as c, k as k, ({base}) as b)), p, (s, w) -> if(instr('dnhglu', s.k) = 0, s.c, chr(s.b + w))), '')"
     return _let("ksn", kinds, _let("cs", f"split({text}, '')", _let("ks", "split(ksn, '')", _let("p", new, join))))
 
 
-def _classes(text: str, letters: str = "l") -> str:
+def _classes(text: str, letters: str = "l", capitals: str = "u") -> str:
     """SQL: the class of every character of an ASCII text, letters and digits by their kind."""
-    return f"translate(regexp_replace(regexp_replace(regexp_replace({text}, '[A-Z]', 'U'), '[a-z]', '{letters}'), '[0-9]', 'd'), 'U', 'u')"
+    return f"translate(regexp_replace(regexp_replace(regexp_replace({text}, '[A-Z]', 'U'), '[a-z]', '{letters}'), '[0-9]', 'd'), 'U', '{capitals}')"
 
 
 def _luhn(digits: str) -> str:
@@ -106,11 +112,11 @@ def _email(key: str) -> str:
 
 def _secret(key: str) -> str:
     aws = f"concat('AKIA', {_characters('substr(m, 5)', _classes('substr(m, 5)'), _quoted('aws'), key)})"
-    hexes = _characters("m", _classes("m", "h"), _quoted("hex"), key)
-    name = "regexp_extract(m, '^[a-z_]+[=:] ?', 0)"
+    hexes = _characters("m", _classes("m", "h", "g"), _quoted("hex"), key)
+    name = "regexp_extract(m, '^[A-Za-z_]+[=:] ?', 0)"
     value = f"substr(m, length({name}) + 1)"
     word = f"concat({name}, {_characters(value, _classes(value), _quoted('word'), key)})"
-    return f"case when m rlike '^AKIA[0-9A-Z]{{16}}$' then {aws} when m rlike '^[0-9a-f]+$' then {hexes} else {word} end"
+    return f"case when m rlike '^AKIA[0-9A-Z]{{16}}$' then {aws} when m rlike '^([0-9a-f]+|[0-9A-F]+)$' then {hexes} else {word} end"
 
 
 def _filled(new: str, kept: str) -> str:
@@ -127,12 +133,16 @@ def _iban(key: str) -> str:
 
 
 def _date(key: str) -> str:
+    """A date of the same window; a date that only the last format can have becomes one of these, by permuting again until it is."""
     days = DATE_RADICES[0] * DATE_RADICES[1]
+    first, last = -WINDOWS_BEFORE * days, WINDOWS_AFTER * days
+    where = f"named_struct('begin', case when n < {first} then -{DAYS_BEFORE}L when n >= {last} then {last}L else cast(floor(n / {days}) as bigint) * {days} end, 'a', case when n < {first} then {FIRST_RADICES[0]}L when n >= {last} then {LAST_RADICES[0]}L else {DATE_RADICES[0]}L end, 'b', case when n < {first} then {FIRST_RADICES[1]}L when n >= {last} then {LAST_RADICES[1]}L else {DATE_RADICES[1]}L end)"
+    permuted = _let("w", where, _let("q", _feistel("array(cast((n - w.begin) % w.a as bigint), cast((n - w.begin) div w.a as bigint))", "array(w.a, w.b)", _quoted("date"), key), "w.begin + q[0] + q[1] * w.a"))
     out = "cast(null as string)"
     for start, pattern in reversed(_DATE_FORMATS):
-        values = f"array(cast(pmod(n, {DATE_RADICES[0]}) as bigint), cast(pmod(n, {days}) div {DATE_RADICES[0]} as bigint))"
-        new = _let("q", _feistel(values, f"array({DATE_RADICES[0]}L, {DATE_RADICES[1]}L)", _quoted("date"), key), f"cast(floor(n / {days}) as bigint) * {days} + q[0] + q[1] * {DATE_RADICES[0]}")
-        back = _let("n", f"datediff(try_to_date(m, '{pattern}'), date'{DATE_ORIGIN}')", f"date_format(date_add(date'{DATE_ORIGIN}', cast({new} as int)), '{pattern}')")
+        again = f"aggregate(sequence(1, 99), cast(null as bigint), (got, turn) -> if(got is not null and day(date_add(date'{DATE_ORIGIN}', cast(got as int))) > 12, got, {_let('n', 'coalesce(got, n0)', permuted)}))"
+        new = again if pattern == "MM/dd/yyyy" else _let("n", "n0", permuted)
+        back = _let("n0", f"cast(datediff(try_to_date(m, '{pattern}'), date'{DATE_ORIGIN}') as bigint)", f"date_format(date_add(date'{DATE_ORIGIN}', cast({new} as int)), '{pattern}')")
         out = f"case when m rlike '{start}' then {back} else {out} end"
     return out
 
@@ -150,10 +160,10 @@ def _ip(key: str) -> str:
 
 
 def _phone(key: str) -> str:
-    """Ten digits, after +1 or nothing, keep their shape (area and exchange from 2 on); other numbers keep their country code."""
+    """Ten digits, after +1 or nothing, keep their shape (area and exchange from 2 on); other numbers keep their country code, which does not depend on how a number is written."""
     digits = "regexp_replace(m, '[^0-9]', '')"
     ten = f"(m like '+1%' and length({digits}) = 11 or not m like '+%' and length({digits}) = 10) and right({digits}, 10) rlike '^[2-9][0-9]{{2}}[2-9]'"
-    code = r"(length(regexp_extract(m, '^\\+[0-9]{1,3}', 0)) - 1)"
+    code = f"(case when left({digits}, 1) in {CODES_1} then 1 when left({digits}, 2) in {CODES_2} then 2 else 3 end)"
     american = f"concat(if(length({digits}) = 11, '1', ''), {_characters(f'right({digits}, 10)', _quoted('nddndddddd'), _quoted('ten'), key)})"
     rest = f"substr({digits}, {code} + 1)"
     other = f"concat(left({digits}, {code}), {_characters(rest, f"repeat('d', length({rest}))", f'left({digits}, {code})', key)})"
@@ -209,6 +219,23 @@ def findings(text: Column, key: str) -> tuple[Column, str]:
     return found, f"transform(candidates, o -> {each})"
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _replaced(docs: DataFrame, key: str, candidates: str, results: str) -> DataFrame:
+    """``docs`` with its texts replaced, and two helper columns."""
+    found, each = findings(F.col("text"), key)
+    rows = docs.withColumn(candidates, F.coalesce(found, F.array().cast("array<string>"))).withColumn(results, F.expr(each.replace("transform(candidates,", f"transform(`{candidates}`,", 1)))
+    pieces = F.split("text", PATTERN, -1)
+    whole = F.array_join(F.flatten(F.zip_with(pieces, F.transform(results, lambda f: f["text"]), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    return rows.withColumn("text", F.when(F.size(candidates) > 0, whole).otherwise(F.col("text")))
+
+
 def pseudonymized(docs: DataFrame, key: str) -> DataFrame:
     """All columns of ``docs`` with personal values in ``text`` replaced, and ``findings``: array of (value, kind, pseudonym).
 
@@ -216,15 +243,22 @@ def pseudonymized(docs: DataFrame, key: str) -> DataFrame:
     calendar dates, social security numbers, IPv4 addresses, telephone numbers and payment card
     numbers (with a valid check digit, which the pseudonym has too). What fails its kind's
     validation stays as it is, but for valid values inside it. One pass over the rows, no shuffle and no Python.
+    ``findings`` has the original values: it is for those who may see both, and ``with_pseudonyms``
+    returns none of it.
 
-    Cases: a null text stays null and has no findings, an empty one stays empty; ``findings`` and
-    the helper ``candidates`` replace columns of these names; rows that repeat get equal results;
+    Cases: a null text stays null and has no findings, an empty one stays empty; a column
+    ``findings`` is replaced, any other stays, whatever its name; rows that repeat get equal results;
     an empty table gives no rows. n_chars, where there is such a column, is the caller's to renew.
     """
-    text = F.col("text")
-    candidates, each = findings(text, key)
-    rows = docs.withColumn("candidates", F.coalesce(candidates, F.array().cast("array<string>"))).withColumn("findings", F.expr(each))
-    pieces = F.split(text, PATTERN, -1)
-    whole = F.array_join(F.flatten(F.zip_with(pieces, F.transform("findings", lambda f: f["text"]), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    replaced = F.when(F.size("candidates") > 0, whole).otherwise(text)
-    return rows.withColumn("text", replaced).drop("candidates").withColumn("findings", F.filter(F.flatten(F.transform("findings", lambda f: f["found"])), lambda f: f["kind"].isNotNull()))
+    candidates, results = _free(docs, "pii_candidates"), _free(docs, "pii_results")
+    rows = _replaced(docs, key, candidates, results)
+    found = F.filter(F.flatten(F.transform(results, lambda f: f["found"])), lambda f: f["kind"].isNotNull())
+    return rows.withColumn("findings", found).drop(candidates, results)
+
+
+def with_pseudonyms(docs: DataFrame, key: str) -> DataFrame:
+    """The rows and columns of ``docs``, personal values in ``text`` replaced as ``pseudonymized`` does it, and nothing else changed or added.
+
+    Cases: as there; columns named ``findings`` or like helper columns stay as they are.
+    """
+    return _replaced(docs, key, _free(docs, "pii_candidates"), _free(docs, "pii_results")).select(*[f"`{c}`" for c in docs.columns])
