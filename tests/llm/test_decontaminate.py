@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris.llm.decontaminate import contamination, decontaminated
+from verdigris.llm.decontaminate import Windows, contamination, decontaminated, scan
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -40,13 +40,13 @@ def cases():
     return docs, items
 
 
-@pytest.mark.parametrize("most", [1_000_000, 40])
-def test_equals_brute_force(spark, most):
+@pytest.mark.parametrize("width", [10, 7, 2, 1])
+def test_equals_brute_force(spark, width):
     docs, items = cases()
     # other columns with the result's names are not read
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumns({"n_words": F.lit("x"), "spans": F.lit(1), "item_ids": F.lit(None).cast("int")})
-    got = contamination(df, spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(1)), max_item_bytes=most).collect()
-    want = brute(docs, items)
+    got = contamination(df, spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(1)), width).collect()
+    want = brute(docs, items, width)
     assert {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in got} == want
     texts = dict(docs)
     for r in got:  # spans name hit words in the original text
@@ -67,9 +67,20 @@ def test_filter_keeps_rows_and_columns(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("lang", F.lit("x"))
     clean = {i for i, (_, n, _) in brute(docs, items).items() if not n}
     table = spark.createDataFrame(items, "item_id bigint, text string")
-    for most in (1_000_000, 60):
-        out = decontaminated(df, table, max_item_bytes=most)
-        assert out.columns == df.columns and {r.doc_id for r in out.collect()} == clean
+    out = decontaminated(df, table)
+    assert out.columns == df.columns and {r.doc_id for r in out.collect()} == clean
+    with pytest.raises(ValueError):
+        decontaminated(df, table, most_item_bytes=60)
+
+
+def test_many_items_and_occurrences_of_one_block(monkeypatch):
+    monkeypatch.setattr("verdigris.llm.decontaminate.TOGETHER", 50)
+    draw = random.Random(8)
+    items = [(k, " ".join(draw.choice("abc") for _ in range(draw.choice([4, 10, 11, 30])))) for k in range(40)]
+    text = " ".join(draw.choice("abcd") for _ in range(400))
+    built = Windows([(str(k), t.encode()) for k, t in items], 6)
+    n, hits, found, _ = scan(text.encode(), built)
+    assert {0: (n, hits, found)} == brute([(0, text)], items, 6)
 
 
 def test_query_digest(spark):
