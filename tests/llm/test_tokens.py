@@ -49,6 +49,20 @@ def test_fields_share_one_encoding(spark):
         tokencounts.field_tokens(df, "id", ["title"], rule="last")
 
 
+@pytest.mark.parametrize("rule", tokencounts.RULES)
+def test_bytes_that_are_no_utf8(spark, rule):
+    texts = [b"a\xff\xfeb\nsecond \xc3 line\n\xe2\x82", b"\xff", b"\n\xc3\n" * 40, "caf\u00e9\n".encode()]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] * 2, "doc_id bigint, text binary").selectExpr("doc_id", "cast(text as string) as text")
+    rows = tokencounts.section_tokens(df, rule).collect()
+    coder, _ = tokencounts.encoding(tokencounts.public_ranks())
+    for k, text in enumerate(texts):
+        shown, own = text.decode("utf-8", "replace"), sorted((r for r in rows if r.doc_id == k), key=lambda r: r.section)
+        assert abs(sum(r.n_tokens for r in own) - 2 * len(coder.encode_ordinary(shown))) < 1e-9
+        assert [shown[r.begin : r.end] for r in own[::2]] == shown.splitlines(keepends=True)
+    fields = tokencounts.field_tokens(df.withColumn("title", F.col("text")), "doc_id", ["title", "text"], rule=rule).collect()
+    assert len(fields) == 4 * len(texts)
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert tokencounts.section_tokens(empty).count() == 0 and packing.packed(empty).count() == 0

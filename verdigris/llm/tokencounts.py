@@ -47,6 +47,15 @@ def line_bounds(text: bytes) -> np.ndarray:
     return bounds[:-1] if len(bounds) > 2 and bounds[-1] == bounds[-2] else bounds
 
 
+def readable(text: bytes) -> tuple[bytes, str]:
+    """A text's bytes and characters; what is no UTF-8 is replaced in both, so that offsets in one fit the other."""
+    try:
+        return text, text.decode()
+    except UnicodeDecodeError:
+        shown = text.decode("utf-8", "replace")
+        return shown.encode(), shown
+
+
 def attributed(ends: np.ndarray, bounds: np.ndarray, rule: str) -> np.ndarray:
     """Tokens of each section. Tokens end at ``ends`` (each begins where the last one ended), sections are [bounds[i], bounds[i + 1])."""
     if not len(ends):
@@ -73,15 +82,15 @@ def _counter(path: str, rule: str, bounds_of):
         coder, sizes = encoding(path)
         for batch, data, offsets in blocks(batches, 1, 1 << 20):
             raw = data.tobytes()
-            characters = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
             rows, section, begin, end, counts = [], [], [], [], []
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                text = raw[a:b]
-                ids = coder.encode_to_numpy(text.decode("utf-8", "replace"), disallowed_special=())
+                text, shown = readable(raw[a:b])
+                ids = coder.encode_to_numpy(shown, disallowed_special=())
                 bounds = bounds_of(text)
+                characters = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
                 rows.append(np.full(len(bounds) - 1, i))
                 section.append(np.arange(len(bounds) - 1))
-                at = characters[bounds + a] - characters[a]
+                at = characters[bounds]
                 begin.append(at[:-1])
                 end.append(at[1:])
                 counts.append(attributed(np.cumsum(sizes[ids]), bounds, rule))
@@ -103,7 +112,8 @@ def section_tokens(docs: DataFrame, rule: str = "largest", path: str | None = No
     One scan, no shuffle, and a worker holds a few megabytes of text.
 
     Cases: a null or empty text has one empty section without tokens; empty lines are sections
-    with whatever tokens the rule gives them; repeated rows are counted each; other columns
+    with whatever tokens the rule gives them; bytes that are no UTF-8 count as the replacement
+    character, in tokens and offsets; repeated rows are counted each; other columns
     are not read; an empty table gives no rows.
     """
     if rule not in RULES:
@@ -116,7 +126,7 @@ def field_tokens(rows: DataFrame, key: str, fields: list[str], separator: str =
     """Tokens of each of several text columns when they are encoded as one text, joined by a separator.
 
     Returns the key, field and n_tokens; the separator's tokens are counted for the field before
-    it. Null fields are empty. The fields' own byte lengths bound the sections.
+    it. Null fields are empty, and bytes that are no UTF-8 are replaced field by field. The fields' own byte lengths bound the sections.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -128,8 +138,8 @@ def field_tokens(rows: DataFrame, key: str, fields: list[str], separator: str =
             columns = [batch.column(k + 1).to_pylist() for k in range(len(names))]
             counts = []
             for parts in zip(*columns, strict=True):
-                pieces = [(p or b"") + (gap if k + 1 < len(names) else b"") for k, p in enumerate(parts)]
-                ids = coder.encode_to_numpy(b"".join(pieces).decode("utf-8", "replace"), disallowed_special=())
+                pieces = [readable(p or b"")[0] + (gap if k + 1 < len(names) else b"") for k, p in enumerate(parts)]
+                ids = coder.encode_to_numpy(b"".join(pieces).decode(), disallowed_special=())
                 counts.append(attributed(np.cumsum(sizes[ids]), np.concatenate(([0], np.cumsum([len(p) for p in pieces]))), rule))
             flat = np.concatenate(counts) if counts else np.zeros(0)
             yield pa.record_batch([batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), len(names)))), pa.array(names * batch.num_rows, pa.string()), pa.array(flat)], names=[key, "field", "n_tokens"])
