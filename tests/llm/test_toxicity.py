@@ -70,3 +70,26 @@ def test_more_evidence_is_never_less():
     model = X.Model(scale=0.01)
     assert X.evidence_of([], 10, model) == 0 <= X.evidence_of([3.0], 100, model) < X.evidence_of([6.0], 100, model)
     assert X.evidence_of([6.0, 6.0], 100, model) > X.evidence_of([6.0], 100, model) > X.evidence_of([6.0], 100_000, model)
+
+
+def test_every_significant_segment_counts():
+    model = X.Model(scale=1e-4)
+    one = [9.0] * 50
+    assert X.evidence_of([*one, 9.0], 1000, model) > X.evidence_of(one, 1000, model)
+    assert X.evidence_of([9.0] * 400, 1000, model) > X.evidence_of([9.0] * 200, 1000, model)
+    # segments that chance gives as well add nothing, however many there are
+    assert X.evidence_of([9.0, *[1.0] * 5000], 100_000, model) == X.evidence_of([9.0], 100_000, model)
+
+
+def test_filter_and_score_agree_on_both_sides_of_the_bend():
+    for bias, slope in ((-6.0, 0.5), (-6.001, 0.5), (-5.999, 0.5)):
+        model = X.Model(bias=bias, slope=slope)
+        scores = [model.probability(e) for e in (0.0, 11.9, 12.0, 12.1, 14.0, 100.0)]
+        assert scores == sorted(scores) and len(set(scores)) == len(scores)
+
+
+def test_repeated_rows_are_scored_each(spark):
+    docs, labels = corpus(n=60)
+    df = spark.createDataFrame([*docs, *docs[:7]], "doc_id bigint, text string")
+    rows = X.toxicity(df, spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()
+    assert len(rows) == 67 and len({(r.doc_id, r.score) for r in rows}) == 60

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_offsets, blocks, hex_crc32, materialize, small_batches
+from .common import binary_offsets, blocks, hex_crc32, lean_memory, materialize, small_batches
 
 #: Labelled rows that the model is fitted on at most, those with the lowest hashes of doc_id.
 TRAINING_ROWS = 40_000
@@ -66,10 +66,15 @@ class Model:
         return max((get(f, 0.0) for f in features_of(word)), default=0.0)
 
     def probability(self, evidence: float) -> float:
-        z = self.bias + self.slope * evidence
+        z = self.bias + self.slope * float(counted_evidence(evidence))
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
+def counted_evidence(evidence):
+    """Evidence as the calibration reads it, wherever a score is made: beyond 12 it adds a thousandth, which only orders."""
+    return np.minimum(evidence, 12.0) + 1e-3 * np.maximum(0.0, evidence - 12.0)
+
+
 def segments(positions: list[int], scores: list[float], cost: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first token, last token, score) in time linear in the scored tokens.
 
@@ -101,18 +106,19 @@ def evidence_of(sums: list[float], n: int, model: Model) -> float:
     """-log10 of the chance that unmarked text of n tokens has such segments, over the best number of segments to count.
 
     The r highest normalised scores sum to t; a chance text has a sum that high with a
-    probability near exp(-t) t^(r-1) / (r! (r-1)!).
+    probability near exp(-t) t^(r-1) / (r! (r-1)!). Every segment takes part whose own normalised
+    score is positive, that is of which chance gives less than one; there is no other bound on r.
     """
     if not sums:
         return 0.0
     base = math.log(max(model.scale * n, 1e-9))
     best, total = 0.0, 0.0
-    for r, s in enumerate(sorted(sums, reverse=True)[:50], 1):
-        total += model.decay * s - base
-        if total > 0:
-            best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r))
-        elif r > 1:
+    for r, s in enumerate(sorted(sums, reverse=True), 1):
+        own = model.decay * s - base
+        if own <= 0:
             break
+        total += own
+        best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r))
     return best / math.log(10)
 
 
@@ -276,7 +282,7 @@ def _calibrate(model: Model, train: DataFrame) -> None:
         model.scale = (clean["n_high"] + 0.5) / (clean["n_tokens"] + 1) * math.exp(model.decay * 3)
     seen = train.mapInArrow(_measured(model), shape).groupBy("toxic", "evidence").count().collect()
     x, y, w = (np.array([r[c] for r in seen], dtype=float) for c in ("evidence", "toxic", "count"))
-    model.bias, model.slope = _logistic(np.minimum(x, 12.0), y, w)
+    model.bias, model.slope = _logistic(counted_evidence(x), y, w)
     model.slope = max(model.slope, 1e-3)
 
 
@@ -291,7 +297,7 @@ def _scored(model: Model):
                 text = data[a:b].tobytes()
                 n, evidence, found = scorer.scan(text)
                 sizes.append(n)
-                scores.append(model.probability(min(evidence, 12.0) + 1e-3 * max(0.0, evidence - 12.0)))
+                scores.append(model.probability(evidence))
                 own = []
                 if found:
                     for (begin, end), (_, _, s) in zip(_character_spans(text, found), found, strict=True):
@@ -324,14 +330,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
 def _kept(model: Model, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
+        lean_memory()
         for batch in batches:
             data, offsets = binary_offsets(batch.column(text))
             evidence = [scorer.scan(data[a:b].tobytes())[1] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield batch.filter(pa.array([model.probability(min(e, 12.0)) < 0.5 for e in evidence], pa.bool_()))
+            yield batch.filter(pa.array([model.probability(e) < 0.5 for e in evidence], pa.bool_()))
 
     return run
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows scored under 0.5, all columns; each row is judged by its own text, and none is shuffled."""
+    """The rows scored under 0.5, all columns; each row is judged by its own text, and none is shuffled.
+
+    Cases: as in ``toxicity``, whose scores decide; rows with null or empty texts have no evidence
+    and stay, repeated rows stay or go each, columns of any name stay as they are, an empty table gives no rows.
+    """
     return small_batches(docs).mapInArrow(_kept(fit(docs, labels), docs.columns.index("text")), docs.schema)
