@@ -105,9 +105,10 @@ def lean_memory() -> None:
             setting(kind, 1 << 18)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of record batches with about ``most`` bytes in a text column (one row at least), with that column's bytes and offsets from 0."""
-    lean_memory()
+def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20, lean: bool = True) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of record batches with about ``most`` bytes in a text column (one row at least), with that column's bytes and offsets from 0. ``lean`` workers map large arrays anew each time."""
+    if lean:
+        lean_memory()
     for batch in batches:
         data, offsets = binary_offsets(batch.column(column))
         at = 0

@@ -55,6 +55,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def run_hashes(values: np.ndarray, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the runs values[starts[i]:ends[i]], which come in order and do not overlap; ``code`` gives each value's number."""
+    hashes = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):  # runs in stretches of bounded length, so that the sums' room is bounded for any text
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + STRETCH, "right")))
+        low, high = int(starts[i]), int(ends[j - 1])
+        sums = np.empty(high - low + 1, dtype=np.uint64)
+        sums[0] = 0
+        np.cumsum(code[values[low:high]] * _powers(_MULTIPLIER, high - low), out=sums[1:])
+        hashes[i:j] = (sums[ends[i:j] - low] - sums[starts[i:j] - low]) * _powers(_INVERSE, high - low)[starts[i:j] - low]
+        i = j
+    hashes += (ends - starts).astype(np.uint64) * PLACE[63]
+    return mix(hashes)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in the texts' order, and for each text the number of words before it (one more entry than texts)."""
     n = len(data)
@@ -72,18 +88,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after[:-1] = word[1:]
     edge[offsets[1:]] = True
     ends = np.flatnonzero(word & (~after | edge[1:])) + 1
-    hashes = np.empty(len(starts), dtype=np.uint64)
-    i = 0
-    while i < len(starts):  # words in stretches of bounded length, so that the sums' room is bounded for any text
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + STRETCH, "right")))
-        low, high = int(starts[i]), int(ends[j - 1])
-        sums = np.empty(high - low + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum(BYTE_CODE[data[low:high]] * _powers(_MULTIPLIER, high - low), out=sums[1:])
-        hashes[i:j] = (sums[ends[i:j] - low] - sums[starts[i:j] - low]) * _powers(_INVERSE, high - low)[starts[i:j] - low]
-        i = j
-    hashes += (ends - starts).astype(np.uint64) * PLACE[63]
-    return mix(hashes), np.searchsorted(starts, offsets)
+    return run_hashes(data, BYTE_CODE, starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingles(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
