@@ -14,8 +14,10 @@ from .common import materialize, small_batches
 
 #: Pivots, and the rows (lowest hashes of vec_id) that they are fitted on.
 PIVOTS, PIVOT_SAMPLE = 64, 4096
-#: Vectors of one annulus of the index, and queries that one pass over the index answers.
-ANNULUS_ROWS, QUERIES_PER_PASS = 512, 32768
+#: Vectors of one annulus of the index, of one task, and queries that one pass over the index answers.
+ANNULUS_ROWS, TASK_ROWS, QUERIES_PER_PASS = 512, 65_536, 32768
+#: Bytes of annuli that a task holds at once.
+HELD_BYTES = 32 << 20
 #: Beyond this, products are summed as integers, below it as doubles, both exact.
 EXACT_DOUBLE = 1 << 21
 INDEX = "pivot int, low double, high double, ids binary, vectors binary, dimension int"
@@ -145,40 +147,62 @@ def _merge(row, score, vec, k: int):
     return row[keep], score[keep], vec[keep], place[keep]
 
 
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Annuli in groups of about ``HELD_BYTES``."""
+    held, size = [], 0
+    for batch in batches:
+        for p, a, b, i, v, d in zip(*batch.columns, strict=True):
+            held.append((p.as_py(), a.as_py(), b.as_py(), np.frombuffer(i.as_py(), np.int64), np.frombuffer(v.as_py(), np.int64).reshape(-1, d.as_py())))
+            size += held[-1][4].nbytes
+            if size >= HELD_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def _search(space: Space, query_ids: np.ndarray, query_keys: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int):
-    """Each task expands its annuli outward for every query, nearest bound first, until no bound reaches the query's k-th score."""
+    """Each task expands its annuli outward for every query, nearest bound first, until no bound reaches the query's k-th score.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(p, a, b, np.frombuffer(i, np.int64), np.frombuffer(v, np.int64).reshape(-1, d)) for batch in batches for p, a, b, i, v, d in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        if not held:
-            return
+    A task takes its annuli in groups of bounded size; what a query has found goes from one to the next.
+    """
+
+    def expand(held: list[tuple], part: slice, floor: np.ndarray, found: tuple) -> tuple:
         pivot, low, high = (np.array([x[j] for x in held]) for j in range(3))
-        for start in range(0, len(queries), 2048):
-            part = slice(start, start + 2048)
-            own, ids, floor = queries[part], query_ids[part], least[part].copy()
-            real = own.astype(np.float64)
-            norm2 = np.einsum("ij,ij->i", real, real)
-            far = space.distances(np.column_stack([real, np.zeros(len(real))]))[:, pivot]
-            bound = np.maximum(0.0, np.maximum(far - high[None], low[None] - far))
-            best = (norm2[:, None] + space.radius2 - np.square(bound)) / 2
-            best += 1 + 1e-9 * (norm2[:, None] + space.radius2)
-            order = np.argsort(-best, axis=1, kind="stable")
-            row, score, vec = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for step in range(len(held)):
-                at = order[:, step]
-                live = np.flatnonzero(best[np.arange(len(own)), at] >= floor)
-                if not len(live):
-                    break
-                new = []
-                for block in np.unique(at[live]):
-                    q = live[at[live] == block]
-                    products = _product(own[q], held[block][4])
-                    r, c = np.nonzero((products >= floor[q][:, None]) & (held[block][3][None] != ids[q][:, None]))
-                    new.append((q[r], products[r, c], held[block][3][c]))
-                row, score, vec, place = _merge(np.concatenate([row, *(x[0] for x in new)]), np.concatenate([score, *(x[1] for x in new)]), np.concatenate([vec, *(x[2] for x in new)]), k)
-                full = place == k - 1
-                floor[row[full]] = np.maximum(floor[row[full]], score[full])
-            yield pa.record_batch([pa.array(ids[row]), pa.array(query_keys[part][row]), pa.array(vec), pa.array(score)], names=["query_id", "query_key", "vec_id", "score"])
+        own, ids = queries[part], query_ids[part]
+        real = own.astype(np.float64)
+        norm2 = np.einsum("ij,ij->i", real, real)
+        far = space.distances(np.column_stack([real, np.zeros(len(real))]))[:, pivot]
+        bound = np.maximum(0.0, np.maximum(far - high[None], low[None] - far))
+        best = (norm2[:, None] + space.radius2 - np.square(bound)) / 2
+        best += 1 + 1e-9 * (norm2[:, None] + space.radius2)
+        order = np.argsort(-best, axis=1, kind="stable")
+        row, score, vec = found
+        for step in range(len(held)):
+            at = order[:, step]
+            live = np.flatnonzero(best[np.arange(len(own)), at] >= floor)
+            if not len(live):
+                break
+            new = []
+            for block in np.unique(at[live]):
+                q = live[at[live] == block]
+                products = _product(own[q], held[block][4])
+                r, c = np.nonzero((products >= floor[q][:, None]) & (held[block][3][None] != ids[q][:, None]))
+                new.append((q[r], products[r, c], held[block][3][c]))
+            row, score, vec, place = _merge(np.concatenate([row, *(x[0] for x in new)]), np.concatenate([score, *(x[1] for x in new)]), np.concatenate([vec, *(x[2] for x in new)]), k)
+            full = place == k - 1
+            floor[row[full]] = np.maximum(floor[row[full]], score[full])
+        return row, score, vec
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [slice(start, start + 2048) for start in range(0, len(queries), 2048)]
+        floors = [least[part].copy() for part in parts]
+        found = [(np.zeros(0, np.int64),) * 3 for _ in parts]
+        for held in _held(batches):
+            for n, part in enumerate(parts):
+                found[n] = expand(held, part, floors[n], found[n])
+        for part, (row, score, vec) in zip(parts, found, strict=True):
+            yield pa.record_batch([pa.array(query_ids[part][row]), pa.array(query_keys[part][row]), pa.array(vec), pa.array(score)], names=["query_id", "query_key", "vec_id", "score"])
 
     return run
 
@@ -192,7 +216,8 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 2
     The index is a table of annuli: rows in order of nearest pivot and distance, cut by ranges of
     (pivot, distance, vec_id), so that neither a crowded pivot nor equal vectors land in one task.
     Pivots are fitted on ``PIVOT_SAMPLE`` rows; every row is indexed. The k-th score inside a
-    query's own annulus is its first bound, and tasks give back only what reaches it. Queries
+    query's own annulus is its first bound, and tasks give back only what reaches it. The number
+    of tasks follows the table, and a task holds a bounded part of its annuli at a time. Queries
     go in passes of ``QUERIES_PER_PASS``, which bounds what a pass sends to the workers.
 
     Cases: vectors null, empty, or with null or non-finite components take no part, nor do null
@@ -217,7 +242,8 @@ def _of_one_length(whole: DataFrame, radius2: float, k: int, every: int, pivots:
     sample = whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).select("vector").collect()
     space = _fit(np.array([r["vector"] for r in sample], dtype=np.float64), pivots, radius2)
     keyed = materialize(whole.mapInArrow(_keyed(space), "vec_id bigint, vector array<bigint>, pivot int, distance double"), "topk-keyed")
-    ranged = keyed.repartitionByRange("pivot", "distance", "vec_id").sortWithinPartitions("pivot", "distance", "vec_id")
+    tasks = max(1, -(-keyed.count() // TASK_ROWS))
+    ranged = keyed.repartitionByRange(tasks, "pivot", "distance", "vec_id").sortWithinPartitions("pivot", "distance", "vec_id")
     index = materialize(ranged.mapInArrow(_packed, INDEX), "topk-index")
     seeds = materialize(index.mapInArrow(_seeds(every, k), SEED).withColumn("query_key", F.xxhash64("vector")).dropDuplicates(["query_id", "query_key"]).withColumn("pass", F.pmod(F.xxhash64("query_id", F.lit("pass")), F.lit(1 << 30))), "topk-seeds")
     passes = max(1, -(-seeds.count() // QUERIES_PER_PASS))
