@@ -83,6 +83,35 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(3, a), (5, a + " more"), (5, b), (None, a), (None, c), (None, c + " more"), (None, c), (8, ""), (8, ""), (9, None), (9, None), (2, " \x0b"), (6, b + " b")]
+    df = spark.createDataFrame([(*r, k, 1) for k, r in enumerate(rows)], "doc_id bigint, text string, key int, __id int")
+    kept = neardup.deduplicated(df)
+    assert kept.columns == df.columns
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in kept.collect())
+    assert [x for x in got if x[0] > 0 and x[1].strip()] == [(3, a), (5, b)]
+    assert [x for x in got if x[0] == -1] in ([(-1, c)], [(-1, c + " more")])
+    assert [x[0] for x in got if not x[1].strip()] == [2, 8, 8, 9, 9]
+    assert neardup.deduplicated(df.limit(0)).count() == 0
+
+
+def test_many_rows_without_ids_meet_their_own_texts_only(spark):
+    texts = [" ".join(f"{x}{k}" for k in range(20)) for x in range(40)]
+    df = spark.createDataFrame([(None, t) for t in texts * 3] + [(k, t + " more") for k, t in enumerate(texts)], "doc_id bigint, text string")
+    got = neardup.near_duplicates(df).collect()
+    assert len(got) == 160 and sum(r.kept for r in got) == 40
+    assert sorted(r.component_id for r in got if r.doc_id is None) == sorted(list(range(40)) * 3)
+    assert len(neardup.deduplicated(df).collect()) == 40
+
+
+def test_intermediate_tables_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("verdigris.llm.common.shared_dir", lambda _: f"file://{tmp_path}")
+    assert neardup.deduplicated(spark.createDataFrame(near_copies(3), "doc_id bigint, text string")).count() > 0
+    left = [p.name for p in tmp_path.iterdir()]
+    assert len(left) == 3 and all(x.startswith(("verdigris-neardup-judged", "verdigris-neardup-star", "verdigris-neardup-rest")) for x in left)
+
+
 def test_long_text_in_stretches():
     text = ("alpha beta " * 200_000 + "x" * 600_000 + " gamma").encode()
     data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])

@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 LOCAL_DIR = "/tmp/checkpoints/verdigris"
 
 
-#: Setting of the bytes of a batch that goes to a worker, its value here, and Spark's own default.
+#: Setting of the bytes of a batch that goes to a worker, its value here, and Spark's own default. A session that sets ``KEEP_BATCH`` to true keeps its own.
 BATCH_BYTES, BATCH, DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m", ("67108864b", "64m", "64MB", "67108864")
+KEEP_BATCH = "verdigris.keepArrowBatches"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,12 +47,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     It cuts lineage and is computed once; a lost executor costs no earlier stage, because
-    the files are not on it.
+    the files are not on it. The folder goes when the driver ends, or before that with ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/verdigris-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, folder = _files(spark, path)
+    files.deleteOnExit(folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.verdigris_path = path
+    return out
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and the path as it takes it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of tables that ``materialize`` gave back; nothing may read them any more. Other tables are left alone."""
+    for df in tables:
+        if path := getattr(df, "verdigris_path", None):
+            files, folder = _files(df.sparkSession, path)
+            files.delete(folder, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one that begins so, which no column of ``df`` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def sized(df: DataFrame, most: int = 200_000) -> DataFrame:
@@ -63,10 +90,11 @@ def small_batches(df: DataFrame) -> DataFrame:
     """``df``, with workers' batches of at most ``BATCH`` from now on, unless the session has a size of its own.
 
     A task holds a batch several times over, in the JVM and in the worker; the default size
-    would take hundreds of megabytes of an executor for texts.
+    would take hundreds of megabytes of an executor for texts. The setting is read when a plan
+    runs, so it cannot be put back here; it holds for the session, as the README says.
     """
     conf = df.sparkSession.conf
-    if conf.get(BATCH_BYTES, None) in (None, *DEFAULT_BATCH):
+    if conf.get(KEEP_BATCH, "false") != "true" and conf.get(BATCH_BYTES, None) in (None, *DEFAULT_BATCH):
         conf.set(BATCH_BYTES, BATCH)
     return df
 

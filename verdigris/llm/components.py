@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -19,7 +19,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     pairs = links.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a is not null and b is not null")
     both = materialize(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links")
     labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("component")), f"{name}-0")
-    turn = 0
+    before, turn = labels, 0
     while True:
         turn += 1
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
@@ -27,6 +27,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("next"))
         moved = hooked.join(jump, "component").select("id", F.least("component", "next").alias("component"), (F.least("component", "next") != F.col("old")).alias("moved"))
         now = materialize(moved, f"{name}-{turn}")
-        labels = now.select("id", "component")
+        discard(before)
+        before, labels = now, now.select("id", "component")
         if now.where("moved").isEmpty():
+            discard(both)
             return labels

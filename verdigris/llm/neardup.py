@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, blocks, materialize, sized, small_batches
+from .common import arrow_schema, blocks, discard, free_name, materialize, sized, small_batches
 from .components import components
 from .neardup_sets import MinMax, distinct, set_key, shingles, word_hashes
 
@@ -20,11 +20,11 @@ SMALL_BUCKET = 32
 #: Permutations of the sketches that tell which pairs of a bucket are worth a comparison on full sets.
 SKETCH_PERMUTATIONS = 256
 #: Standard errors below the threshold that a sketch's estimate may lie.
-SKETCH_ERRORS = 4.0
+SKETCH_ERRORS = 6.0
 
 
 def _signed(width: int, permutations: int, rows: int):
-    spec = "doc_id bigint, n_shingles bigint, key binary, bands array<bigint>"
+    spec = "doc_id bigint, text_key bigint, n_shingles bigint, key binary, bands array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, minmax = arrow_schema(spec), MinMax(permutations, rows)
@@ -37,7 +37,7 @@ def _signed(width: int, permutations: int, rows: int):
                 bands[some] = minmax.band_hashes(minmax.sign(hashes, np.append(begin[some], begin[-1])))
             ends = pa.array(np.concatenate(([0], np.cumsum(np.where(np.diff(begin) > 0, minmax.bands, 0)))).astype(np.int32))
             yield pa.record_batch(
-                [batch.column(0).cast(pa.int64()), pa.array([len(x) for x in own], pa.int64()), pa.array([set_key(x) for x in own], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(bands[some].ravel().view(np.int64)))],
+                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array([len(x) for x in own], pa.int64()), pa.array([set_key(x) for x in own], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(bands[some].ravel().view(np.int64)))],
                 schema=schema,
             )
 
@@ -164,37 +164,28 @@ def confirmed(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataF
     return joined.where(F.expr(f"least(size_a, size_b) * {whole} >= greatest(size_a, size_b) * {part}")).where(both * F.lit(whole) >= (F.col("size_a") + F.col("size_b") - both) * F.lit(part)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, part: int = 75, whole: int = 100, width: int = 5, permutations: int = 64, rows: int = 4) -> DataFrame:
-    """Groups of documents linked by a Jaccard similarity of part/whole or more on word shingles.
-
-    Returns doc_id, n_shingles, component_id (smallest doc_id that can be reached) and kept
-    (doc_id = component_id) for every row of ``docs`` (doc_id, text; other columns are not read).
-
-    Documents with equal shingle sets become one node. Min-max signatures give bands; in each
-    bucket every node is paired with one representative and the pair is confirmed on full sets.
-    Buckets that still hold several components are then compared in blocks of bounded size, all
-    pairs of nodes of different components, by long sketches; the close ones are confirmed on
-    full sets as well, in large buckets inside the block, which gives back one pair for each two
-    components that it joins. So pairs are never listed inside a group that is already one component.
-    With 32 bands of 4 a pair at the threshold is missed with a chance of about 5e-6.
+def _groups(docs: DataFrame, part: int, whole: int, width: int, permutations: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Signed rows (doc_id, text_key, n_shingles, key), and nodes: key, the row that stands for it (doc_id, text_key) and its group.
 
-    Cases: a null or empty text, or one without words, has no shingles and stands alone; a text
-    of fewer than five words has its whole sequence as its one shingle; a null doc_id stays null,
-    is no representative and is kept only if its group has no other id; rows that repeat a
-    doc_id count as documents of their own; an empty table gives an empty result.
+    A row is known by doc_id and its text's hash; rows that repeat both have equal texts and one node.
     """
-    base = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    base = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumn("text_key", F.xxhash64("text"))
     signed = materialize(base.mapInArrow(*_signed(width, permutations, rows)), "neardup-signed")
-    nodes = signed.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("row")
+    nodes = signed.where("n_shingles > 0").groupBy("key").agg(least, F.first("bands").alias("bands")).select("key", "row.doc_id", "row.text_key", "bands")
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "neardup-nodes")
 
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     crowded = banded.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("bucket", "first")
     members = materialize(banded.join(crowded, "bucket"), "neardup-members")
 
-    wanted = sized(materialize(members.select("node").distinct().join(nodes.select("node", "key", "doc_id"), "node"), "neardup-wanted"))
-    texts = base.join(wanted.withColumnRenamed("doc_id", "id"), base.doc_id.eqNullSafe(F.col("id"))).select("node", "text", "key")
+    wanted = materialize(members.select("node").distinct().join(nodes.select("node", "key", "doc_id", "text_key"), "node"), "neardup-wanted")
+    few = sized(wanted.select("node", "key", F.col("doc_id").alias("id"), F.col("text_key").alias("hash")))
+    texts = base.join(few, base.doc_id.eqNullSafe(F.col("id")) & (base.text_key == F.col("hash"))).select("node", "text", "key")
     sets = materialize(texts.mapInArrow(*_full_sets(width)), "neardup-sets")
+    if sets.count() > wanted.count():  # rows that repeat a doc_id and its text
+        sets, every = materialize(sets.dropDuplicates(["node"]), "neardup-sets"), sets
+        discard(every)
 
     stars = members.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     first = components(confirmed(stars, sets, part, whole), "neardup-star")
@@ -205,8 +196,12 @@ def near_duplicates(docs: DataFrame, part: int = 75, whole: int = 100, width: in
     open_rows = placed.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK_ROWS).alias("chunks"), large.alias("large")), "bucket").join(sets, "node")
     open_rows = open_rows.where("not large").select("*", F.lit(None).cast("array<bigint>").alias("bands")).unionByName(open_rows.where("large").join(nodes.select("node", "bands"), "node"))
     chunked = open_rows.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-    dealt = chunked.select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "component", "size", "sketch", "bands", F.when(F.col("large"), F.col("members")).alias("members"))
-    close = materialize(dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(*_close_pairs(part, whole)), "neardup-close")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
+    task = F.pmod(F.xxhash64("bucket") % tasks + low * F.col("chunks") + high, F.lit(tasks)).cast("int")  # the blocks of a bucket go to one task after another
+    dealt = chunked.select("bucket", low.alias("low"), high.alias("high"), "chunk", "node", "component", "size", "sketch", "bands", F.when(F.col("large"), F.col("members")).alias("members"), task.alias("task"))
+    dealt = dealt.repartitionById(tasks, "task").drop("task").sortWithinPartitions("bucket", "low", "high")
+    close = materialize(dealt.mapInArrow(*_close_pairs(part, whole)), "neardup-close")
     more = confirmed(close.where("not confirmed").select("a", "b").distinct(), sets, part, whole).union(close.where("confirmed").select("a", "b"))
 
     label = first.select("id", "component")
@@ -214,8 +209,34 @@ def near_duplicates(docs: DataFrame, part: int = 75, whole: int = 100, width: in
     second = components(lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "neardup-rest")
     over = second.select(F.col("id").alias("component"), F.col("component").alias("top"))
     grouped = label.join(over, "component", "full").select(F.coalesce("id", "component").alias("node"), F.coalesce("top", "component").alias("group"))
+    named = nodes.select("node", "key", "doc_id", "text_key").join(grouped, "node", "left").select("key", "doc_id", "text_key", F.coalesce("group", "node").alias("group"))
+    named = materialize(named, "neardup-named")
+    discard(nodes, members, wanted, sets, close)
+    return signed, named
 
-    named = nodes.select("node", "key", "doc_id").join(grouped, "node", "left").withColumn("group", F.coalesce("group", "node"))
+
+def near_duplicates(docs: DataFrame, part: int = 75, whole: int = 100, width: int = 5, permutations: int = 64, rows: int = 4) -> DataFrame:
+    """Groups of documents linked by a Jaccard similarity of part/whole or more on word shingles.
+
+    Returns doc_id, n_shingles, component_id (smallest doc_id that can be reached) and kept
+    (doc_id = component_id) for every row of ``docs`` (doc_id, text; other columns are not read).
+
+    Documents with equal shingle sets become one node. Min-max signatures give bands; in each
+    bucket every node is paired with one representative and the pair is confirmed on full sets.
+    Buckets that still hold several components are then compared in blocks of bounded size, all
+    pairs of nodes of different components, by long sketches; the close ones are confirmed on
+    full sets as well, in large buckets inside the block, which gives back one pair for each two
+    components that it joins. So pairs are never listed inside a group that is already one component.
+    A pair at the threshold shares none of the 32 bands of 4 with a chance of about 5e-6, and its
+    sketch, which is asked for where no representative links it, lies six standard errors off
+    with one of 1e-9.
+
+    Cases: a null or empty text, or one without words, has no shingles and stands alone; a text
+    of fewer than five words has its whole sequence as its one shingle; a null doc_id stays null,
+    is no representative and is kept only if its group has no other id; rows that repeat a
+    doc_id count as documents of their own; an empty table gives an empty result.
+    """
+    signed, named = _groups(docs, part, whole, width, permutations, rows)
     smallest = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     by_key = named.select("key", "group").join(smallest, "group").select("key", "component_id")
     whole_sets = signed.select("doc_id", "n_shingles", "key").where("n_shingles > 0").join(by_key, "key").select("doc_id", "n_shingles", "component_id")
@@ -223,13 +244,26 @@ def near_duplicates(docs: DataFrame, part: int = 75, whole: int = 100, width: in
     return whole_sets.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents that stay: of each group the one with the smallest id, with all its columns.
+def deduplicated(docs: DataFrame, part: int = 75, whole: int = 100, width: int = 5, permutations: int = 64, rows: int = 4) -> DataFrame:
+    """The documents that stay, with all their columns: one row of each group that ``near_duplicates`` finds, that of the smallest doc_id.
 
-    Where rows repeat a kept doc_id with one text, one of them stays.
+    Cases: texts without words are in no group and all stay, repeated ones too; of rows that
+    repeat a doc_id with different texts each is judged by its own text, and of those in one
+    group one stays; of rows that repeat doc_id and text one stays; a row with a null doc_id
+    stays only if its group has no row with an id; columns of any name stay as they are; an
+    empty table gives no rows.
     """
-    judged = materialize(near_duplicates(docs).select("doc_id", "kept"), "neardup-kept")
-    repeated = not judged.groupBy("doc_id").count().where("count > 1").isEmpty()
-    ids = sized(judged.where("kept" if repeated else "not kept").select(F.col("doc_id").alias("__id")).distinct())
-    kept = docs.join(ids, docs.doc_id.eqNullSafe(F.col("__id")), "left_semi" if repeated else "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    signed, named = _groups(docs, part, whole, width, permutations, rows)
+    best = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("row")).select(F.col("row.doc_id").alias("id"), F.col("row.text_key").alias("hash"))
+    seen = signed.where("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
+    judged = materialize(seen.join(best, seen.doc_id.eqNullSafe(F.col("id")) & (seen.text_key == F.col("hash")), "left").select("doc_id", "text_key", "n", F.col("hash").isNotNull().alias("stays")), "neardup-judged")
+    discard(signed, named)
+    own = [free_name(docs, name) for name in ("own_id", "own_hash")]
+    other = [free_name(docs, name) for name in ("gone_id", "gone_hash")]
+    gone = sized(judged.where("not stays").select(F.col("doc_id").alias(other[0]), F.col("text_key").alias(other[1])))
+    known = docs.withColumns({own[0]: F.col("doc_id").cast("bigint"), own[1]: F.xxhash64(F.col("text").cast("binary"))})
+    kept = known.join(gone, F.col(own[0]).eqNullSafe(F.col(other[0])) & (F.col(own[1]) == F.col(other[1])), "left_anti")
+    if not judged.where("stays and n > 1").isEmpty():  # rows that repeat doc_id and text: one of them stays
+        words = F.coalesce(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))
+        kept = kept.where(words).dropDuplicates(own).union(kept.where(~words))
+    return kept.drop(*own)

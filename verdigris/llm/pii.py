@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 ROUNDS = 8
 #: Dates are permuted inside windows of 365 * 200 days that begin here, and inside what these leave of the years 1 to 9999 at both ends.
 DATE_ORIGIN, DATE_RADICES, FIRST_RADICES, LAST_RADICES = "1900-01-01", (365, 200), (563, 65), (601, 64)
@@ -219,14 +221,6 @@ def findings(text: Column, key: str) -> tuple[Column, str]:
     return found, f"transform(candidates, o -> {each})"
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    """A column name that ``docs`` does not have."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def _replaced(docs: DataFrame, key: str, candidates: str, results: str) -> DataFrame:
     """``docs`` with its texts replaced, and two helper columns."""
     found, each = findings(F.col("text"), key)
@@ -250,7 +244,7 @@ def pseudonymized(docs: DataFrame, key: str) -> DataFrame:
     ``findings`` is replaced, any other stays, whatever its name; rows that repeat get equal results;
     an empty table gives no rows. n_chars, where there is such a column, is the caller's to renew.
     """
-    candidates, results = _free(docs, "pii_candidates"), _free(docs, "pii_results")
+    candidates, results = free_name(docs, "pii_candidates"), free_name(docs, "pii_results")
     rows = _replaced(docs, key, candidates, results)
     found = F.filter(F.flatten(F.transform(results, lambda f: f["found"])), lambda f: f["kind"].isNotNull())
     return rows.withColumn("findings", found).drop(candidates, results)
@@ -261,4 +255,4 @@ def with_pseudonyms(docs: DataFrame, key: str) -> DataFrame:
 
     Cases: as there; columns named ``findings`` or like helper columns stay as they are.
     """
-    return _replaced(docs, key, _free(docs, "pii_candidates"), _free(docs, "pii_results")).select(*[f"`{c}`" for c in docs.columns])
+    return _replaced(docs, key, free_name(docs, "pii_candidates"), free_name(docs, "pii_results")).select(*[f"`{c}`" for c in docs.columns])
