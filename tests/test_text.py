@@ -1,4 +1,6 @@
 import math
+import random
+import re
 from collections import Counter
 
 import pytest
@@ -26,7 +28,6 @@ def test_windows_overlap_and_end_with_the_text(spark):
     text = " ".join(f"w{i}" for i in range(10))
     got = one(spark, lambda c: T.token_windows(c, 4, 1), text, "a b")
     assert got == [["w0 w1 w2 w3", "w3 w4 w5 w6", "w6 w7 w8 w9"], ["a b"]]
-    assert got[0] == chunking._windows(text, 4, 1)
 
 
 def test_clip_and_names(spark):
@@ -34,13 +35,52 @@ def test_clip_and_names(spark):
     assert one(spark, T.safe_name, " a/b?c ", "..", "x") == ["a_b_c", "source", "x"]
 
 
-def test_markdown_sections_and_chunks():
+def test_markdown_sections_and_chunks(spark):
     page = "<html><head><style>x</style></head><body><h1>Title</h1><p>One.</p><script>no</script><ul><li>a<li>b</ul><h2>References</h2><p>gone</p><h2>More</h2><p>Two &amp; three.</p></body></html>"
-    text = chunking.markdown(page)
-    assert text.startswith("# Title") and "- a" in text and "gone" not in text and "no" not in text.split() and "Two & three." in text
-    assert [t for t, _ in chunking.sections("before\n# A\n\n## B\ntext")] == ["Document", "B"]
-    chunks = chunking.section_chunks("one two three. four five six. seven\n\neight nine " + "x " * 30, 8, 2)
-    assert all(len(chunking._TOKEN.findall(c)) <= 8 for c in chunks) and chunks[0].startswith("one")
+    text, none = one(spark, chunking.markdown, page, None)
+    assert text == "# Title\n\nOne.\n\n- a\n- b\n\n## More\n\nTwo & three." and none == ""
+    assert [[s.title for s in x] for x in one(spark, chunking.sections, "before\n# A\n\n## B\ntext", "# T\nx", "x", "", None)] == [["Document", "B"], ["T"], ["Document"], [], []]
+    (chunks,) = one(spark, lambda c: chunking.section_chunks(c, 8, 2), "one two three. four five six. seven\n\neight nine " + "x " * 30)
+    assert all(len(c.replace(".", " .").split()) <= 8 for c in chunks) and chunks[0].startswith("one")
+
+
+def test_character_references(spark):
+    texts = ["a &lt;b&gt; &amp;amp; &eacute;&#233;&#xE9;&#x1F600; &nosuch; & x", "none", "&#0;&#xD800;&#1114112;", None]
+    got = one(spark, chunking.unescaped, *texts)
+    assert got == ["a <b> &amp; ééé😀 &nosuch; & x", "none", "\ufffd" * 3, None]
+
+
+def plain_chunks(body, most, overlap):
+    """The rule one paragraph after another."""
+    count = lambda t: len(re.findall(r"\w+(?:[-']\w+)*|[^\w\s]", t))
+    if count(body) <= most:
+        return [body]
+    out, held = [], []
+    for unit in body.split("\n\n"):
+        words = re.findall(r"\w+(?:[-']\w+)*|[^\w\s]", unit)
+        if len(words) > most:
+            out += [*(["\n\n".join(held)] if held else [])]
+            held, at = [], 0
+            while True:
+                out.append(" ".join(words[at : at + most]))
+                if at + most >= len(words):
+                    break
+                at += most - overlap
+        else:
+            if held and count("\n\n".join([*held, unit])) > most:
+                out.append("\n\n".join(held))
+                held = []
+            held.append(unit)
+    return out + (["\n\n".join(held)] if held else [])
+
+
+def test_chunks_equal_the_rule(spark):
+    draw = random.Random(4)
+    texts = ["\n\n".join(" ".join(draw.choice(["a", "b-c", "it's", "x."]) for _ in range(draw.choice([1, 3, 7, 8, 9, 25]))) for _ in range(draw.randint(1, 12))) for _ in range(60)]
+    got = one(spark, lambda c: chunking.section_chunks(c, 8, 3), *texts)
+    assert got == [plain_chunks(t, 8, 3) for t in texts]
+    rows = chunking.chunk(spark.createDataFrame([(1, "a\n# B\nc\n\n# C"), (2, None), (3, "")], "doc_id int, text string"), most=8, overlap=3).collect()
+    assert [(r.doc_id, r.ordinal, r.chunk_id, r.section, r.text, r.token_count) for r in rows] == [(1, 1, "1::chunk_0001", "Document", "a", 1), (1, 2, "1::chunk_0002", "B", "c", 1)]
 
 
 def test_bm25_equals_the_formula(spark):
@@ -61,6 +101,6 @@ def test_bm25_equals_the_formula(spark):
     assert retrieval.search(chunks.limit(0), queries).count() == 0
 
 
-@pytest.mark.parametrize(("text", "status"), [("```json\n{\"a\": 1}\n```", "ok"), ("so {\"a\": 1} and {\"a\": 2}", "ambiguous"), ("x {\"a\": 1} {\"a\": 1}", "ok"), ("none {", "missing"), (None, "missing")])
+@pytest.mark.parametrize(("text", "status"), [("```json\n{\"a\": 1}\n```", "ok"), ("so {\"a\": 1} and {\"a\": 2}", "ambiguous"), ("x {\"a\": 1} {\"a\": 1}", "ok"), ("none {", "missing"), (None, "missing"), ('{"a": {"b": 1}}', "ok"), ('say {"a": {"b": 1}}', "ambiguous"), ('x {"a": "}"} y', "ok"), ("{{\"a\": 1}", "ok"), ("{} {}", "ok"), ("[1]", "missing"), ('```json {"a": 1}``` {"a": 2}', "ok"), ('"{" {"a": 1} "', "ok")])
 def test_json_object(text, status):
     assert reports.json_object(text)[1] == status

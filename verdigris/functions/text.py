@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ CHUNK_TOKEN = r"(?U)\w+(?:[-']\w+)*|[^\w\s]"
 TERM = r"(?U)[^\W_]+(?:[-'][^\W_]+)*"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is read; inside lambdas nothing else shares work."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize(text: Column) -> Column:
     """Unix line ends, single spaces, stripped lines, at most one blank line in a row, no blank ends."""
     lines = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[ \t]+", " ")
@@ -45,11 +52,13 @@ def token_windows(text: Column, most: int, overlap: int) -> Column:
 
     A text that fits is its own only window, unchanged.
     """
-    tokens, step = chunk_tokens(text), max(1, most - overlap)
-    n = F.size(tokens)
-    count = F.ceil(F.greatest(n - most, F.lit(0)) / F.lit(step)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), count), lambda k: F.array_join(F.slice(tokens, k * step + 1, F.lit(most)), " "))
-    return F.when(n <= most, F.array(text)).otherwise(cut)
+    step = max(1, most - overlap)
+
+    def cut(tokens: Column) -> Column:
+        count = F.ceil(F.greatest(F.size(tokens) - most, F.lit(0)) / F.lit(step)).cast("int")
+        return F.when(F.size(tokens) <= most, F.array(text)).otherwise(F.transform(F.sequence(F.lit(0), count), lambda k: F.array_join(F.slice(tokens, k * step + 1, F.lit(most)), " ")))
+
+    return bound(chunk_tokens(text), cut)
 
 
 def clip(text: Column, most: int) -> Column:

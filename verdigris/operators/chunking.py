@@ -1,181 +1,141 @@
-"""HTML to Markdown, Markdown to sections and chunks: sequential per document, so done on Arrow batches of whole documents."""
+"""HTML to Markdown, Markdown to sections and chunks, as column expressions inside each row: nothing is shuffled, whatever a document's size."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
+from collections.abc import Callable
+from html.entities import name2codepoint
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import provenance_hash
+from ..functions import text as T
 
 #: What separates blocks, what is skipped, and headings whose sections are left out.
-BLOCKS = {"p", "div", "section", "article", "br", "tr", "table", "blockquote"}
-SKIPPED = {"script", "style", "noscript", "svg", "math"}
-HEADINGS = {f"h{k}" for k in range(1, 7)}
-BOILERPLATE = ("pubmed disclaimer", "copyright", "conflict of interest", "competing interests", "references", "acknowledgments", "acknowledgements")
+BLOCKS = "p|div|section|article|br|tr|table|blockquote"
+SKIPPED = "script|style|noscript|svg|math"
+BOILERPLATE = "pubmed disclaimer|copyright|conflict of interest|competing interests|references|acknowledgments|acknowledgements"
 LEAST_CHARACTERS = 100
-_TOKEN = re.compile(r"\w+(?:[-']\w+)*|[^\w\s]")
-_HEADING = re.compile(r"^#{1,6}\s+(.+?)\s*$")
-
-
-class _Markdown(HTMLParser):
-    """Text of a page; headings get their number signs, list items a dash, blocks their own lines."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.hidden = 0
-
-    def _break(self, blank: bool) -> None:
-        text = "\n\n" if blank else "\n"
-        if self.out and not self.out[-1].endswith(text):
-            self.out.append(text)
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in SKIPPED:
-            self.hidden += 1
-        elif self.hidden:
-            return
-        elif tag in HEADINGS:
-            self._break(True)
-            self.out.append("#" * int(tag[1]) + " ")
-        elif tag == "li":
-            self._break(False)
-            self.out.append("- ")
-        elif tag in BLOCKS:
-            self._break(False)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in SKIPPED:
-            self.hidden = max(0, self.hidden - 1)
-        elif not self.hidden and (tag in HEADINGS or tag in BLOCKS):
-            self._break(True)
-        elif not self.hidden and tag == "li":
-            self._break(False)
-
-    def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            text = re.sub(r"\s+", " ", data)
-            if text.strip():
-                self.out.append(text)
-
-
-def markdown(html: str | None) -> str:
-    """A page's Markdown without boilerplate sections."""
-    parser = _Markdown()
-    parser.feed(html or "")
-    parser.close()
-    return without_boilerplate(normalized("".join(parser.out)))
-
-
-def without_boilerplate(text: str) -> str:
-    """Lines from a boilerplate heading on are dropped until the next heading."""
-    kept, dropping = [], False
-    for line in text.splitlines():
-        name = line.strip().strip("#").strip().lower()
-        if any(name == b or name.startswith(b + " ") for b in BOILERPLATE):
-            dropping = True
-            continue
-        dropping = dropping and not line.startswith("#")
-        if not dropping:
-            kept.append(line)
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(kept)).strip()
-
-
-def normalized(text: str) -> str:
-    lines = [re.sub(r"[ \t]+", " ", x).strip() for x in re.sub(r"\r\n?", "\n", text).split("\n")]
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
-
-
-def sections(text: str) -> list[tuple[str, str]]:
-    """(title, text) of what follows each heading; text before the first one is called Document; empty sections are left out."""
-    parts: list[tuple[str, list[str]]] = [("Document", [])]
-    for line in normalized(text).split("\n"):
-        heading = _HEADING.match(line)
-        if heading:
-            parts.append((heading[1], []))
-        else:
-            parts[-1][1].append(line)
-    return [(title, body) for title, lines in parts if (body := normalized("\n".join(lines)))]
-
-
-def _windows(text: str, most: int, overlap: int) -> list[str]:
-    tokens = _TOKEN.findall(text)
-    if len(tokens) <= most:
-        return [text]
-    step = max(1, most - overlap)
-    last = -(-(len(tokens) - most) // step)
-    return [" ".join(tokens[k * step : k * step + most]) for k in range(last + 1)]
-
-
-def _packed(units: list[str], most: int, overlap: int) -> list[str]:
-    """Units joined while they fit; one that never fits is cut into windows."""
-    out: list[str] = []
-    held: list[str] = []
-    used = 0
-    for unit in (u for x in units if (u := normalized(x))):
-        size = len(_TOKEN.findall(unit))
-        if held and (size > most or used + size > most):
-            out.append(normalized("\n\n".join(held)))
-            held, used = [], 0
-        if size > most:
-            out += _windows(unit, most, overlap)
-        else:
-            held.append(unit)
-            used += size
-    if held:
-        out.append(normalized("\n\n".join(held)))
-    return out
-
-
-def section_chunks(text: str, most: int, overlap: int) -> list[str]:
-    """A section's chunks of at most ``most`` tokens: paragraphs, else sentences, else token windows."""
-    text = normalized(text)
-    if len(_TOKEN.findall(text)) <= most:
-        return [text]
-    out: list[str] = []
-    for chunk in _packed(re.split(r"\n\s*\n", text), most, overlap):
-        out += [chunk] if len(_TOKEN.findall(chunk)) <= most else _packed(re.split(r"(?<=[.!?;:])\s+", chunk), most, overlap)
-    return [c for c in (normalized(x) for x in out) if c]
 
+#: A line end and a blank line that a tag asks for; several of them in a row become one.
+_END, _BLANK = "\x01", "\x02"
+#: Tags and what takes their place, in this order.
+_TAGS = (
+    (r"(?s)<!--.*?-->", ""),
+    (rf"(?is)<({SKIPPED})\b[^>]*>.*?(?:</\1\s*>|\z)", ""),
+    (r">\s+(?=<)", ">"),
+    *((rf"(?i)<h{k}\b[^>]*>", f"{_BLANK}{'#' * k} ") for k in range(1, 7)),
+    (rf"(?i)</(?:h[1-6]|{BLOCKS})\s*>", _BLANK),
+    (r"(?i)<li\b[^>]*>", f"{_END}- "),
+    (rf"(?i)</li\s*>|<(?:{BLOCKS})\b[^>]*>", _END),
+    (r"</?[A-Za-z!?][^>]*>", ""),
+)
+_HEADING = r"^#{1,6}\s+(.+?)\s*$"
 
-def to_markdown(pages: DataFrame, key: str = "page_id", html: str = "html", least: int = LEAST_CHARACTERS) -> DataFrame:
-    """(key, markdown) of pages whose text has at least ``least`` characters; null pages have none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = pd.DataFrame({key: batch[key], "markdown": [markdown(h) for h in batch[html]]})
-            yield out[out["markdown"].str.len() >= least]
+def _replaced(text: Column, *rules: tuple[str, str]) -> Column:
+    for pattern, new in rules:
+        text = F.regexp_replace(text, pattern, new)
+    return text
+
+
+def unescaped(text: Column) -> Column:
+    """Character references (decimal, hexadecimal, and the names of the language's own table) as characters; unknown names stay."""
+    reference = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+    named = F.create_map(*[F.lit(x) for item in sorted(name2codepoint.items()) for x in item])
+
+    def character(name: Column) -> Column:
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10).cast("int")).when(name.startswith("#"), F.substring(name, 2, 8).cast("int")).otherwise(F.element_at(named, name))
+        there = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        return F.when(number.isNull(), F.concat(F.lit("&"), name, F.lit(";"))).when(there, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+    names = F.regexp_extract_all(text, F.lit(reference), F.lit(1))
+    parts = F.zip_with(F.split(text, reference, -1), names, lambda part, name: F.array(part, F.when(name.isNull(), "").otherwise(character(name))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.flatten(parts), "")).otherwise(text)
+
+
+def markdown(page: Column) -> Column:
+    """A page's Markdown without boilerplate sections: headings get their number signs, list items a dash, blocks their own lines."""
+    shown = unescaped(_replaced(F.coalesce(page, F.lit("")), *_TAGS))
+    lines = _replaced(shown, (r"(?U)\s+", " "), (f"[ {_END}]*{_BLANK}[ {_END}{_BLANK}]*", "\n\n"), (f" *{_END}[ {_END}]*", "\n"))
+    return without_boilerplate(T.normalize(lines))
+
+
+def _parted(lines: Column, edge: Callable[[Column], Column]) -> Column:
+    """Lines cut before each one that ``edge`` holds for: array of arrays; what comes before the first is the first part, be it empty."""
+
+    def parts(lines: Column, at: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda k: F.slice(lines, F.get(at, k), F.get(at, k + 1) - F.get(at, k)))
+
+    edges = lambda lines: F.concat(F.array(F.lit(1)), F.filter(F.transform(lines, lambda line, k: F.when(edge(line), k + 1)), lambda k: k.isNotNull()), F.array(F.size(lines) + 1))
+    return T.bound(lines, lambda own: T.bound(edges(own), lambda at: parts(own, at)))
+
+
+def without_boilerplate(text: Column) -> Column:
+    """Lines from a boilerplate heading (with or without number signs) on are left out until the next heading."""
+    starts = lambda line: F.regexp_replace(F.lower(line), r"^[\s#]+|[\s#]+$", "").rlike(f"^(?:{BOILERPLATE})(?: |$)")
+    parts = _parted(F.split(text, "\n"), lambda line: line.startswith("#") | starts(line))
+    kept = F.filter(parts, lambda part: (F.size(part) > 0) & ~starts(F.coalesce(F.get(part, F.lit(0)), F.lit(""))))
+    return T.normalize(F.array_join(F.flatten(kept), "\n"))
+
+
+def sections(text: Column) -> Column:
+    """Array of (title, body) of what follows each heading; text before the first one is called Document; empty sections are left out."""
+
+    def section(part: Column) -> Column:
+        titled = F.coalesce(F.get(part, F.lit(0)).rlike(_HEADING), F.lit(False))
+        title = F.when(titled, F.regexp_extract(F.get(part, F.lit(0)), _HEADING, 1)).otherwise("Document")
+        body = F.when(titled, F.slice(part, 2, F.greatest(F.size(part) - 1, F.lit(0)))).otherwise(part)
+        return F.struct(title.alias("title"), T.normalize(F.array_join(body, "\n")).alias("body"))
 
-    return pages.select(key, html).mapInPandas(run, f"`{key}` {dict(pages.dtypes)[key]}, markdown string")
+    parts = _parted(F.split(T.normalize(F.coalesce(text, F.lit(""))), "\n"), lambda line: line.rlike(_HEADING))
+    return F.filter(F.transform(parts, section), lambda s: s["body"] != "")
+
+
+def _begins(counts: Column, most: int) -> Column:
+    """Where chunks of units with these token counts begin, and the number of units: at the first unit, where a count would go over ``most``, and at and behind a unit that is too long by itself."""
+    full = F.lit(most + 1)
+    start = F.struct(F.array().cast("array<int>").alias("begins"), full.alias("used"), F.lit(0).alias("k"))
+
+    def step(state: Column, n: Column) -> Column:
+        new = (state["used"] + n > most) | (state["used"] > most)
+        begins = F.when(new, F.array_append(state["begins"], state["k"])).otherwise(state["begins"])
+        used = F.when(n > most, full).when(new, n).otherwise(state["used"] + n)
+        return F.struct(begins.alias("begins"), used.alias("used"), (state["k"] + 1).alias("k"))
+
+    return F.aggregate(counts, start, step, lambda state: F.array_append(state["begins"], state["k"]))
+
+
+def packed_units(units: Column, most: int, overlap: int) -> Column:
+    """Units joined by blank lines while their tokens fit, a fold over their counts; one that never fits is cut into windows."""
+
+    def chunks(units: Column, begins: Column) -> Column:
+        groups = F.transform(F.slice(begins, 1, F.greatest(F.size(begins) - 1, F.lit(0))), lambda a, i: F.array_join(F.slice(units, a + 1, F.get(begins, i + 1) - a), "\n\n"))
+        return F.flatten(F.transform(groups, lambda g: T.token_windows(g, most, overlap)))
+
+    return T.bound(units, lambda own: T.bound(_begins(F.transform(own, T.token_count), most), lambda begins: chunks(own, begins)))
+
+
+def section_chunks(body: Column, most: int, overlap: int) -> Column:
+    """A section's chunks of at most ``most`` tokens: the whole if it fits, else its paragraphs packed, too long ones as token windows."""
+    return F.when(T.token_count(body) <= most, F.array(body)).otherwise(packed_units(T.paragraphs(body), most, overlap))
+
+
+def to_markdown(pages: DataFrame, key: str = "page_id", html: str = "html", least: int = LEAST_CHARACTERS) -> DataFrame:
+    """(key, markdown) of pages whose text has at least ``least`` characters; null pages have none."""
+    return pages.select(key, markdown(F.col(html)).alias("markdown")).where(F.length("markdown") >= least)
 
 
 def chunk(documents: DataFrame, key: str = "doc_id", text: str = "text", most: int = 350, overlap: int = 50) -> DataFrame:
     """(key, ordinal, chunk_id, section, text, token_count): chunk ids are key::chunk_0001 and on. Null texts have no chunks."""
     if most <= 0 or not 0 <= overlap < most:
         raise ValueError("0 <= overlap < most")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for name, body in zip(batch["__key"], batch[text], strict=True):
-                n = 0
-                for title, part in sections(body or ""):
-                    for piece in section_chunks(part, most, overlap):
-                        n += 1
-                        rows.append((name, n, f"{name}::chunk_{n:04d}", title, piece, len(_TOKEN.findall(piece))))
-            yield pd.DataFrame(rows, columns=["__key", "ordinal", "chunk_id", "section", "text", "token_count"])
-
-    kind = dict(documents.dtypes)[key]
-    out = documents.select(F.col(key).cast("string").alias("__key"), F.col(text)).mapInPandas(run, "__key string, ordinal int, chunk_id string, section string, text string, token_count int")
-    return out.select(F.col("__key").cast(kind).alias(key), "ordinal", "chunk_id", "section", "text", "token_count")
+    rows = documents.select(F.col(key), F.flatten(F.transform(sections(F.col(text)), lambda s: F.transform(section_chunks(s["body"], most, overlap), lambda c: F.struct(s["title"].alias("section"), c.alias("text"))))).alias("chunks"))
+    out = rows.select(F.col(key), F.posexplode("chunks").alias("k", "c")).select(F.col(key), (F.col("k") + 1).alias("ordinal"), "c.section", "c.text")
+    name = F.concat(F.col(key).cast("string"), F.lit("::chunk_"), F.when(F.col("ordinal") < 10_000, F.lpad(F.col("ordinal").cast("string"), 4, "0")).otherwise(F.col("ordinal").cast("string")))
+    return out.select(key, "ordinal", name.alias("chunk_id"), "section", "text", T.token_count(F.col("text")).alias("token_count"))
 
 
 def with_provenance(chunks: DataFrame, sources: DataFrame, key: str = "doc_id") -> DataFrame:
     """Adds each chunk's sha256 over its source's metadata (source_id, title, url, categories) and its text."""
     joined = chunks.join(sources, key)
-    return joined.withColumn("sha256", provenance_hash(F.col(key), F.col("source_id"), F.col("title"), F.col("url"), F.col("section"), F.col("categories"), F.col("text")))
+    return joined.withColumn("sha256", T.provenance_hash(F.col(key), F.col("source_id"), F.col("title"), F.col("url"), F.col("section"), F.col("categories"), F.col("text")))

@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 import hashlib
-import random
-from collections import Counter, defaultdict
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import dealt
+
+
+def _hashed(*parts: Column) -> Column:
+    """SHA-256 of the parts with a bar between them; folds follow its order, so any executor repeats them."""
+    return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
+
 
 def hash_folds(cases: DataFrame, folds: int, seed: int, repeats: int = 1, key: str = "case_id", label: str = "label", alias: str = "fold") -> DataFrame:
     """A fold for each case and repeat: position, modulo the folds, in the order of sha256(seed|repeat|label|case) inside its label."""
     rows = cases.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("repeat").cast("string"), F.col(label).cast("string"), F.col(key).cast("string")), 256)
-    return rows.withColumn(alias, F.pmod(F.row_number().over(Window.partitionBy("repeat", label).orderBy(order, key)) - 1, F.lit(folds)))
+    order = _hashed(F.lit(seed), F.col("repeat"), F.col(label), F.col(key))
+    return dealt(rows, ["repeat", label], order, key, "__place").withColumn(alias, F.pmod("__place", F.lit(folds))).drop("__place")
 
 
 def inner_hash_folds(cases: DataFrame, folds: int, seed: int, key: str = "case_id", label: str = "label", alias: str = "inner_fold") -> DataFrame:
     """The same from sha256(seed|case), once."""
-    order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256)
-    return cases.withColumn(alias, F.pmod(F.row_number().over(Window.partitionBy(label).orderBy(order, key)) - 1, F.lit(folds)))
+    return dealt(cases, [label], _hashed(F.lit(seed), F.col(key)), key, "__place").withColumn(alias, F.pmod("__place", F.lit(folds))).drop("__place")
 
 
 def stable_seed(seed: int, token: str) -> int:
@@ -29,63 +33,43 @@ def stable_seed(seed: int, token: str) -> int:
     return int.from_bytes(hashlib.sha256(f"{seed}|{token}".encode()).digest()[:8], "big")
 
 
-def assign_groups(groups: list[tuple[str, str, int]], folds: int, seed: int) -> dict[str, int]:
-    """Greedy folds for groups (id, label, cases): large ones first, each to the fold with fewest cases of its label, then fewest cases.
+def _groups(cases: DataFrame, group: str, label: str) -> DataFrame:
+    """(group_id, label, n); a group whose cases have several labels is an error."""
+    groups = cases.groupBy(F.col(group).cast("string").alias("group_id")).agg(F.count_distinct(label).alias("labels"), F.min(F.col(label).cast("string")).alias("label"), F.count("*").alias("n"))
+    if not groups.where("labels <> 1").isEmpty():
+        raise ValueError("a group has conflicting labels")
+    return groups.select("group_id", "label", "n")
 
-    The order of equal sizes is random by label and seed. This is metadata of a cohort, a few
-    numbers a group, and its order is sequential by nature; it runs on the driver.
-    """
-    if folds < 2 or len(groups) < folds:
-        raise ValueError("at least two folds, and a group for each")
-    by_label: dict[str, list[tuple[str, int]]] = defaultdict(list)
-    for name, label, size in sorted(groups):
-        by_label[label].append((name, size))
-    if min(len(v) for v in by_label.values()) < folds:
-        raise ValueError("each label needs a group for every fold")
-    queue = []
-    for label in sorted(by_label):
-        draw = random.Random(stable_seed(seed, label))
-        shuffled = list(by_label[label])
-        draw.shuffle(shuffled)
-        queue += [(-size, label, draw.random(), name) for name, size in shuffled]
-    of_label = [Counter() for _ in range(folds)]
-    of_all = [0] * folds
-    out = {}
-    for size, label, _, name in sorted(queue):
-        best = min(range(folds), key=lambda k: (of_label[k][label], of_all[k], k))
-        out[name] = best
-        of_label[best][label] -= size
-        of_all[best] -= size
-    return out
+
+def _group_folds(groups: DataFrame, folds: int, seeds: Column, alias: str, by: Sequence[str] = ()) -> DataFrame:
+    """Groups dealt to folds inside their label, large ones first, equal ones in the order of sha256(seed|group)."""
+    size = F.lpad((F.lit(10**12) - F.col("n")).cast("string"), 13, "0")
+    order = F.concat(size, _hashed(seeds, F.col("group_id")))
+    return dealt(groups, [*by, "label"], order, "group_id", "__place", cell=F.concat(size, F.substring(order, 14, 2))).withColumn(alias, F.pmod("__place", F.lit(folds)).cast("int")).drop("__place")
 
 
 def nested_group_folds(cases: DataFrame, outer: int, inner: int, seed: int, key: str = "case_id", group: str = "patient_group_id", label: str = "label") -> DataFrame:
-    """(outer_fold, inner_fold, group, role): inner_fold null for the outer test groups.
+    """(outer_fold, inner_fold, group_id, role): inner_fold null for the outer test groups.
 
-    ``cases`` is a labelled cohort; only its groups come to the driver. Rows join the result on
-    the group, so that no group can be on both sides of a fold.
+    Groups are dealt inside their label, and once more among those that an outer fold trains on, by
+    a seed of its own. Rows join the result on the group, so that no group can be on both sides of a fold.
     """
-    per_group = cases.groupBy(group).agg(F.count_distinct(label).alias("labels"), F.min(label).alias("label"), F.count("*").alias("n"))
-    rows = per_group.collect()
-    if any(r["labels"] != 1 for r in rows):
-        raise ValueError("a group has conflicting labels")
-    groups = [(str(r[group]), str(r["label"]), r["n"]) for r in rows]
-    first = assign_groups(groups, outer, seed)
-    out = []
-    for k in range(outer):
-        rest = [g for g in groups if first[g[0]] != k]
-        second = assign_groups(rest, inner, stable_seed(seed, f"outer-{k}"))
-        out += [(k, None, g, "test") for g, f in sorted(first.items()) if f == k]
-        out += [(k, f, g, "train") for g, f in sorted(second.items())]
-    return cases.sparkSession.createDataFrame(out, "outer_fold int, inner_fold int, group_id string, role string")
+    groups = _groups(cases, group, label)
+    least = groups.groupBy("label").count().agg(F.min("count").alias("n")).first()["n"]
+    if min(outer, inner) < 2 or (least or 0) < outer:
+        raise ValueError("at least two folds, and for each label a group in every fold")
+    placed = _group_folds(groups, outer, F.lit(seed), "__own").withColumn("outer_fold", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))))
+    test = placed.where("__own = outer_fold").select("outer_fold", F.lit(None).cast("int").alias("inner_fold"), "group_id", F.lit("test").alias("role"))
+    seeds = F.element_at(F.array(*[F.lit(str(stable_seed(seed, f"outer-{k}"))) for k in range(outer)]), F.col("outer_fold") + 1)
+    train = _group_folds(placed.where("__own <> outer_fold"), inner, seeds, "inner_fold", ["outer_fold"])
+    return test.unionByName(train.select("outer_fold", "inner_fold", "group_id", F.lit("train").alias("role")))
 
 
 def group_hash_folds(cases: DataFrame, folds: int, seed: int, group: str = "patient_group_id", label: str = "label", alias: str = "fold") -> DataFrame:
-    """Folds of whole groups without the driver: hash order inside the label by group, largest groups dealt first."""
-    per_group = cases.groupBy(group).agg(F.max(label).alias("__l"), F.count("*").alias("__n"))
-    order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string")), 256)
-    dealt = per_group.withColumn(alias, F.pmod(F.row_number().over(Window.partitionBy("__l").orderBy(F.desc("__n"), order, group)) - 1, F.lit(folds)))
-    return cases.join(dealt.select(group, alias), group)
+    """Folds of whole groups, as an outer fold of the nested ones; of several labels of a group the greatest counts."""
+    groups = cases.groupBy(F.col(group).alias("__g")).agg(F.max(F.col(label).cast("string")).alias("label"), F.count("*").alias("n")).withColumn("group_id", F.col("__g").cast("string"))
+    placed = _group_folds(groups, folds, F.lit(seed), "__fold").select("__g", F.col("__fold").alias(alias))
+    return cases.join(placed, cases[group] == placed["__g"]).drop("__g")
 
 
 def split_violations(assigned: DataFrame, folds: int, key: str = "case_id", group: str = "patient_group_id", fold: str = "fold") -> DataFrame:

@@ -9,23 +9,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges into which each group's values are cut.
-RANGES = 64
+#: Ranges into which each group's values are cut, at least and at most; between that, as many as a shuffle of the session has partitions.
+RANGES, MOST_RANGES = 64, 8192
 _BELOW = (Window.unboundedPreceding, -1)
 
 
-def running_totals(levels: DataFrame, by: Sequence[str], value: str, columns: Sequence[str], ranges: int = RANGES) -> DataFrame:
+def running_totals(levels: DataFrame, by: Sequence[str], value: str, columns: Sequence[str], ranges: int | None = None) -> DataFrame:
     """Adds, for rows with distinct non-null values in a group, what the columns add up to.
 
     <c>_below: over smaller values; <c>_all: over the group; next_value: the next larger value;
     is_first: whether there is no smaller one.
     """
+    ranges = ranges or min(MOST_RANGES, max(RANGES, int(levels.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     keys = ["__group"]
     rows = levels.withColumn("__group", F.xxhash64(*by) if by else F.lit(0).cast("bigint"))
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000).alias("__cuts"))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 16 * ranges).alias("__cuts"))
     placed = rows.join(cuts, keys).withColumn("__range", F.size(F.filter("__cuts", lambda c: c <= F.col(value)))).drop("__cuts")
     parts = [*keys, *by, "__range"]
     totals = placed.groupBy(*parts).agg(*[F.sum(c).alias(f"__t_{c}") for c in columns], F.min(value).alias("__low"))
@@ -40,3 +41,20 @@ def running_totals(levels: DataFrame, by: Sequence[str], value: str, columns: Se
     inside = Window.partitionBy(*parts).orderBy(value)
     out = joined.withColumns({f"{c}_below": F.col(f"__b_{c}") + F.coalesce(F.sum(c).over(inside.rowsBetween(*_BELOW)), F.lit(0)) for c in columns} | {"next_value": F.coalesce(F.lead(value).over(inside), F.col("__next_low")), "is_first": F.col("__first_range") & (F.row_number().over(inside) == 1)})
     return out.drop("__group", "__range", "__next_low", "__first_range", *[f"__b_{c}" for c in columns])
+
+
+def dealt(rows: DataFrame, by: Sequence[str], order: Column, key: str, alias: str, cell: Column | None = None) -> DataFrame:
+    """Adds each row's place (from 0) in its group in the order of a text, equal ones by ``key``.
+
+    ``cell`` is a beginning of that text, its first three characters unless given: rows are counted by
+    cell, the cells' counts are added up, and rows are ranked inside cells, so that no task ranks a whole group.
+    """
+    placed = rows.withColumn("__order", order)
+    placed = placed.withColumn("__cell", F.substring("__order", 1, 3) if cell is None else cell)
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__cell").rowsBetween(*_BELOW)), F.lit(0))
+    cells = placed.groupBy(*by, "__cell").agg(F.count("*").alias("__n")).select(*[F.col(c).alias(f"__j_{c}") for c in (*by, "__cell")], before.alias("__before"))
+    match = F.lit(True)
+    for c in (*by, "__cell"):
+        match = match & placed[c].eqNullSafe(cells[f"__j_{c}"])
+    inside = F.row_number().over(Window.partitionBy(*by, "__cell").orderBy("__order", key))
+    return placed.join(cells, match).withColumn(alias, F.col("__before") + inside - 1).drop("__order", "__cell", "__before", *[f"__j_{c}" for c in (*by, "__cell")])

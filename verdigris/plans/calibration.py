@@ -249,9 +249,17 @@ def group_hash_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.group_hash_folds(cohort(spark, sf_dir), 4, 9, label="truth").select("case_id", F.col("fold").cast("int").alias("fold"))
 
 
-@query()
+_INNER_SEEDS = " ".join(f"when {k} then '{folds.stable_seed(20260724, f'outer-{k}')}'" for k in range(5))
+
+
+@query(f"""
+with {COHORT}, groups as (select patient_group_id || '-' || truth as g, min(truth) as label, count(*) as n from cohort group by 1),
+own as (select *, (row_number() over (partition by label order by n desc, sha256('20260724|' || g)) - 1) % 5 as own from groups), placed as (select *, k::int as outer_fold from own, generate_series(0, 4) s(k))
+select outer_fold, null::int as inner_fold, g as group_id, 'test' as role from placed where own = outer_fold
+union all select outer_fold, ((row_number() over (partition by outer_fold, label order by n desc, sha256((case outer_fold {_INNER_SEEDS} end) || '|' || g)) - 1) % 4)::int, g, 'train' from placed where own <> outer_fold
+""")
 def nested_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outer and inner folds of groups; seeded, so without SQL."""
+    """Outer folds of groups, and inner ones with a seed for each outer fold."""
     rows = cohort(spark, sf_dir).withColumn("patient_group_id", F.concat_ws("-", "patient_group_id", "truth"))
     return folds.nested_group_folds(rows, 5, 4, 20260724, label="truth")
 

@@ -182,7 +182,7 @@ def series_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with s as (select user_id % 40 as study, event_id as series_key, case when user_id % 40 < 10 then case event_id % 3 when 0 then 't1_arterial' when 1 then 't1_venous' else 't1_delayed' end end as role,
-  case when user_id % 40 % 4 = 3 then null else (date_part('hour', ts) * 3600 + date_part('minute', ts) * 60 + date_part('second', ts))::double end as k1, case when user_id % 40 % 8 = 7 then null else (event_id % 1000)::int end as k2 from events where event_id % 50 < 3),
+  case when user_id % 40 % 4 = 3 then null else (date_part('hour', ts) * 3600 + date_part('minute', ts) * 60 + date_part('second', ts))::double end as k1, case when user_id % 40 % 8 = 7 then null else (event_id % 1000)::int end as k2 from events),
 lab as (select study, count(*) as n, count(distinct role) as r, max(series_key) filter (role = 't1_arterial') as a, max(series_key) filter (role = 't1_venous') as v, max(series_key) filter (role = 't1_delayed') as d from s where role is not null group by 1 having count(*) = 3 and count(distinct role) = 3),
 rest as (select * from s where study not in (select study from lab)), f as (select study, count(k1) = count(*) as timed, count(k2) = count(*) as numbered from rest group by 1),
 k as (select r.study, series_key, case when timed then k1 else k2::double end as k from rest r join f on r.study = f.study where timed or numbered), o as (select study, count(*) as n, count(distinct k) as u, list(series_key order by k, series_key) as l from k group by 1)
@@ -192,7 +192,7 @@ def dynamic_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, study = F.col("event_id"), F.col("user_id") % 40
     role = F.when(study < 10, F.when(e % 3 == 0, "t1_arterial").when(e % 3 == 1, "t1_venous").otherwise("t1_delayed"))
     clock = C.time_of_day(F.date_format("ts", "HHmmss"))
-    rows = table(spark, sf_dir, "events").where("event_id % 50 < 3").select(study.alias("study"), e.alias("series_key"), role.alias("role"), F.lit(True).alias("dynamic"), F.when(study % 4 != 3, clock).alias("acquisition_seconds"), F.when(study % 8 != 7, (e % 1000).cast("int")).alias("series_number"))
+    rows = table(spark, sf_dir, "events").select(study.alias("study"), e.alias("series_key"), role.alias("role"), F.lit(True).alias("dynamic"), F.when(study % 4 != 3, clock).alias("acquisition_seconds"), F.when(study % 8 != 7, (e % 1000).cast("int")).alias("series_number"))
     return C.dynamic_phases(rows)
 
 

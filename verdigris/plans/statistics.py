@@ -269,11 +269,11 @@ def component_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with p as (select distinct user_id as mask, (event_id % 7)::int as z, (event_id * 3 % 5)::int as y, (event_id * 5 % 11)::int as x from events where user_id % 10 = 0), c as (select mask, min(z) as z0, min(y) as y0, min(x) as x0 from p group by 1)
+with p as (select distinct user_id as mask, (event_id % 7)::int as z, (event_id * 3 % 5)::int as y, (event_id * 5 % 11)::int as x from events), c as (select mask, min(z) as z0, min(y) as y0, min(x) as x0 from p group by 1)
 select distinct mask, ((z - z0) // 2)::int as bz, ((y - y0) // 2)::int as by, ((x - x0) // 4)::int as bx from p join c using (mask)
 """)
 def box_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shapes.box_cover(_points(spark, sf_dir).where("mask % 10 = 0"), ["mask"], (2, 2, 4))
+    return shapes.box_cover(_points(spark, sf_dir), ["mask"], (2, 2, 4))
 
 
 @query("""

@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from typing import IO
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -61,33 +62,58 @@ def pages(spark: SparkSession, root: str, pattern: str = "*.html") -> DataFrame:
     return rows.select("path", decoded(F.col("content")).alias("html"))
 
 
-_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+def _local(tag: str) -> str:
+    """An element's name without its namespace."""
+    return tag.rpartition("}")[2]
 
 
-def _column(reference: str) -> int:
-    number = 0
-    for letter in re.match(r"[A-Z]*", reference.upper())[0]:
-        number = number * 26 + ord(letter) - 64
-    return max(0, number - 1)
+def _shared_strings(part: IO[bytes]) -> list[str]:
+    """The strings of a workbook in order; each may be cut into runs."""
+    found, runs = [], []
+    for _, node in ElementTree.iterparse(part):
+        name = _local(node.tag)
+        if name == "t":
+            runs.append(node.text or "")
+        elif name == "si":
+            found.append("".join(runs))
+            runs = []
+            node.clear()
+    return found
+
+
+def _place(reference: str) -> int:
+    """The column (from 0) of a cell's reference such as AB12, a number in base 26 with digits A to Z."""
+    letters = reference.rstrip("0123456789").upper()
+    return sum((ord(c) - 64) * 26**k for k, c in enumerate(reversed(letters))) - 1 if letters else 0
 
 
-def workbook_rows(content: bytes, sheet: str = "xl/worksheets/sheet1.xml") -> list[list[str]]:
-    """Cells of a sheet as text, row by row; what a row leaves out is empty."""
+def workbook_rows(content: bytes, sheet: str = "xl/worksheets/sheet1.xml") -> Iterator[list[str]]:
+    """Cells of a sheet as text, row by row as the sheet is read; what a row leaves out is empty, rows without cells are left out."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        shared = []
+        shared: list[str] = []
         if "xl/sharedStrings.xml" in book.namelist():
-            shared = ["".join(t.text or "" for t in item.iter(f"{_MAIN}t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
-        tree = ElementTree.fromstring(book.read(sheet))
-    out = []
-    for row in tree.iter(f"{_MAIN}row"):
-        cells: dict[int, str] = {}
-        for cell in row.iter(f"{_MAIN}c"):
-            kind, value = cell.get("t"), cell.find(f"{_MAIN}v")
-            text = "".join(t.text or "" for t in cell.iter(f"{_MAIN}t")) if kind == "inlineStr" else (value.text or "" if value is not None else "")
-            cells[_column(cell.get("r") or "")] = (shared[int(text)] if kind == "s" and text else text).strip()
-        if cells:
-            out.append([cells.get(k, "") for k in range(max(cells) + 1)])
-    return out
+            with book.open("xl/sharedStrings.xml") as part:
+                shared = _shared_strings(part)
+        with book.open(sheet) as part:
+            row: list[str] = []
+            value, runs = "", []
+            for _, node in ElementTree.iterparse(part):
+                name = _local(node.tag)
+                if name == "v":
+                    value = node.text or ""
+                elif name == "t":
+                    runs.append(node.text or "")
+                elif name == "c":
+                    text = {"inlineStr": "".join(runs), "s": shared[int(value)] if value and node.get("t") == "s" else ""}.get(node.get("t"), value)
+                    at = _place(node.get("r") or "")
+                    row += [""] * (at + 1 - len(row))
+                    row[at] = text.strip()
+                    value, runs = "", []
+                elif name == "row":
+                    if row:
+                        yield row
+                    row = []
+                    node.clear()
 
 
 def workbook(spark: SparkSession, path: str) -> DataFrame:
@@ -96,7 +122,7 @@ def workbook(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                rows = workbook_rows(bytes(content))
+                rows = list(workbook_rows(bytes(content)))
                 yield pd.DataFrame({"path": name, "row": range(len(rows)), "cells": rows})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row int, cells array<string>")
