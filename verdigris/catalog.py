@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import base, calibration, cohorts, evaluation, modelling, protocols, retrieval, statistics
+from .plans import base, calibration, cohorts, completions, evaluation, modelling, protocols, retrieval, statistics
 
-MODULES = (evaluation, calibration, retrieval, statistics, cohorts, modelling, protocols)
+MODULES = (evaluation, calibration, retrieval, statistics, cohorts, modelling, protocols, completions)
 QUERIES, ORACLES = base.QUERIES, base.ORACLES

@@ -150,6 +150,19 @@ def best_threshold(rows: DataFrame, kind: str = "midpoints", by: Sequence[str] =
     return found.groupBy(*by).agg(best, passing).select(*by, *[f"b.{c}" for c in columns], "feasible")
 
 
+def frontier_both_directions(rows: DataFrame, by: Sequence[str] = (), score: str = "score", truth: str = "truth", gate: float = 0.75) -> DataFrame:
+    """The frontier's best candidate for ``score >= t`` (direction 1) and for ``-score >= t`` (direction -1) of each group, and the better direction.
+
+    Equal ones: direction 1. Thresholds are those of the directed score.
+    """
+    both = rows.withColumn("direction", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("__directed", F.col(score) * F.col("direction"))
+    found = best_threshold(both, "frontier", [*by, "direction"], "__directed", truth, gate=gate)
+    order = F.struct("minimum_rate", "balanced_accuracy", "sensitivity", "specificity", "direction")
+    best = found.groupBy(*by).agg(F.max_by("direction", order).alias("__best")) if by else found.agg(F.max_by("direction", order).alias("__best"))
+    joined = found.join(best, list(by)) if by else found.crossJoin(F.broadcast(best))  # one row of a whole table's best direction
+    return joined.withColumn("chosen", F.col("direction") == F.col("__best")).drop("__best")
+
+
 def folded(rows: DataFrame, fold: str, folds: int) -> DataFrame:
     """Every row once for each fold, with ``held_out`` (1 row in ``folds``) and the fold's number in ``part``."""
     return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("held_out", F.col(fold) == F.col("part"))
@@ -233,6 +246,23 @@ def nested_weight(rows: DataFrame, first: str, second: str, grid: Sequence[float
     return scored.groupBy(*by).agg(best).select(*by, "b.*")
 
 
+def nested_cross_validated_weight(rows: DataFrame, first: str, second: str, grid: Sequence[float], outer: str, outer_folds: int, inner: str, inner_folds: int, truth: str = "truth") -> DataFrame:
+    """Decisions of every row by a blend whose weight and threshold its outer fold's training rows select.
+
+    The weight is that of ``nested_weight`` on the training rows; references and threshold are then
+    fitted on all of them. With as many outer folds as rows it is nested leave-one-out. Rows are
+    copied once an outer fold, and those once an inner one and weight. Adds w, fused, threshold and predicted.
+    """
+    parts = folded(rows, outer, outer_folds).withColumnRenamed("part", "__outer")
+    train = parts.where("not held_out").drop("held_out")
+    chosen = nested_weight(train, first, second, grid, inner, inner_folds, ["__outer"], truth).select("__outer", "w")
+    placed = parts.withColumn("__train", ~F.col("held_out")).join(F.broadcast(chosen), "__outer")  # a row an outer fold
+    keys = ["__outer"]
+    fused = ecdf(ecdf(placed, first, keys, "__a", "__train"), second, keys, "__b", "__train").withColumn("fused", (1 - F.col("w")) * F.col("__a") + F.col("w") * F.col("__b"))
+    bound = best_threshold(fused.where("__train"), "midpoints", keys, "fused", truth).select(*keys, "threshold")
+    return fused.where("held_out").join(bound, keys).withColumn("predicted", F.col("fused") >= F.col("threshold")).drop("__outer", "__a", "__b", "__train", "held_out")
+
+
 def binary_rates(decided: DataFrame, by: Sequence[str] = (), truth: str = "truth", predicted: str = "predicted", gate: float = 0.75) -> DataFrame:
     """Counts and rates of boolean decisions; an empty class has rate 0."""
     t, p = F.col(truth), F.col(predicted)

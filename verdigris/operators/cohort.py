@@ -306,6 +306,25 @@ def provenance_verdicts(cases: DataFrame, training: DataFrame, provenance: DataF
     return rows.withColumn("verdict", F.when(seen, "in_sample").when(comparable, "out_of_sample").otherwise("unknown")).select(*cases.columns, "verdict")
 
 
+def verdict_ids(verdicts: DataFrame) -> DataFrame:
+    """One row a verdict: how many cases and their ids in order. The lists are for reports of a cohort; ``verdict_partition`` gives counts of any table."""
+    return verdicts.groupBy("verdict").agg(F.count("*").alias("cases"), F.array_sort(F.collect_list(F.col("case_id").cast("string"))).alias("case_ids"))
+
+
+#: The phases that a case needs.
+REQUIRED_PHASES = ("t1_arterial", "t1_venous", "t1_delayed")
+
+
+def phase_folder_problems(folders: DataFrame, required: Sequence[str] = REQUIRED_PHASES) -> DataFrame:
+    """(case_id, rule, phase) for cases of folders (case_id, folder): phases that several folders claim, and required ones that none does."""
+    named = folders.select("case_id", phase_of_folder(F.col("folder")).alias("phase"))
+    claims = named.groupBy("case_id", "phase").agg(F.count("*").alias("n"))
+    ambiguous = claims.where("phase is not null and n > 1").select("case_id", F.lit("ambiguous").alias("rule"), "phase")
+    wanted = F.explode(F.array_except(F.array(*[F.lit(p) for p in required]), F.coalesce("have", F.array().cast("array<string>"))))
+    missing = named.groupBy("case_id").agg(F.collect_set("phase").alias("have")).select("case_id", F.lit("missing").alias("rule"), wanted.alias("phase"))
+    return ambiguous.union(missing)
+
+
 def verdict_partition(verdicts: DataFrame) -> DataFrame:
     """How many cases have each verdict; ids stay in the rows, where they can be filtered."""
     return verdicts.groupBy("verdict").agg(F.count("*").alias("cases"))

@@ -145,17 +145,60 @@ def ridge_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 80)
     return beta
 
 
+def ridge_selected(rows: DataFrame, features: Sequence[str], grid: Sequence[float], fold: str, inner: str, folds: int, inner_folds: int, key: str = "case_id") -> DataFrame:
+    """Each outer fold's ridge and threshold, chosen by inner out-of-fold scores: smaller rate, balanced accuracy, larger ridge, smaller threshold.
+
+    Fits run for every outer fold, inner fold and ridge at once, each in a task that holds a cohort's feature rows.
+    """
+    grown = calibrate.folded(rows.select(key, fold, inner, "truth", *features), fold, folds).where("not held_out").withColumnRenamed("part", "outer_fold")
+    grown = grown.withColumn("ridge", F.explode(F.array(*[F.lit(float(r)) for r in grid])))
+    group = F.concat_ws("|", "outer_fold", "ridge")
+    scores = _ridge_parts(grown.withColumn("__group", group), features, inner, inner_folds, key)
+    placed = scores.select(key, "truth", "score", F.split("__group", "[|]")[0].cast("int").alias("outer_fold"), F.split("__group", "[|]")[1].cast("double").alias("ridge"))
+    found = calibrate.best_threshold(placed, "midpoints", ["outer_fold", "ridge"])
+    best = F.max_by(F.struct("ridge", "threshold", "minimum_rate", "balanced_accuracy"), F.struct("minimum_rate", "balanced_accuracy", "ridge", (-F.col("threshold")).alias("o"))).alias("b")
+    return found.groupBy("outer_fold").agg(best).select("outer_fold", "b.*")
+
+
+def _ridge_parts(rows: DataFrame, features: Sequence[str], fold: str, folds: int, key: str) -> DataFrame:
+    """(group, key, truth, score): out-of-fold scores inside each group (column __group), whose ``ridge`` is one number."""
+    kind = dict(rows.dtypes)[key]
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for k in range(folds):
+            train, test = frame[frame[fold] != k], frame[frame[fold] == k]
+            if len(test):
+                z = _ridge_predicted(train, test, features, float(frame["ridge"].iloc[0]))
+                out.append(pd.DataFrame({"__group": test["__group"], key: test[key], "truth": test["truth"], "score": z}))
+        return pd.concat(out)
+
+    return rows.groupBy("__group").applyInPandas(fit, f"__group string, `{key}` {kind}, truth boolean, score double")
+
+
+def _ridge_predicted(train: pd.DataFrame, test: pd.DataFrame, features: Sequence[str], ridge: float) -> np.ndarray:
+    x = train[list(features)].to_numpy(float)
+    middle, spread = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    beta = ridge_logistic((x - middle) / spread, train["truth"].to_numpy(float), ridge)
+    z = np.column_stack([np.ones(len(test)), (test[list(features)].to_numpy(float) - middle) / spread]) @ beta
+    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+
+
+def margin_scores(margins: DataFrame, fold: str, folds: int, ridge: float = 1.0, key: str = "case_id") -> DataFrame:
+    """The meta model: out-of-fold scores of a ridge logistic on signed margins (``features``, an array of one length; rows without take no part)."""
+    width = margins.where("features is not null").select(F.max(F.size("features"))).first()[0] or 0
+    names = [f"m{k}" for k in range(width)]
+    rows = margins.where("features is not null").select(key, fold, "truth", *[F.col("features")[k].alias(n) for k, n in enumerate(names)])
+    return ridge_scores(rows, names, ridge, fold, folds, key)
+
+
 def ridge_scores(rows: DataFrame, features: Sequence[str], ridge: float, fold: str, folds: int, key: str = "case_id") -> DataFrame:
     """Out-of-fold scores of a ridge logistic on standardized features, one task for each fold; ``truth`` is boolean."""
     parts = calibrate.folded(rows.select(key, fold, "truth", *features), fold, folds)
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         train, test = frame[~frame["held_out"]], frame[frame["held_out"]]
-        x = train[list(features)].to_numpy(float)
-        middle, spread = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
-        beta = ridge_logistic((x - middle) / spread, train["truth"].to_numpy(float), ridge)
-        z = np.column_stack([np.ones(len(test)), (test[list(features)].to_numpy(float) - middle) / spread]) @ beta
-        return pd.DataFrame({key: test[key], "truth": test["truth"], "part": test["part"], "score": 1 / (1 + np.exp(-np.clip(z, -35, 35)))})
+        return pd.DataFrame({key: test[key], "truth": test["truth"], "part": test["part"], "score": _ridge_predicted(train, test, features, ridge)})
 
     kind = dict(rows.dtypes)[key]
     return parts.groupBy("part").applyInPandas(fit, f"`{key}` {kind}, truth boolean, part int, score double")

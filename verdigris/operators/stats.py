@@ -196,6 +196,29 @@ def precedence_state(panels: DataFrame, by: str, order: str, state: str, confide
     return out.select(by, name(F.col("__top"), ("NEGATIVA", "INCONCLUSIVA", "POSITIVA")).alias("state"), name(F.col("__min.__c"), ("baixa", "moderada", "alta")).alias("confidence"), *texts)
 
 
+def panel_flags(panels: DataFrame, by: str, order: str) -> DataFrame:
+    """Fields that only newer reports have (lesion, variant, artifact, other_type, reason), put together where every panel of a group has them all, else null.
+
+    A flag holds if any panel's does; the other type is none, the one that was named, or other if
+    several were; reasons are joined in order with a panel prefix.
+    """
+    fields = ("lesion", "variant", "artifact", "other_type", "reason")
+    complete = F.bool_and(F.coalesce(*[F.when(F.col(c).isNull(), F.lit(False)) for c in fields], F.lit(True)))
+    kinds = F.array_sort(F.collect_set(F.when(~F.col("other_type").isin("none", ""), F.col("other_type"))))
+    note = F.when(F.trim("reason") != "", F.struct(order, F.concat(F.lit("Painel "), F.col(order).cast("string"), F.lit(": "), F.trim("reason")).alias("t")))
+    notes = F.array_join(F.transform(F.sort_array(F.collect_list(note)), lambda s: s["t"]), " | ")
+    out = panels.groupBy(by).agg(complete.alias("complete"), *[F.bool_or(F.coalesce(c, F.lit(False))).alias(c) for c in fields[:3]], kinds.alias("__kinds"), notes.alias("__notes"))
+    kind = F.when(F.size("__kinds") == 0, "none").when(F.size("__kinds") == 1, F.get("__kinds", F.lit(0))).otherwise("other")
+    reason = F.when(F.col("__notes") == "", "Agregação determinística dos painéis sem síntese clínica adicional.").otherwise(F.col("__notes"))
+    full = lambda c: F.when(F.col("complete"), c)
+    return out.select(by, "complete", *[full(F.col(c)).alias(c) for c in fields[:3]], full(kind).alias("other_type"), full(reason).alias("reason"))
+
+
+def median_profile(rows: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Medians of named features."""
+    return rows.groupBy(*by).agg(*[F.median(c).alias(c) for c in names])
+
+
 def instance_aggregates(instances: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Mean, maximum, top-2 and top-3 mean of instance scores, and the two best instances' numbers (equal scores: lower number)."""
     ordered = F.sort_array(F.collect_list(value), False)
