@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
+from .index import stored
 from .order import running_totals
 
 #: Fixed value: how far outside the observed scores the outer candidates lie.
@@ -24,10 +25,18 @@ def ecdf(rows: DataFrame, value: str, by: Sequence[str] = (), alias: str = "ecdf
     ``reference`` names a boolean column; only its rows make up the distribution, all rows are
     looked up in it. Null without a reference row in the group.
     """
+    return ecdfs(rows, {value: alias}, by, reference)
+
+
+def ecdfs(rows: DataFrame, columns: Mapping[str, str], by: Sequence[str] = (), reference: str | None = None) -> DataFrame:
+    """The same of several columns, each under its alias; all are counted from ``rows``, none from another's result, so that the plan grows with the columns."""
     counted = F.lit(True) if reference is None else F.coalesce(F.col(reference), F.lit(False))
-    levels = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(counted).alias("n"))
-    placed = running_totals(levels, by, value, ["n"]).withColumn(alias, ratio(F.col("n_below") + F.col("n") / 2, F.col("n_all")))
-    return _looked_up(rows, placed, by, value, alias)
+    out = rows
+    for value, alias in columns.items():
+        levels = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(counted).alias("n"))
+        placed = running_totals(levels, by, value, ["n"]).withColumn(alias, ratio(F.col("n_below") + F.col("n") / 2, F.col("n_all")))
+        out = _looked_up(out, placed, by, value, alias)
+    return out
 
 
 def _looked_up(rows: DataFrame, placed: DataFrame, by: Sequence[str], value: str, alias: str) -> DataFrame:
@@ -50,9 +59,7 @@ def cume_dist(rows: DataFrame, value: str, by: Sequence[str] = (), alias: str =
 
 def weighted_ecdf(rows: DataFrame, weights: Mapping[str, float], by: Sequence[str] = (), alias: str = "fused", reference: str | None = None) -> DataFrame:
     """Weighted sum of the signals' ECDFs, added in the order of ``weights``."""
-    out = rows
-    for name in weights:
-        out = ecdf(out, name, by, f"__{name}", reference)
+    out = ecdfs(rows, {name: f"__{name}" for name in weights}, by, reference)
     total = F.lit(0.0)
     for name, weight in weights.items():
         total = total + F.lit(weight) * F.col(f"__{name}")
@@ -228,7 +235,7 @@ def cross_validated_fusion(rows: DataFrame, weights: Mapping[str, float], fold:
     """ECDF references, fusion and threshold fitted on the other folds for every row; adds fused, threshold and predicted."""
     keys = [*by, "part"]
     parts = folded(rows, fold, folds).withColumn("__train", ~F.col("held_out"))
-    fused = weighted_ecdf(parts, weights, keys, "fused", "__train")
+    fused = stored(weighted_ecdf(parts, weights, keys, "fused", "__train"), "fused")
     chosen = best_threshold(fused.where("__train"), "midpoints", keys, "fused", truth).select(*keys, "threshold")
     return fused.where("held_out").join(chosen, keys).withColumn("predicted", F.col("fused") >= F.col("threshold")).drop("part", "held_out", "__train")
 
@@ -238,7 +245,7 @@ def nested_weight(rows: DataFrame, first: str, second: str, grid: Sequence[float
     grown = rows.withColumn("w", F.explode(F.array(*[F.lit(float(w)) for w in grid])))
     keys = [*by, "w", "part"]
     parts = folded(grown, inner, inner_folds).withColumn("__train", ~F.col("held_out"))
-    ranked = ecdf(ecdf(parts, first, keys, "__a", "__train"), second, keys, "__b", "__train").withColumn("fused", (1 - F.col("w")) * F.col("__a") + F.col("w") * F.col("__b"))
+    ranked = stored(ecdfs(parts, {first: "__a", second: "__b"}, keys, "__train").withColumn("fused", (1 - F.col("w")) * F.col("__a") + F.col("w") * F.col("__b")), "blended")
     chosen = best_threshold(ranked.where("__train"), "midpoints", keys, "fused", truth).select(*keys, "threshold")
     decided = ranked.where("held_out").join(chosen, keys).withColumn("predicted", F.col("fused") >= F.col("threshold"))
     scored = binary_rates(decided, [*by, "w"], truth)
@@ -255,10 +262,10 @@ def nested_cross_validated_weight(rows: DataFrame, first: str, second: str, grid
     """
     parts = folded(rows, outer, outer_folds).withColumnRenamed("part", "__outer")
     train = parts.where("not held_out").drop("held_out")
-    chosen = nested_weight(train, first, second, grid, inner, inner_folds, ["__outer"], truth).select("__outer", "w")
+    chosen = stored(nested_weight(train, first, second, grid, inner, inner_folds, ["__outer"], truth).select("__outer", "w"), "weights")
     placed = parts.withColumn("__train", ~F.col("held_out")).join(F.broadcast(chosen), "__outer")  # a row an outer fold
     keys = ["__outer"]
-    fused = ecdf(ecdf(placed, first, keys, "__a", "__train"), second, keys, "__b", "__train").withColumn("fused", (1 - F.col("w")) * F.col("__a") + F.col("w") * F.col("__b"))
+    fused = stored(ecdfs(placed, {first: "__a", second: "__b"}, keys, "__train").withColumn("fused", (1 - F.col("w")) * F.col("__a") + F.col("w") * F.col("__b")), "blended")
     bound = best_threshold(fused.where("__train"), "midpoints", keys, "fused", truth).select(*keys, "threshold")
     return fused.where("held_out").join(bound, keys).withColumn("predicted", F.col("fused") >= F.col("threshold")).drop("__outer", "__a", "__b", "__train", "held_out")
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import canonical_status
+from .order import dealt
 
 
 def canonical_sha256(value: object) -> str:
@@ -95,12 +96,13 @@ def sampling_plan(backgrounds: DataFrame, donors: DataFrame, targets: Mapping[st
     spark = backgrounds.sparkSession
     hashed = lambda *c: F.sha2(F.concat_ws("|", F.lit(str(seed)), *c), 256)
     wanted = spark.createDataFrame(list(targets.items()), "label string, n int").where("n > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    planned = wanted.withColumn("index", F.row_number().over(Window.orderBy(hashed(F.col("label"), F.col("turn").cast("string")))))
-    pool = backgrounds.select(F.col("case_id").alias("background_case_id")).withColumn("place", F.row_number().over(Window.orderBy(hashed(F.col("background_case_id")))) - 1)
+    wanted = wanted.withColumn("__key", F.concat_ws("|", "label", F.col("turn").cast("string")))
+    planned = dealt(wanted, [], hashed(F.col("label"), F.col("turn").cast("string")), "__key", "index").withColumn("index", F.col("index") + 1).drop("__key")
+    pool = dealt(backgrounds.select(F.col("case_id").alias("background_case_id")), [], hashed(F.col("background_case_id")), "background_case_id", "place")
     total = pool.count()
     given = planned.withColumn("place", (F.col("index") - 1) % total).join(pool, "place").withColumn("background_variant", F.floor((F.col("index") - 1) / total).cast("int") + 1)
-    kinds = donors.withColumn("d", F.row_number().over(Window.partitionBy("label").orderBy(hashed(F.col("label"), F.col("case_id")))) - 1).withColumn("k", F.count("*").over(Window.partitionBy("label")))
-    sizes = kinds.groupBy("label").agg(F.max("k").alias("k"))
+    kinds = dealt(donors, ["label"], hashed(F.col("label"), F.col("case_id")), "case_id", "d")
+    sizes = donors.groupBy("label").agg(F.count("*").alias("k"))
     out = given.join(sizes, "label", "left").withColumn("d", F.col("turn") % F.col("k")).join(kinds.select("label", "d", F.col("case_id").alias("donor_case_id")), ["label", "d"], "left")
     return out.select(F.format_string("planned-%04d", "index").alias("case_id"), "label", "background_case_id", "background_variant", "donor_case_id")
 

@@ -141,7 +141,7 @@ def inner_hash_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CV = f"""
-with {SIGNALS}, labelled as (select case_id, s3 as s, truth, case when truth then 'POSITIVE' else 'NEGATIVE' end as label from signals), folds as ({_HASHED.format(last=3)}),
+with {SIGNALS}, labelled as (select case_id, s3 as s, truth, case when truth then 'POSITIVE' else 'NEGATIVE' end as label from signals), folds as ({_HASHED.format(last=49)}),
 levels as (select f.repeat, part, s, count(*) filter (truth) as p, count(*) filter (not truth) as n from folds f, generate_series(0, 4) g(part) where f.fold <> part group by 1, 2, 3),
 gaps as (select *, lead(s) over (partition by repeat, part order by s) as nxt from levels),
 cands as (select repeat, part, min(s) - 1e-12::double as t from levels group by 1, 2 union all select repeat, part, (s + nxt) / 2 from gaps where nxt is not null union all select repeat, part, max(s) + 1e-12::double from levels group by 1, 2),
@@ -156,12 +156,23 @@ select count(*) as repeats, count(*) filter (se >= 0.75 and sp >= 0.75) as runs_
 @query(_CV)
 def repeated_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = signals(spark, sf_dir).drop("fold").withColumn("label", F.when(F.col("truth"), "POSITIVE").otherwise("NEGATIVE"))
-    dealt = folds.hash_folds(rows, 5, 20260724, 4)
+    dealt = folds.hash_folds(rows, 5, 20260724, 50)
     decided = calibrate.cross_validated_threshold(dealt, "fold", 5, ["repeat"], score="s3")
     return calibrate.repeated_summary(calibrate.binary_rates(decided, ["repeat"]))
 
 
-@query()
+_EC = "((select count(*) from signals r where r.fold <> s.part and r.{0} < s.{0}) + 0.5 * (select count(*) from signals r where r.fold <> s.part and r.{0} = s.{0})) / t.n"
+
+
+@query(f"""
+with {SIGNALS}, parts as (select s.*, p.part from signals s, generate_series(0, 4) p(part)), totals as (select p.part, count(*) as n from signals, generate_series(0, 4) p(part) where fold <> p.part group by 1),
+fused as (select case_id, truth, fold, s.part, 0.0::double + 0.4::double * ({_EC.format('s1')}) + 0.4::double * ({_EC.format('s2')}) + 0.2::double * ({_EC.format('s3')}) as f from parts s join totals t on s.part = t.part),
+levels as (select part, f, count(*) filter (truth) as p, count(*) filter (not truth) as n from fused where fold <> part group by 1, 2), gaps as (select *, lead(f) over (partition by part order by f) as nxt from levels),
+cands as (select part, min(f) - 1e-12::double as t from levels group by 1 union all select part, (f + nxt) / 2 from gaps where nxt is not null union all select part, max(f) + 1e-12::double from levels group by 1),
+rated as (select c.part, c.t, coalesce(coalesce(sum(l.p) filter (l.f >= c.t), 0) / nullif(sum(l.p), 0), 0.0) as se, coalesce(coalesce(sum(l.n) filter (l.f < c.t), 0) / nullif(sum(l.n), 0), 0.0) as sp from cands c join levels l on c.part = l.part group by 1, 2),
+best as (select part, t from (select *, row_number() over (partition by part order by least(se, sp) desc, (se + sp) / 2 desc, -abs(se - sp) desc, t) as r from rated) where r = 1)
+select case_id, f as fused, t as threshold, f >= t as predicted from fused join best on fused.part = best.part where fold = fused.part
+""")
 def cross_validated_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ECDFs, fusion and threshold from the other folds for every case."""
     return calibrate.cross_validated_fusion(signals(spark, sf_dir), WEIGHTS, "fold", 5).select("case_id", "fused", "threshold", "predicted")

@@ -84,9 +84,15 @@ def chunk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return protocol.chunk_violations(chunks.withColumn("token_count", F.when(n % 50 == 0, F.col("token_count") + 1).otherwise(F.col("token_count"))), 118)
 
 
-@query()
+@query(f"""
+with {COHORT}, targets as (select * from (values ('hcc', 60), ('metastasis', 30), ('no_focal_lesion', 25)) t(label, n)), wanted as (select label, g.t as turn from targets, generate_series(0, n - 1) g(t)),
+planned as (select *, row_number() over (order by sha256('20260731|' || label || '|' || turn)) as i from wanted), pool as (select case_id::varchar as b, row_number() over (order by sha256('20260731|' || case_id)) - 1 as place, count(*) over () as total from cohort where truth = 'negative'),
+donors as (select positive_subtype as label, case_id::varchar as donor, row_number() over (partition by positive_subtype order by sha256('20260731|' || positive_subtype || '|' || case_id)) - 1 as d, count(*) over (partition by positive_subtype) as k from cohort where positive_subtype is not null),
+given as (select p.label, turn, i, b, ((i - 1) // total)::int + 1 as variant from planned p join pool on (i - 1) % total = place), sizes as (select distinct label, k from donors)
+select 'planned-' || lpad(i::varchar, 4, '0') as case_id, g.label, b as background_case_id, variant as background_variant, donor as donor_case_id from given g left join sizes s on g.label = s.label left join donors d on d.label = g.label and d.d = g.turn % s.k
+""")
 def sampling_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A plan over the cohort; hash orders, so without SQL."""
+    """A plan over the cohort in hash orders."""
     rows = cohort(spark, sf_dir).select(F.col("case_id").cast("string").alias("case_id"), F.col("positive_subtype").alias("label"), "truth")
     return protocol.sampling_plan(rows.where("truth = 'negative'"), rows.where("label is not null").select("case_id", "label"), {"hcc": 60, "metastasis": 30, "no_focal_lesion": 25}, 20260731)
 
