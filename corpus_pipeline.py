@@ -1,4 +1,12 @@
-"""From raw documents to packed sequences: toxic documents go, one of each group of near-duplicates stays, contaminated documents go, personal values become pseudonyms, what is left is packed."""
+"""From raw documents to packed sequences: toxic documents go, one of each group of near-duplicates stays, contaminated documents go, personal values become pseudonyms, what is left is packed.
+
+Cases, for all stages: a null or empty text has no toxic passage, no near copy and no benchmark
+window, so its row stays, and it is packed as the end token alone; rows with a null doc_id are
+judged by their texts like any other; of rows that repeat doc_id and text the second stage leaves
+one, the others treat each by itself; very long texts are read whole; columns of any name, also
+such as the operators use themselves, stay as they are up to the last stage, which returns its own;
+an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -19,17 +27,17 @@ PSEUDONYM_KEY = "demonstration key"
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored under 0.5; the model is learned from ``docs`` and the labels."""
+    """Documents scored under 0.5; the model is learned from ``docs`` and the labels. Without a toxic label all stay."""
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group."""
+    """The row of the smallest doc_id of each group; texts without words are in no group."""
     return deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs; with an empty benchmark all stay."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 

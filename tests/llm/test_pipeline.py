@@ -64,3 +64,31 @@ def test_queries_return_their_columns(spark):
     assert {name: queries.QUERIES[name](spark, SF).columns for name in want} == want
     rows = queries.op10_toxicity(spark, SF).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for r in rows)
+
+
+def odd_documents(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(1, a), (1, a), (2, a + " more"), (None, a), (None, b), (3, None), (3, None), (4, ""), (5, " \n"), (6, "mail me@example.com or +44 20 7123 4567"), (7, "word " * 60_000 + "end"), (1, "another text under a known number")]
+    return spark.createDataFrame([(i, t, "en", "x", None if t is None else len(t), "mine", 1, [1], "k") for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars int, findings string, candidates int, bands array<int>, `key` string")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_nulls_empties_repeats_and_clashing_columns(spark, name):
+    stage, docs = dict(corpus_pipeline.STAGES)[name], odd_documents(spark)
+    out = stage(spark, docs, SF)
+    rows = out.collect()
+    if name == "packing":
+        assert {r.doc_id for r in rows} == {1, 2, 3, 4, 5, 6, 7, None} and sum(r.start == 0 for r in rows) == 12
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        return
+    assert out.schema == docs.schema and all(r.findings == "mine" and r.candidates == 1 and r.bands == [1] and r.key == "k" for r in rows)
+    assert stage(spark, docs.limit(0), SF).count() == 0
+    texts = sorted((r.doc_id if r.doc_id is not None else -1, (r.text or "")[:20]) for r in rows)
+    if name == "near_duplicates":
+        assert [i for i, _ in texts] == [-1, 1, 1, 3, 3, 4, 5, 6, 7]
+    else:
+        assert len(rows) == 12
+    if name == "pii":
+        own = next(r for r in rows if r.doc_id == 6)
+        assert "7123" not in own.text and not any("me@" in str(v) or "7123" in str(v) for r in rows for v in r)
+        assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
