@@ -13,6 +13,7 @@ from .lmscore import scored
 from .neardup import near_duplicates
 from .packing import packed
 from .pii import pseudonymized
+from .resampling import resampled
 from .sharding import sharded
 from .tokencounts import section_tokens
 from .topk import top_products
@@ -73,7 +74,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_neardup, op3_topk, op4_tokencounts, op5_pii, op6_urlfilter, op7_lmscore, op8_pack, op9_shard, op10_toxicity)}
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_neardup, op3_topk, op4_tokencounts, op5_pii, op6_urlfilter, op7_lmscore, op8_pack, op9_shard, op10_toxicity, op13_resample)}
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -171,4 +176,33 @@ select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/')
 from ruled
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_neardup": OP2_SQL, "op3_topk": OP3_SQL, "op6_urlfilter": OP6_SQL}
+OP13_SQL = rf"""
+with polynomial as (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(i::bigint, range(8)), lambda c, _: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t
+), words as (
+  select doc_id, coalesce(regexp_extract_all({_FOLD.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w, row_number() over () as id from documents
+), asked as (
+  select unnest(regexp_extract_all({_FOLD.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from benchmark
+), tokens as (select id, unnest(w) as word from words),
+hexes as (select word, hex(encode(word)) as h from (select word from tokens union select word from asked)),
+bytes as (select word, list_transform(range(length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::bigint) as b from hexes),
+buckets as (
+  select word, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 as bucket from bytes, polynomial
+), placed as (select id, bucket from tokens join buckets using (word)),
+own as (select bucket, count(*) as s from placed group by 1), wanted as (select bucket, count(*) as t from asked join buckets using (word) group by 1),
+sums as (select (select coalesce(sum(s), 0) from own)::double as big_s, (select coalesce(sum(t), 0) from wanted)::double as big_t),
+gains as (
+  select bucket, floor(1000 * ln((coalesce(t, 0) + 1) * (big_s + 10000) / ((coalesce(s, 0) + 1) * (big_t + 10000))))::bigint as gain
+  from (select distinct bucket from buckets) left join own using (bucket) left join wanted using (bucket), sums
+), weights as (select id, floor(sum(gain) / count(*))::bigint as weight from placed join gains using (bucket) group by 1),
+scored as (
+  select doc_id, len(w)::bigint as n_features, coalesce(weight, 0) as weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id::varchar)[1:8])::bigint + 0.5) / 4294967296)))::bigint as score
+  from words left join weights using (id)
+), placed_in as (
+  select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id, n_features) as place, floor(10 * count(*) over (partition by n_features >= 20) / 100) as drawn from scored
+)
+select doc_id, n_features, weight, score, case when n_features >= 20 and place <= drawn then place end::bigint as rank from placed_in
+"""
+
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_neardup": OP2_SQL, "op3_topk": OP3_SQL, "op6_urlfilter": OP6_SQL, "op13_resample": OP13_SQL}
