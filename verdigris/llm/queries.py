@@ -14,6 +14,7 @@ from .neardup import near_duplicates
 from .packing import packed
 from .pii import pseudonymized
 from .resampling import resampled
+from .secretscan import BASE, secrets
 from .sharding import sharded
 from .tokencounts import section_tokens
 from .topk import top_products
@@ -74,11 +75,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*[r.kind for r in BASE]))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"], s["end"])), ",")
+    counts = [F.size(F.filter("spans", lambda s, k=r.kind: s["kind"] == k)).cast("bigint").alias(f"n_{r.kind}") for r in BASE]
+    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_neardup, op3_topk, op4_tokencounts, op5_pii, op6_urlfilter, op7_lmscore, op8_pack, op9_shard, op10_toxicity, op13_resample)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_neardup, op3_topk, op4_tokencounts, op5_pii, op6_urlfilter, op7_lmscore, op8_pack, op9_shard, op10_toxicity, op12_secrets, op13_resample)}
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
