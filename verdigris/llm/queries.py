@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import hex_crc32, table
 from .decontaminate import contamination
+from .lexical import ranked_search
 from .lmscore import scored
 from .neardup import near_duplicates
 from .packing import packed
@@ -75,6 +76,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*[r.kind for r in BASE]))
@@ -87,7 +92,7 @@ def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_neardup, op3_topk, op4_tokencounts, op5_pii, op6_urlfilter, op7_lmscore, op8_pack, op9_shard, op10_toxicity, op12_secrets, op13_resample)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_neardup, op3_topk, op4_tokencounts, op5_pii, op6_urlfilter, op7_lmscore, op8_pack, op9_shard, op10_toxicity, op11_search, op12_secrets, op13_resample)}
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -185,6 +190,24 @@ select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/')
 from ruled
 """
 
+OP11_SQL = rf"""
+with texts as (
+  select doc_id, row_number() over () as id, unnest(regexp_extract_all({_FOLD.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents
+), counted as (select id, doc_id, term, count(*) as tf from texts group by all),
+lengths as (select id, sum(tf)::bigint as n from counted group by 1),
+sums as (select count(*)::bigint as docs, sum(n)::bigint as terms from lengths),
+asked as (
+  select item_id, term, count(*) as times
+  from (select item_id, unnest(regexp_extract_all({_FOLD.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by all
+), weights as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint as w from counted, sums where term in (select term from asked) group by term, docs),
+gains as (
+  select id, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms))) as gain
+  from counted join lengths using (id) join weights using (term), sums
+), scored as (select item_id, id, doc_id, sum(times * gain)::bigint as score from asked join gains using (term) group by all)
+select item_id, rank::int as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0) where rank <= 20
+"""
+
 OP13_SQL = rf"""
 with polynomial as (
   select list_transform(range(256), lambda i: list_reduce(list_prepend(i::bigint, range(8)), lambda c, _: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t
@@ -214,4 +237,4 @@ scored as (
 select doc_id, n_features, weight, score, case when n_features >= 20 and place <= drawn then place end::bigint as rank from placed_in
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_neardup": OP2_SQL, "op3_topk": OP3_SQL, "op6_urlfilter": OP6_SQL, "op13_resample": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_neardup": OP2_SQL, "op3_topk": OP3_SQL, "op6_urlfilter": OP6_SQL, "op11_search": OP11_SQL, "op13_resample": OP13_SQL}
