@@ -311,7 +311,7 @@ def search_index(index: DataFrame, queries: DataFrame, top_k: int = 20, query_id
         keys = list(wanted)
         shared = spark.sparkContext.broadcast(([wanted[q] for q in keys], whole["n"], whole["l"]))
         read = index.join(block.select("term").distinct(), "term", "left_semi").unionByName(index.where("term is null")).select("shard", "term", "postings")
-        held = read.repartition("shard").sortWithinPartitions("shard", F.col("term").asc_nulls_first())
+        held = read.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", F.col("term").asc_nulls_first())
         best = map_arrow(held, _searcher(shared, top_k), FOUND)
         place = F.row_number().over(Window.partitionBy("query").orderBy(*_order()))
         best = best.withColumn("rank", place).where(F.col("rank") <= top_k)
