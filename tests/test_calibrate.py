@@ -1,9 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from verdigris.operators import calibrate, folds
-from verdigris.operators.order import running_totals
+from verdigris.operators.order import Scan, running_totals, scanned
 
 
 def rows_of(spark, seed, n=60, levels=12):
@@ -68,6 +69,45 @@ def test_leave_one_out_equals_refitting(spark, seed):
         assert got[i] == max(candidates, key=order)
 
 
+def test_scans_equal_plain_windows(spark):
+    draw = random.Random(4)
+    data = [(g, v, draw.choice([None, draw.randrange(100)])) for g in ("a", "b", None) for v in draw.sample(range(1000), 120)]
+    placed = running_totals(spark.createDataFrame(data, "g string, v int, x int"), ["g"], "v", ["x"], 9, keep_ranges=True)
+    wanted = {f"{how}_{below}": Scan("x", how, below) for how in ("sum", "max", "min") for below in (True, False)}
+    fold = {"sum": sum, "max": max, "min": min}
+    for row in scanned(placed, ["g"], "v", wanted).collect():
+        for alias, scan in wanted.items():
+            others = [x for g, v, x in data if g == row.g and x is not None and (v < row.v if scan.below else v > row.v)]
+            assert row[alias] == (fold[scan.how](others) if others else None)
+
+
+def test_leave_one_out_spreads_one_group_over_tasks(spark):
+    rows = spark.range(1_000_000).selectExpr("id as case_id", "(id * 7919) % 1000003 / 1000003.0D as score", "xxhash64(id) % 1000 < 400 + 200 * ((id * 7919) % 1000003 / 1000003.0D) as truth")
+    found = calibrate.leave_one_out_threshold(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("__range" in line for line in windows)
+    parts = running_totals(rows.select("score", F.lit(1).alias("n")), [], "score", ["n"], keep_ranges=True).groupBy("__range").count()
+    assert parts.count() == 64 and parts.agg(F.max("count")).first()[0] < 2 * 1_000_000 // 64
+    best = calibrate.best_threshold(rows).first().threshold
+    ends = found.agg(F.min("threshold"), F.max("threshold"), F.count("*"), F.count_if(F.col("predicted") != (F.col("score") >= best))).first()
+    assert ends[0] <= best <= ends[1] and ends[2] == 1_000_000 and ends[3] < 100
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_leave_one_out_in_groups_with_repeats(spark, seed):
+    data, df = rows_of(spark, 10 + seed, 40, 5 + 20 * seed)
+    got = {r.case_id: r.threshold for r in calibrate.leave_one_out_threshold(df, ["g"]).collect()}
+    for i, (_, g, *_) in enumerate(data):
+        rest = [d for d in data[:i] + data[i + 1 :] if d[1] == g]
+        scores = sorted({s for *_, s in rest})
+        candidates = [scores[0] - 1e-12, *[(a + b) / 2 for a, b in zip(scores, scores[1:])], scores[-1] + 1e-12]
+        def order(t, rest=rest):
+            a, b = rates(rest, t)
+            return (min(a, b), (a + b) / 2, -abs(a - b), -t)
+        assert got[i] == max(candidates, key=order)
+
+
 def test_one_row_has_a_threshold(spark):
     row = calibrate.best_threshold(spark.createDataFrame([(True, 0.3)], "truth boolean, score double")).first()
     assert row.sensitivity == 1.0 and row.specificity == 0.0

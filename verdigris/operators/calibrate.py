@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
 from .index import stored
-from .order import running_totals
+from .order import RANGE, Scan, running_totals, scanned
 
 #: Fixed value: how far outside the observed scores the outer candidates lie.
 EDGE = 1e-12
@@ -90,11 +90,11 @@ def frozen_scores(rows: DataFrame, references: DataFrame, weights: Mapping[str,
     return out.withColumns({"threshold": F.lit(float(threshold)), "prediction": F.when(F.col("score") >= threshold, "POSITIVE").otherwise("NEGATIVE")})
 
 
-def _levels(rows: DataFrame, by: Sequence[str], score: str, truth: str) -> DataFrame:
-    """Distinct scores with their positives and negatives, and how many of each lie below."""
+def _levels(rows: DataFrame, by: Sequence[str], score: str, truth: str, keep_ranges: bool = False) -> DataFrame:
+    """Distinct scores with their positives and negatives, and how many of each lie below; with the columns of ``RANGE`` if asked."""
     levels = rows.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("__s")).agg(F.count_if(F.col(truth)).alias("p"), F.count_if(~F.col(truth)).alias("n"))
-    placed = running_totals(levels, by, "__s", ["p", "n"])
-    return placed.select(*by, "__s", *[F.col(a).alias(b) for a, b in (("p", "__p"), ("n", "__n"), ("p_all", "__pos"), ("n_all", "__neg"), ("p_below", "__pb"), ("n_below", "__nb"), ("next_value", "__next"), ("is_first", "__first"))])
+    placed = running_totals(levels, by, "__s", ["p", "n"], keep_ranges=keep_ranges)
+    return placed.select(*(RANGE if keep_ranges else ()), *by, "__s", *[F.col(a).alias(b) for a, b in (("p", "__p"), ("n", "__n"), ("p_all", "__pos"), ("n_all", "__neg"), ("p_below", "__pb"), ("n_below", "__nb"), ("next_value", "__next"), ("is_first", "__first"))])
 
 
 def candidates(rows: DataFrame, kind: str, by: Sequence[str] = (), score: str = "score", truth: str = "truth") -> DataFrame:
@@ -191,41 +191,35 @@ def leave_one_out_threshold(rows: DataFrame, by: Sequence[str] = (), score: str
     """Decisions of every row by the midpoint threshold that all other rows select; adds threshold and predicted.
 
     No search is repeated. Without a row of score s and truth t, a candidate's rates depend only
-    on t and on which side of s it lies, so the best one is the better of a running maximum over
-    the candidates below s and one over those above. A score that only this row has vanishes
+    on t and on which side of s it lies, so the best one is the better of the best candidate below
+    s and the best one above: two scans of maxima over the order of the scores, cut into ranges,
+    so that one group's scores are spread over tasks. A score that only this row has vanishes
     with it, and the two candidates beside it become the one between its neighbours.
     """
-    levels = _levels(rows, by, score, truth)
-    window = Window.partitionBy(*by)
-    order = window.orderBy("__s")
-    levels = levels.withColumns({"__prev": F.lag("__s").over(order), "__p0": F.col("__pb"), "__n0": F.col("__nb"), "__p1": F.col("__pb") + F.col("__p"), "__n1": F.col("__nb") + F.col("__n")})
+    levels = stored(scanned(_levels(rows, by, score, truth, keep_ranges=True), by, "__s", {"__prev": Scan("__s", "max")}), "levels")
+    here, above = (F.col("__pb"), F.col("__nb")), (F.col("__pb") + F.col("__p"), F.col("__nb") + F.col("__n"))
 
-    def rated(threshold: Column, pb: Column, nb: Column, positive: bool, above: bool) -> Column:
-        """Order of a candidate with pb, nb at or below it once a row of the truth is gone that lies under (above: the candidate is above it) or over it."""
-        P, N = F.col("__pos") - int(positive), F.col("__neg") - int(not positive)
+    def rated(threshold: Column, counts: tuple[Column, Column], positive: bool, above: bool) -> Column:
+        """Order of a candidate with so many at or below it once a row of the truth is gone that lies under (above: the candidate is above it) or over it."""
+        (pb, nb), P, N = counts, F.col("__pos") - int(positive), F.col("__neg") - int(not positive)
         sens = ratio(F.col("__pos") - pb - int(positive and not above), P, 0.0)
         spec = ratio(nb - int(not positive and above), N, 0.0)
         return F.struct(F.least(sens, spec).alias("a"), ((sens + spec) / 2).alias("b"), (-F.abs(sens - spec)).alias("c"), (-threshold).alias("d"))
 
     upper = F.when(F.col("__next").isNull(), F.col("__s") + EDGE).otherwise((F.col("__s") + F.col("__next")) / 2)
     lower = F.when(F.col("__prev").isNull(), F.col("__s") - EDGE).otherwise((F.col("__s") + F.col("__prev")) / 2)
-    out = levels
+    # candidates below a level are the lower ones of this and of earlier levels, those above the upper ones of this and of later levels
+    own, scans = {}, {}
+    for t, positive in (("p", True), ("n", False)):
+        own |= {f"__lo_{t}": rated(lower, here, positive, False), f"__hi_{t}": rated(upper, above, positive, True)}
+        scans |= {f"__below_{t}": Scan(f"__lo_{t}", "max"), f"__above_{t}": Scan(f"__hi_{t}", "max", below=False)}
+    out = scanned(levels.withColumns(own), by, "__s", scans)
+    between = F.when(F.col("__prev").isNull(), F.col("__next") - EDGE).when(F.col("__next").isNull(), F.col("__prev") + EDGE).otherwise((F.col("__prev") + F.col("__next")) / 2)
+    alone = F.col("__p") + F.col("__n") == 1
     chosen = []
-    for positive in (True, False):
-        t = "p" if positive else "n"
-        # candidates below a level are the lower ones of this and of earlier levels, those above the upper ones of this and of later levels
-        out = out.withColumns({f"__lo_{t}": rated(lower, F.col("__p0"), F.col("__n0"), positive, False), f"__hi_{t}": rated(upper, F.col("__p1"), F.col("__n1"), positive, True)})
-        out = out.withColumns(
-            {
-                f"__lo1_{t}": F.max(f"__lo_{t}").over(order.rowsBetween(Window.unboundedPreceding, 0)),
-                f"__lo2_{t}": F.max(f"__lo_{t}").over(order.rowsBetween(Window.unboundedPreceding, -1)),
-                f"__hi1_{t}": F.max(f"__hi_{t}").over(order.rowsBetween(0, Window.unboundedFollowing)),
-                f"__hi2_{t}": F.max(f"__hi_{t}").over(order.rowsBetween(1, Window.unboundedFollowing)),
-            }
-        )
-        between = F.when(F.col("__prev").isNull(), F.col("__next") - EDGE).when(F.col("__next").isNull(), F.col("__prev") + EDGE).otherwise((F.col("__prev") + F.col("__next")) / 2)
-        alone = F.col("__p") + F.col("__n") == 1
-        best = F.when(alone, F.greatest(F.col(f"__lo2_{t}"), F.col(f"__hi2_{t}"), F.when(between.isNotNull(), rated(between, F.col("__p0"), F.col("__n0"), positive, False)))).otherwise(F.greatest(F.col(f"__lo1_{t}"), F.col(f"__hi1_{t}")))
+    for t, positive in (("p", True), ("n", False)):
+        others = F.greatest(f"__below_{t}", f"__above_{t}")
+        best = F.when(alone, F.greatest(others, F.when(between.isNotNull(), rated(between, here, positive, False)))).otherwise(F.greatest(others, f"__lo_{t}", f"__hi_{t}"))
         chosen.append(F.when(F.col(f"__{t}") > 0, F.struct(F.lit(positive).alias("t"), (-best["d"]).alias("threshold"))))
     pairs = out.select(*by, F.col("__s").alias(score), F.explode(F.filter(F.array(*chosen), lambda c: c.isNotNull())).alias("c")).select(*by, score, F.col("c.t").alias(truth), "c.threshold")
     return rows.join(pairs, [*by, score, truth]).withColumn("predicted", F.col(score) >= F.col("threshold"))
