@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import text as T
 from verdigris.operators import chunking, reports, retrieval
+from verdigris.operators.index import shared_root
 
 
 def one(spark, column, *values):
@@ -104,3 +105,17 @@ def test_bm25_equals_the_formula(spark):
 @pytest.mark.parametrize(("text", "status"), [("```json\n{\"a\": 1}\n```", "ok"), ("so {\"a\": 1} and {\"a\": 2}", "ambiguous"), ("x {\"a\": 1} {\"a\": 1}", "ok"), ("none {", "missing"), (None, "missing"), ('{"a": {"b": 1}}', "ok"), ('say {"a": {"b": 1}}', "ambiguous"), ('x {"a": "}"} y', "ok"), ("{{\"a\": 1}", "ok"), ("{} {}", "ok"), ("[1]", "missing"), ('```json {"a": 1}``` {"a": 2}', "ok"), ('"{" {"a": 1} "', "ok")])
 def test_json_object(text, status):
     assert reports.json_object(text)[1] == status
+
+
+def test_tokens_of_a_million_hyphenated_parts(spark):
+    long = spark.sql("select repeat('a-', 1000000) || 'a' as t, repeat(\"b'\", 1000000) || 'b c' as u")
+    row = long.select(F.size(T.terms(F.col("t"))), T.token_count(F.col("t")), F.size(T.terms(F.col("u"))), T.token_count(F.col("u"))).first()
+    assert tuple(row) == (1, 1, 2, 2)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    assert shared_root(None, "local[4]") == shared_root(None, "local") == "file:///tmp/checkpoints"
+    assert shared_root("hdfs://x", "yarn") == "hdfs://x"
+    for master in ("yarn", "spark://a:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_root(None, master)

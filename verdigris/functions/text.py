@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 #: The two token patterns. A chunk's tokens are words (with inner - and ') and single
 #: signs; search terms are letters and digits (with inner - and '), in lower case.
-CHUNK_TOKEN = r"(?U)\w+(?:[-']\w+)*|[^\w\s]"
-TERM = r"(?U)[^\W_]+(?:[-'][^\W_]+)*"
+#: Repeats are possessive, which finds the same tokens without a stack that grows with them.
+CHUNK_TOKEN = r"(?U)\w++(?:[-']\w++)*+|[^\w\s]"
+TERM = r"(?U)[^\W_]++(?:[-'][^\W_]++)*+"
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:

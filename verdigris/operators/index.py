@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -18,10 +19,19 @@ SCHEMA = "verdigris-bm25-1"
 FIELDS = ("doc_id", "title", "section", "text", "sha256", "categories", "priority", "url")
 
 
+def shared_root(named: str | None, master: str) -> str:
+    if not named and not re.match(r"local(\[|$)", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or "file:///tmp/checkpoints"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the session's machines share; in a session of one process that names none, in /tmp/checkpoints. It goes when the driver ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/checkpoints"
-    path = f"{root}/verdigris-{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that the session's machines share, which goes when the driver ends.
+
+    Only a session whose executors are threads of the driver may name none; it gets /tmp/checkpoints.
+    Any other is refused, as its executors would not see one another's files.
+    """
+    path = f"{shared_root(spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir(), spark.sparkContext.master)}/verdigris-{name}-{uuid.uuid4().hex}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return path
