@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calibrate, folds
+from ..operators import calibrate, folds, leave_out
 from .base import COHORT, SIGNALS, cohort, query, signals
 
 WEIGHTS = {"s1": 0.4, "s2": 0.4, "s3": 0.2}
@@ -126,6 +126,59 @@ def leave_one_out_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.leave_one_out_threshold(signals(spark, sf_dir), score="s3").select("case_id", "threshold", "predicted")
 
 
+def _refits(held: str, keys: str, fused: str) -> str:
+    """SQL of the best midpoint threshold of each refit, from ``{held}`` (the keys, truth and fused score of the rows that train it)."""
+    order = f"over (partition by {keys} order by s rows between unbounded preceding and current row)"
+    return f"""{fused}_levels as (select {keys}, f as s, count(*) filter (truth) as p, count(*) filter (not truth) as n from {held} group by {keys}, f),
+{fused}_sums as (
+  select *, lead(s) over (partition by {keys} order by s) as nxt, sum(p) {order} as cp, sum(n) {order} as cn, sum(p) over (partition by {keys}) as pp, sum(n) over (partition by {keys}) as nn, row_number() over (partition by {keys} order by s) as k from {fused}_levels
+), {fused}_rated as (
+  select {keys}, s - 1e-12::double as t, 1.0::double as se, 0.0::double as sp from {fused}_sums where k = 1 union all select {keys}, s + 1e-12::double, 0.0, 1.0 from {fused}_sums where nxt is null
+  union all select {keys}, (s + nxt) / 2, (pp - cp + case when (s + nxt) / 2 <= s then p else 0 end) / pp, (cn - case when (s + nxt) / 2 <= s then n else 0 end) / nn from {fused}_sums where nxt is not null
+), {fused} as (select {keys}, t from (select *, row_number() over (partition by {keys} order by least(se, sp) desc, (se + sp) / 2 desc, -abs(se - sp) desc, t) as r from {fused}_rated) where r = 1)"""
+
+
+_RANK = "(rank() over (partition by {keys} order by {s}) - 1 + 0.5 * count(*) over (partition by {keys}, {s})) / count(*) over (partition by {keys})"
+_OWN = "(count(*) filter (o.{s} < h.{s}) + 0.5 * count(*) filter (o.{s} = h.{s})) / count(*)"
+
+
+@query(f"""
+with {SIGNALS}, train as (
+  select h.case_id as held, o.truth, 0.0 + 0.5::double * ({_RANK.format(keys="h.case_id", s="o.s1")}) + 0.3::double * ({_RANK.format(keys="h.case_id", s="o.s2")}) + 0.2::double * ({_RANK.format(keys="h.case_id", s="o.s3")}) as f
+  from signals h join signals o on h.case_id <> o.case_id
+), {_refits("train", "held", "best")}, own as (
+  select h.case_id, 0.0 + 0.5::double * ({_OWN.format(s="s1")}) + 0.3::double * ({_OWN.format(s="s2")}) + 0.2::double * ({_OWN.format(s="s3")}) as fused from signals h join signals o on h.case_id <> o.case_id group by h.case_id
+)
+select case_id, fused, t as threshold, fused >= t as predicted from own join best on case_id = held
+""")
+def leave_one_out_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every case by the ECDFs and the threshold of all others."""
+    return leave_out.leave_one_out_fusion(signals(spark, sf_dir), {"s1": 0.5, "s2": 0.3, "s3": 0.2}).select("case_id", "fused", "threshold", "predicted")
+
+
+@query(f"""
+with {SIGNALS}, grid as (select unnest([0.0, 0.1, 0.2])::double as w), pairs as (
+  select a.case_id as i, b.case_id as j, b.dataset_id from signals a join signals b on a.dataset_id = b.dataset_id and a.case_id <> b.case_id
+), inner_ranks as (
+  select i, j, o.truth, {_RANK.format(keys="i, j", s="o.s1")} as e1, {_RANK.format(keys="i, j", s="o.s3")} as e2
+  from pairs join signals o on o.dataset_id = pairs.dataset_id and o.case_id <> i and o.case_id <> j
+), inner_train as (select i, j, w, truth, 0.0 + (1 - w) * e1 + w * e2 as f from inner_ranks, grid), {_refits("inner_train", "i, j, w", "inner_best")}, inner_own as (
+  select i, j, any_value(h.truth) as truth, {_OWN.format(s="s1")} as e1, {_OWN.format(s="s3")} as e2
+  from pairs join signals h on h.case_id = j join signals o on o.dataset_id = pairs.dataset_id and o.case_id <> i and o.case_id <> j group by i, j
+), said as (select i, w, truth, 0.0 + (1 - w) * e1 + w * e2 >= t as yes from inner_own join inner_best using (i, j)),
+metrics as (select i, w, (count(*) filter (truth and yes)) / (count(*) filter (truth)) as se, (count(*) filter (not truth and not yes)) / (count(*) filter (not truth)) as sp from said group by i, w),
+chosen as (select i, w from (select *, row_number() over (partition by i order by least(se, sp) desc, (se + sp) / 2 desc, se desc, w) as r from metrics) where r = 1),
+ranks as (select h.case_id as i, o.truth, {_RANK.format(keys="h.case_id", s="o.s1")} as e1, {_RANK.format(keys="h.case_id", s="o.s3")} as e2 from signals h join signals o on h.dataset_id = o.dataset_id and h.case_id <> o.case_id),
+train as (select i, w, truth, 0.0 + (1 - w) * e1 + w * e2 as f from ranks join chosen using (i)), {_refits("train", "i, w", "best")}, own as (
+  select h.case_id as i, {_OWN.format(s="s1")} as e1, {_OWN.format(s="s3")} as e2 from signals h join signals o on h.dataset_id = o.dataset_id and h.case_id <> o.case_id group by h.case_id
+)
+select i as case_id, w, 0.0 + (1 - w) * e1 + w * e2 as fused, t as threshold, 0.0 + (1 - w) * e1 + w * e2 >= t as predicted from own join best using (i)
+""")
+def nested_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every case of a dataset by a blend whose weight and threshold the dataset's other cases choose."""
+    return leave_out.nested_leave_one_out(signals(spark, sf_dir), "s1", "s3", [0.0, 0.1, 0.2], ["dataset_id"]).select("case_id", "w", "fused", "threshold", "predicted")
+
+
 _HASHED = "select *, (row_number() over (partition by repeat, label order by sha256('20260724|' || repeat || '|' || label || '|' || case_id), case_id) - 1) % 5 as fold from labelled, generate_series(0, {last}) r(repeat)"
 
 
