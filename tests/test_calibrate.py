@@ -142,3 +142,50 @@ def test_margins_follow_the_policy(spark):
     get = lambda policy: {r.case_id: r.features for r in calibrate.margin_features(rows, ["s1", "s2"], policy).collect()}
     assert get("fail_case") == {1: None, 2: None}
     assert [round(x, 9) for x in get("zero_margin_with_indicator")[1]] == [0.2, 0.0, 0.0, 1.0] and get("zero_margin")[2] is None
+
+
+def greedy(sizes, n_folds):
+    """(fold of each group): groups in their order, each to the fold with the fewest cases of its label, the fewest cases, the first."""
+    own, whole, out = {}, [0] * n_folds, []
+    for label, size in sizes:
+        mine = own.setdefault(label, [0] * n_folds)
+        fold = min(range(n_folds), key=lambda f: (mine[f], whole[f], f))
+        mine[fold] += size
+        whole[fold] += size
+        out.append(fold)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_rounds_equal_a_greedy_deal(seed):
+    draw = random.Random(seed)
+    n_folds = draw.randrange(2, 7)
+    sizes = sorted(((draw.choice("ab"), draw.choice([1, 1, 2, 3, 5, 40, draw.randrange(1, 30)])) for _ in range(draw.randrange(1, 150))), key=lambda g: (-g[1], g[0]))
+    counts = {}
+    for g in sizes:
+        counts[g] = counts.get(g, 0) + 1
+    got = []
+    for label, size, rounds in folds.greedy_rounds([(label, size, n) for (label, size), n in counts.items()], n_folds):
+        for place in range(counts[label, size]):
+            begin, ring = [r for r in rounds if r[0] <= place][-1]
+            got.append(ring[(place - begin) % len(ring)])
+    assert got == greedy(sizes, n_folds)
+
+
+def test_a_billion_groups_are_dealt_at_once():
+    (_, _, first), (_, _, rest) = folds.greedy_rounds([("a", 1000, 1), ("a", 1, 10**9)], 3)
+    assert first == [(0, [0])] and len(rest) == 3 and rest[-1] == (2000, [0, 1, 2])
+
+
+def test_groups_of_unequal_sizes_are_balanced(spark):
+    rows = [(f"c{g}-{i}", f"g{g}", "x") for g, n in enumerate((5, 3, 3, 1)) for i in range(n)]
+    dealt = folds.group_hash_folds(spark.createDataFrame(rows, "case_id string, patient_group_id string, label string"), 2, 3)
+    assert sorted(r["count"] for r in dealt.groupBy("fold").count().collect()) == [6, 6]
+    assert folds.split_violations(dealt, 2).isEmpty()
+
+
+def test_labels_need_a_group_in_every_inner_fold(spark):
+    rows = spark.createDataFrame([(f"c{i}", f"g{i}", "POSITIVE" if i < 5 else "NEGATIVE") for i in range(30)], "case_id string, patient_group_id string, label string")
+    assert folds.nested_group_folds(rows, 5, 4, 1).where("role = 'test'").count() == 30
+    with pytest.raises(ValueError, match="every fold"):
+        folds.nested_group_folds(rows, 5, 5, 1)

@@ -1,9 +1,10 @@
-"""Classifiers with out-of-fold scores: Spark ML pipelines in a loop over folds, and a ridge logistic by Newton steps for each group."""
+"""Classifiers with out-of-fold scores: Spark ML pipelines in a loop over folds, and ridge logistics by Newton steps on sums over the rows."""
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import calibrate, stats
+from .index import stored
 
 
 def balanced(rows: DataFrame, label: str = "label") -> DataFrame:
@@ -145,43 +147,158 @@ def ridge_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 80)
     return beta
 
 
+@dataclass(frozen=True)
+class Fit:
+    """One ridge fit: its penalty, and what it holds out: rows with any of the (column, value) pairs. The last pair's rows are those it scores, if no other holds them out."""
+
+    ridge: float
+    held: tuple[tuple[str, int], ...]
+
+    def parts(self, frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows the fit learns from, and which it scores."""
+        *outer, (column, value) = [(frame[c].to_numpy(), v) for c, v in self.held]
+        inside = np.ones(len(frame), bool)
+        for other, own in outer:
+            inside &= other != own
+        return inside & (column != value), inside & (column == value)
+
+
+@dataclass
+class Fitted:
+    """Means and spreads of the features where a fit learned, and intercept and coefficients of what they standardize."""
+
+    middle: np.ndarray
+    spread: np.ndarray
+    beta: np.ndarray
+
+    def design(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.ones(len(x)), (x - self.middle) / self.spread])
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.design(x) @ self.beta, -35, 35)))
+
+
+def _summed(rows: DataFrame, features: Sequence[str], fits: Sequence[Fit], part: Callable[[int, np.ndarray, np.ndarray], np.ndarray], width: int) -> np.ndarray:
+    """For each fit, ``width`` sums over all rows it learns from: ``part`` of the fit's number, the features and the truths of a batch.
+
+    All fits are added up in one pass. A task sends its own sums once, as many numbers as fits times
+    ``width``, and Spark adds those of all tasks up.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(fits), width))
+        for frame in frames:
+            x, y = frame[list(features)].to_numpy(float), frame["truth"].to_numpy(bool)
+            for k, fit in enumerate(fits):
+                train, _ = fit.parts(frame)
+                total[k] += part(k, x[train], y[train])
+        yield pd.DataFrame({"at": np.arange(total.size), "value": total.ravel()})
+
+    out = np.zeros(len(fits) * width)
+    for at, value in rows.mapInPandas(run, "at bigint, value double").groupBy("at").agg(F.sum("value")).collect():
+        out[at] = value
+    return out.reshape(len(fits), width)
+
+
+def ridge_fits(rows: DataFrame, features: Sequence[str], fits: Sequence[Fit], steps: int = 80) -> list[Fitted]:
+    """All fits' class-balanced ridge logistic regressions on features standardized where each one learns; ``truth`` is boolean.
+
+    One pass for means, one for spreads, then one for each Newton step, in which every fit that has not
+    settled gets its gradient and Hessian as sums over the rows. No rows are moved or copied and no task
+    holds a fold; the driver solves one small system a fit. Equal to ``ridge_logistic`` but for the order of sums.
+    """
+    d = len(features)
+    sums = _summed(rows, features, fits, lambda k, x, y: np.concatenate(([len(x), y.sum()], x.sum(axis=0))), d + 2)
+    counts, positives = np.maximum(sums[:, 0], 1), sums[:, 1]
+    middle = sums[:, 2:] / counts[:, None]
+    spread = np.sqrt(_summed(rows, features, fits, lambda k, x, y: ((x - middle[k]) ** 2).sum(axis=0), d) / counts[:, None])
+    out = [Fitted(m, np.where(s > 0, s, 1.0), np.zeros(d + 1)) for m, s in zip(middle, spread, strict=True)]
+    share = positives / counts
+    weights = 0.5 / np.maximum(share, 1e-12), 0.5 / np.maximum(1 - share, 1e-12)
+    left = list(range(len(fits)))
+    for _ in range(steps):
+        now = [(out[k], weights[0][k], weights[1][k]) for k in left]
+
+        def part(i: int, x: np.ndarray, y: np.ndarray, now: list = now) -> np.ndarray:
+            model, one, zero = now[i]
+            design, weight = model.design(x), np.where(y, one, zero)
+            p = 1 / (1 + np.exp(-np.clip(design @ model.beta, -35, 35)))
+            return np.concatenate((design.T @ (weight * (y - p)), ((design * (weight * p * (1 - p))[:, None]).T @ design).ravel()))
+
+        found = _summed(rows, features, [fits[k] for k in left], part, (d + 1) * (d + 2))
+        moving = []
+        for k, sums_ in zip(left, found, strict=True):
+            penalty = np.full(d + 1, float(fits[k].ridge))
+            penalty[0] = 0
+            hessian = sums_[d + 1 :].reshape(d + 1, d + 1) + np.diag(penalty + 1e-12)
+            step = np.linalg.solve(hessian, sums_[: d + 1] - penalty * out[k].beta)
+            out[k].beta = out[k].beta + step
+            if np.abs(step).max() >= 1e-10:
+                moving.append(k)
+        left = moving
+        if not left:
+            break
+    return out
+
+
+def _usable(rows: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Rows with a truth and all features, written once for the passes over them."""
+    whole = F.col("truth").isNotNull()
+    for name in features:
+        whole = whole & F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double"))
+    return stored(rows.where(whole).select(*keep, "truth", *[F.col(n).cast("double").alias(n) for n in features]), "ridge-rows")
+
+
+def _held_out(rows: DataFrame, features: Sequence[str], fits: Sequence[Fit], models: Sequence[Fitted], key: str) -> DataFrame:
+    """(fit, key, truth, score) of the rows that each fit scores."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            x = frame[list(features)].to_numpy(float)
+            for k, (fit, model) in enumerate(zip(fits, models, strict=True)):
+                _, test = fit.parts(frame)
+                if test.any():
+                    yield pd.DataFrame({"fit": k, key: frame[key][test], "truth": frame["truth"][test], "score": model.scores(x[test])})
+
+    return rows.mapInPandas(run, f"fit int, `{key}` {dict(rows.dtypes)[key]}, truth boolean, score double")
+
+
 def ridge_selected(rows: DataFrame, features: Sequence[str], grid: Sequence[float], fold: str, inner: str, folds: int, inner_folds: int, key: str = "case_id") -> DataFrame:
     """Each outer fold's ridge and threshold, chosen by inner out-of-fold scores: smaller rate, balanced accuracy, larger ridge, smaller threshold.
 
-    Fits run for every outer fold, inner fold and ridge at once, each in a task that holds a cohort's feature rows.
+    Fits for every outer fold, inner fold and ridge go on at once, a pass over the rows for each Newton
+    step. Rows without a truth or a feature take no part.
     """
-    grown = calibrate.folded(rows.select(key, fold, inner, "truth", *features), fold, folds).where("not held_out").withColumnRenamed("part", "outer_fold")
-    grown = grown.withColumn("ridge", F.explode(F.array(*[F.lit(float(r)) for r in grid])))
-    group = F.concat_ws("|", "outer_fold", "ridge")
-    scores = _ridge_parts(grown.withColumn("__group", group), features, inner, inner_folds, key)
-    placed = scores.select(key, "truth", "score", F.split("__group", "[|]")[0].cast("int").alias("outer_fold"), F.split("__group", "[|]")[1].cast("double").alias("ridge"))
+    usable = _usable(rows, features, [key, fold, inner])
+    fits = [Fit(float(r), ((fold, k), (inner, j))) for k in range(folds) for r in grid for j in range(inner_folds)]
+    scores = _held_out(usable, features, fits, ridge_fits(usable, features, fits), key)
+    number = F.floor(F.col("fit") / inner_folds).cast("int")
+    ridge = F.element_at(F.array(*[F.lit(float(r)) for r in grid]), F.pmod(number, F.lit(len(grid))) + 1)
+    placed = stored(scores.select(key, "truth", "score", F.floor(number / len(grid)).cast("int").alias("outer_fold"), ridge.alias("ridge")), "ridge-scores")
     found = calibrate.best_threshold(placed, "midpoints", ["outer_fold", "ridge"])
     best = F.max_by(F.struct("ridge", "threshold", "minimum_rate", "balanced_accuracy"), F.struct("minimum_rate", "balanced_accuracy", "ridge", (-F.col("threshold")).alias("o"))).alias("b")
     return found.groupBy("outer_fold").agg(best).select("outer_fold", "b.*")
 
 
-def _ridge_parts(rows: DataFrame, features: Sequence[str], fold: str, folds: int, key: str) -> DataFrame:
-    """(group, key, truth, score): out-of-fold scores inside each group (column __group), whose ``ridge`` is one number."""
-    kind = dict(rows.dtypes)[key]
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for k in range(folds):
-            train, test = frame[frame[fold] != k], frame[frame[fold] == k]
-            if len(test):
-                z = _ridge_predicted(train, test, features, float(frame["ridge"].iloc[0]))
-                out.append(pd.DataFrame({"__group": test["__group"], key: test[key], "truth": test["truth"], "score": z}))
-        return pd.concat(out)
+def ridge_scores(rows: DataFrame, features: Sequence[str], ridge: float, fold: str, folds: int, key: str = "case_id") -> DataFrame:
+    """Out-of-fold scores of a ridge logistic on standardized features: key, truth, part (the fold) and score; rows without a truth or a feature have none."""
+    usable = _usable(rows, features, [key, fold])
+    fits = [Fit(float(ridge), ((fold, k),)) for k in range(folds)]
+    return _held_out(usable, features, fits, ridge_fits(usable, features, fits), key).select(key, "truth", F.col("fit").alias("part"), "score")
 
-    return rows.groupBy("__group").applyInPandas(fit, f"__group string, `{key}` {kind}, truth boolean, score double")
 
+def nested_ridge(rows: DataFrame, features: Sequence[str], grid: Sequence[float], fold: str, inner: str, folds: int, inner_folds: int, key: str = "case_id") -> DataFrame:
+    """Decisions of every row by the ridge and threshold that ``ridge_selected`` chooses for its outer fold: key, truth, outer_fold, ridge, score, threshold, predicted.
 
-def _ridge_predicted(train: pd.DataFrame, test: pd.DataFrame, features: Sequence[str], ridge: float) -> np.ndarray:
-    x = train[list(features)].to_numpy(float)
-    middle, spread = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
-    beta = ridge_logistic((x - middle) / spread, train["truth"].to_numpy(float), ridge)
-    z = np.column_stack([np.ones(len(test)), (test[list(features)].to_numpy(float) - middle) / spread]) @ beta
-    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+    The chosen ridges (a row an outer fold) say which fit each outer fold is scored by.
+    """
+    chosen = {r["outer_fold"]: r for r in ridge_selected(rows, features, grid, fold, inner, folds, inner_folds, key).collect()}
+    usable = _usable(rows, features, [key, fold])
+    parts = sorted(chosen)
+    fits = [Fit(chosen[k]["ridge"], ((fold, k),)) for k in parts]
+    scores = _held_out(usable, features, fits, ridge_fits(usable, features, fits), key)
+    said = rows.sparkSession.createDataFrame([(i, k, float(chosen[k]["ridge"]), float(chosen[k]["threshold"])) for i, k in enumerate(parts)], "fit int, outer_fold int, ridge double, threshold double")
+    return scores.join(F.broadcast(said), "fit").select(key, "truth", "outer_fold", "ridge", "score", "threshold", (F.col("score") >= F.col("threshold")).alias("predicted"))
 
 
 def margin_scores(margins: DataFrame, fold: str, folds: int, ridge: float = 1.0, key: str = "case_id") -> DataFrame:
@@ -190,15 +307,3 @@ def margin_scores(margins: DataFrame, fold: str, folds: int, ridge: float = 1.0,
     names = [f"m{k}" for k in range(width)]
     rows = margins.where("features is not null").select(key, fold, "truth", *[F.col("features")[k].alias(n) for k, n in enumerate(names)])
     return ridge_scores(rows, names, ridge, fold, folds, key)
-
-
-def ridge_scores(rows: DataFrame, features: Sequence[str], ridge: float, fold: str, folds: int, key: str = "case_id") -> DataFrame:
-    """Out-of-fold scores of a ridge logistic on standardized features, one task for each fold; ``truth`` is boolean."""
-    parts = calibrate.folded(rows.select(key, fold, "truth", *features), fold, folds)
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        train, test = frame[~frame["held_out"]], frame[frame["held_out"]]
-        return pd.DataFrame({key: test[key], "truth": test["truth"], "part": test["part"], "score": _ridge_predicted(train, test, features, ridge)})
-
-    kind = dict(rows.dtypes)[key]
-    return parts.groupBy("part").applyInPandas(fit, f"`{key}` {kind}, truth boolean, part int, score double")

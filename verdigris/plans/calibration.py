@@ -297,17 +297,31 @@ def one_sided_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with {COHORT}, dealt as (select case_id, patient_group_id, (case_id % 5)::int as fold from cohort)
+with {COHORT}, dealt as (select case_id, patient_group_id, (case_id % 3)::int as fold from cohort)
 select 'group_crosses_folds' as rule, patient_group_id as subject from dealt group by 2 having count(distinct fold) > 1
 """)
 def fold_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folds by case number let groups leak: all violations."""
-    return folds.split_violations(cohort(spark, sf_dir).withColumn("fold", (F.col("case_id") % 5).cast("int")), 5)
+    return folds.split_violations(cohort(spark, sf_dir).withColumn("fold", (F.col("case_id") % 3).cast("int")), 3)
+
+
+def _greedy(folds: int) -> str:
+    """SQL that deals the rows of ``ordered`` (part, k from 1, group_id, label, n) one by one: fewest cases of the label, fewest cases, first fold."""
+    none = "[" + ", ".join(["0"] * folds) + "]"
+    target = f"(list_min(list_transform(range({folds}), lambda f: (case o.label when 'positive' then w.pos else w.neg end)[f + 1] * 1000000000 + w.whole[f + 1] * 1000 + f)) % 1000)::int"
+    added = lambda c, test: f"case when {test} then list_transform(range({folds}), lambda f: {c}[f + 1] + case when f = fold then n else 0 end) else {c} end"
+    return f"""walked as (
+  select distinct part, 0::bigint as k, ''::varchar as group_id, {none}::bigint[] as pos, {none}::bigint[] as neg, {none}::bigint[] as whole, 0 as fold from ordered
+  union all
+  select part, k, group_id, {added("pos", "label = 'positive'")}, {added("neg", "label <> 'positive'")}, {added("whole", "true")}, fold
+  from (select o.part, o.k::bigint as k, o.group_id, o.label, o.n, w.pos, w.neg, w.whole, {target} as fold from walked w join ordered o on o.part = w.part and o.k = w.k + 1)
+)"""
 
 
 @query(f"""
-with {COHORT}, groups as (select patient_group_id, max(truth) as l, count(*) as n from cohort group by 1), dealt as (select patient_group_id, ((row_number() over (partition by l order by n desc, sha256('9|' || patient_group_id), patient_group_id) - 1) % 4)::int as fold from groups)
-select case_id, fold from cohort join dealt using (patient_group_id)
+with recursive {COHORT}, groups as (select patient_group_id as group_id, max(truth) as label, count(*) as n from cohort group by 1),
+ordered as (select 0 as part, *, row_number() over (order by n desc, label, sha256('9|' || group_id), group_id) as k from groups), {_greedy(4)}
+select case_id, fold::int as fold from cohort join walked on group_id = patient_group_id
 """)
 def group_hash_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.group_hash_folds(cohort(spark, sf_dir), 4, 9, label="truth").select("case_id", F.col("fold").cast("int").alias("fold"))
@@ -317,10 +331,12 @@ _INNER_SEEDS = " ".join(f"when {k} then '{folds.stable_seed(20260724, f'outer-{k
 
 
 @query(f"""
-with {COHORT}, groups as (select patient_group_id || '-' || truth as g, min(truth) as label, count(*) as n from cohort group by 1),
-own as (select *, (row_number() over (partition by label order by n desc, sha256('20260724|' || g)) - 1) % 5 as own from groups), placed as (select *, k::int as outer_fold from own, generate_series(0, 4) s(k))
-select outer_fold, null::int as inner_fold, g as group_id, 'test' as role from placed where own = outer_fold
-union all select outer_fold, ((row_number() over (partition by outer_fold, label order by n desc, sha256((case outer_fold {_INNER_SEEDS} end) || '|' || g)) - 1) % 4)::int, g, 'train' from placed where own <> outer_fold
+with recursive {COHORT}, groups as (select patient_group_id || '-' || truth as group_id, min(truth) as label, count(*) as n from cohort group by 1),
+outer_folds as (with recursive ordered as (select 0 as part, *, row_number() over (order by n desc, label, sha256('20260724|' || group_id)) as k from groups), {_greedy(5)} select group_id, fold as own from walked where k > 0),
+placed as (select *, k::int as outer_fold from groups join outer_folds using (group_id), generate_series(0, 4) s(k)),
+ordered as (select outer_fold as part, group_id, label, n, row_number() over (partition by outer_fold order by n desc, label, sha256((case outer_fold {_INNER_SEEDS} end) || '|' || group_id)) as k from placed where own <> outer_fold), {_greedy(4)}
+select outer_fold, null::int as inner_fold, group_id, 'test' as role from placed where own = outer_fold
+union all select part, fold::int, group_id, 'train' from walked where k > 0
 """)
 def nested_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outer folds of groups, and inner ones with a seed for each outer fold."""

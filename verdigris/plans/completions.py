@@ -151,6 +151,13 @@ def ridge_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.ridge_selected(rows, ["s1", "s2", "s3"], [0.01, 0.1, 1.0, 10.0], "fold", "inner_fold", 5, 4)
 
 
+@query()
+def nested_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of every case by the ridge and threshold of its outer fold."""
+    rows = signals(spark, sf_dir).withColumn("inner_fold", (F.col("case_id") % 4).cast("int"))
+    return models.nested_ridge(rows, ["s1", "s2", "s3"], [0.01, 0.1, 1.0, 10.0], "fold", "inner_fold", 5, 4)
+
+
 @query()
 def margin_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The meta model on signed margins, missing signals at zero with indicators."""
