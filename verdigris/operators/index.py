@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Sequence
@@ -11,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import provenance_hash
+from ..functions.text import terms as terms_of
 from . import retrieval
 
 #: Tag of the form in which an index is stored.
-SCHEMA = "verdigris-bm25-1"
+SCHEMA = "verdigris-bm25-2"
 #: Fields that a chunk needs to be indexed.
 FIELDS = ("doc_id", "title", "section", "text", "sha256", "categories", "priority", "url")
 
@@ -71,45 +73,72 @@ def hash_problems(chunks: DataFrame) -> DataFrame:
     return chunks.where(~digest.eqNullSafe(F.col("sha256"))).select("chunk_id", F.lit("hash_wrong").alias("rule"))
 
 
+#: Rows of (query, term, gain) that every task holds at a time; more of them are searched in blocks of queries.
+MOST_GAINS = 200_000
+
+
 @dataclass
 class Index:
-    """Postings (key, length, term, tf) in ranges of the term, terms (term, df, idf), and numbers of the whole corpus."""
+    """Postings (key, length, term, tf) in buckets of the key, terms (term, df, idf), and numbers of the whole corpus."""
 
     postings: DataFrame
     terms: DataFrame
     manifest: DataFrame
 
 
-def build(chunks: DataFrame, path: str, key: str = "chunk_id", text: str = "text", k1: float = retrieval.K1, b: float = retrieval.B) -> None:
+def build(chunks: DataFrame, path: str, key: str = "chunk_id", text: str = "text", k1: float = retrieval.K1, b: float = retrieval.B, parts: int | None = None) -> None:
     """Write the index of a corpus: postings, terms and a manifest of one row. An existing folder is an error.
 
-    Texts are tokenized once. Postings are sorted by term inside files, so that a search skips
-    the row groups whose terms it does not ask for.
+    Texts are tokenized once and their terms dealt to ``parts`` (the shuffle's partitions unless given) by
+    the chunk's id, which is the only shuffle of them. All postings of a chunk are in one bucket, sorted by
+    term, so that a search scores a chunk where its postings lie and skips row groups without its terms.
     """
-    posted = retrieval.counted_terms(chunks, key, text)
-    posted.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
-    own = chunks.sparkSession.read.parquet(f"{path}/postings")
+    spark = chunks.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = chunks.select(key, terms_of(F.col(text)).alias("__t")).where(F.size("__t") > 0).repartition(parts, key)
+    posted = rows.select(key, F.size("__t").alias("length"), F.explode("__t").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    name = f"verdigris_build_{uuid.uuid4().hex}"
+    posted.write.bucketBy(parts, key).sortBy("term").option("path", f"{path}/postings").saveAsTable(name)
+    spark.sql(f"drop table {name}")  # the files stay
+    own = spark.read.parquet(f"{path}/postings")
     size = own.select(key, "length").distinct().agg(F.count("*").alias("chunks"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean_length"))
     numbers = size.first()
     terms = retrieval.vocabulary(own, F.lit(numbers["chunks"])).withColumn("df", F.col("df").cast("bigint"))
     terms.write.parquet(f"{path}/terms")
-    counts = chunks.sparkSession.read.parquet(f"{path}/terms").agg(F.count("*").alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
+    counts = spark.read.parquet(f"{path}/terms").agg(F.count("*").alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
     manifest = counts.select(F.lit(SCHEMA).alias("schema"), F.lit(numbers["chunks"]).alias("chunks"), F.lit(float(numbers["mean_length"])).alias("mean_length"), "terms", "postings", F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"))
     manifest.coalesce(1).write.parquet(f"{path}/manifest")
+    spark.createDataFrame([(key, parts)], "key string, parts int").coalesce(1).write.parquet(f"{path}/layout")
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    """A stored index; another form than this one's is an error."""
+    """A stored index; another form than this one's is an error. Its postings are known to the session as a bucketed table of a name that follows from the path."""
     manifest = spark.read.parquet(f"{path}/manifest")
     form = manifest.first()["schema"]
     if form != SCHEMA:
         raise ValueError(f"an index of the form {form!r}, not {SCHEMA!r}")
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), manifest)
+    layout = spark.read.parquet(f"{path}/layout").first()
+    fields = ", ".join(f"`{n}` {kind}" for n, kind in spark.read.parquet(f"{path}/postings").dtypes)
+    name = f"verdigris_index_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+    spark.sql(f"create table if not exists {name} ({fields}) using parquet clustered by (`{layout['key']}`) sorted by (term) into {layout['parts']} buckets location '{path}/postings'")
+    return Index(spark.table(name), spark.read.parquet(f"{path}/terms"), manifest)
 
 
 def search(index: Index, queries: DataFrame, top_k: int = 5, key: str = "chunk_id", query_key: str = "query_id", query_text: str = "query") -> DataFrame:
-    """The ``top_k`` chunks of every query, as ``retrieval.search`` gives them, from a stored index."""
+    """The ``top_k`` chunks of every query, as ``retrieval.search`` gives them, from a stored index.
+
+    The gains of the asked terms go to all buckets; each bucket adds up its own chunks' scores and
+    keeps ``top_k`` a query, and only those are shuffled. Queries with more than ``MOST_GAINS``
+    different terms in all are searched in blocks.
+    """
     numbers = index.manifest.first()
     asked = retrieval.asked_terms(queries, query_key, query_text)
-    gains = asked.join(index.terms, "term").select(query_key, "term", (F.col("weight") * F.col("idf")).alias("gain"))
-    return retrieval.ranked(index.postings.join(gains, "term"), numbers["mean_length"], top_k, key, query_key, numbers["k1"], numbers["b"])
+    gains = stored(asked.join(index.terms, "term").select(query_key, "term", (F.col("weight") * F.col("idf")).alias("gain")), "bm25-gains")
+    blocks = max(1, -(-gains.count() // MOST_GAINS))
+    out = None
+    for k in range(blocks):
+        own = gains if blocks == 1 else gains.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == k)
+        hits = index.postings.join(F.broadcast(own), "term")  # a bounded block
+        found = retrieval.ranked(hits, numbers["mean_length"], top_k, key, query_key, numbers["k1"], numbers["b"])
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -77,7 +77,7 @@ def _index(spark: SparkSession, sf_dir: str) -> index.Index:
 _TERMS = r"list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+(?:[-''][\p{L}\p{N}]+)*'), lambda x: lower(x))"
 
 
-@query(f"with t as (select doc_id, unnest({_TERMS}) as term from documents), l as (select doc_id, count(*) as n from t group by 1), p as (select distinct doc_id, term from t) select 'verdigris-bm25-1' as schema, (select count(*) from l) as chunks, (select sum(n) / count(*) from l) as mean_length, count(distinct term) as terms, count(*) as postings, 1.5::double as k1, 0.75::double as b from p")
+@query(f"with t as (select doc_id, unnest({_TERMS}) as term from documents), l as (select doc_id, count(*) as n from t group by 1), p as (select distinct doc_id, term from t) select 'verdigris-bm25-2' as schema, (select count(*) from l) as chunks, (select sum(n) / count(*) from l) as mean_length, count(distinct term) as terms, count(*) as postings, 1.5::double as k1, 0.75::double as b from p")
 def index_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of a stored index of all documents."""
     return _index(spark, sf_dir).manifest
