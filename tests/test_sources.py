@@ -115,3 +115,31 @@ def test_frozen_predictions(spark, tmp_path):
     write(tmp_path / "prediction_freeze.json", {"prediction_signature": "x"})
     with pytest.raises(ValueError, match="signature"):
         manifests.frozen_predictions(spark, str(tmp_path), "case_id string")
+
+
+def test_json_lines_name_file_and_line(spark, tmp_path):
+    lines = [f'{{"id": {i}, "name": "n{i}"}}' for i in range(500)]
+    lines[0] = "\ufeff" + lines[0]
+    lines[7], lines[100], lines[333], lines[499] = "   ", "[1, 2]", '{"id": "x"}', '{"id": 1'
+    (tmp_path / "a b.jsonl").write_text("\n".join(lines), encoding="utf-8")
+    (tmp_path / "c.jsonl").write_text('{"id": 1}\r\n"text"\r\n{"id": 1}}\n{"id": 1}, {"id": 2}\n{}], [\nnull\n')
+    (tmp_path / "empty.jsonl").write_text("\n \n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        lines_read = readers.numbered_lines(spark, f"file://{tmp_path}")
+        assert lines_read.rdd.getNumPartitions() > 10
+        good, bad = readers.json_records(spark, f"file://{tmp_path}", "id bigint, name string")
+        said = sorted((r["file"].rsplit("/", 1)[1].replace("%20", " "), r["line"], r["reason"]) for r in bad.collect())
+        assert said == [("a b.jsonl", 101, "no_object"), ("a b.jsonl", 334, "wrong_type"), ("a b.jsonl", 500, "invalid_json"), ("c.jsonl", 2, "no_object"), *[("c.jsonl", k, "invalid_json") for k in (3, 4, 5)], ("c.jsonl", 6, "no_object"), ("empty.jsonl", 0, "empty_file")]
+        rows = good.where("_file like '%b.jsonl'").collect()
+        assert len(rows) == 496 and all(r["_line"] == r["id"] + 1 and r["name"] == f"n{r['id']}" for r in rows)
+        with pytest.raises(ValueError, match=r"a%20b.jsonl:101 \(no_object\)"):
+            readers.json_lines(spark, f"file://{tmp_path}", "id bigint, name string")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (tmp_path / "good.jsonl").write_text('{"id": 1}\n\n{"name": "x", "id": 2, "more": [1]}\n')
+    got = readers.json_lines(spark, f"file://{tmp_path}/good.jsonl", "id bigint, name string")
+    assert sorted(map(tuple, got.collect())) == [(1, None), (2, "x")]

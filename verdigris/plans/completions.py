@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import calibrate, cohort, folds, gates, index, models, retrieval, shapes, stats
+from ..sources import readers
 from .base import SIGNALS, query, signals, table
 from .calibration import WEIGHTS, _long
 from .modelling import _instances
@@ -246,3 +247,19 @@ def body_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     points = table(spark, sf_dir, "events").select(F.col("user_id").alias("mask"), (e % 7).cast("int").alias("z"), (e * 3 % 5).cast("int").alias("y"), (e * 5 % 11).cast("int").alias("x")).distinct()
     return gates.main_body(shapes.connected_components(points, "mask", 1), "mask").groupBy("mask").agg(F.count("*").alias("points"), F.max("fraction").alias("fraction"), F.bool_or("isolated").alias("isolated"))
+
+
+@query("""
+with lines as (select c_nationkey, c_custkey, row_number() over (partition by c_nationkey order by c_custkey) as line from customer)
+select c_nationkey::int as nation, line, case c_custkey % 50 when 0 then 'invalid_json' when 1 then 'no_object' else 'wrong_type' end as reason from lines where c_custkey % 50 < 3
+""")
+def quarantined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as JSON lines, a file for each nation, some of them broken: what is wrong in which line."""
+    key = F.col("c_custkey")
+    good = F.to_json(F.struct(key.alias("id"), F.col("c_name").alias("name")))
+    line = F.when(key % 50 == 0, F.concat(good, F.lit("}"))).when(key % 50 == 1, F.concat(F.lit("["), good, F.lit("]"))).when(key % 50 == 2, F.concat(F.lit('{"id": "'), "c_name", F.lit('"}'))).otherwise(good)
+    path = index.scratch(spark, "json-lines")
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", key, line.alias("value"))
+    rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").drop("c_custkey").write.partitionBy("c_nationkey").text(path)
+    _, bad = readers.json_records(spark, f"{path}/*/*.txt", "id bigint, name string")
+    return bad.select(F.regexp_extract("file", "c_nationkey=([0-9]+)", 1).cast("int").alias("nation"), "line", "reason")

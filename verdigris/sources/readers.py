@@ -11,7 +11,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -25,9 +25,51 @@ REGISTRY = (
 CURATION = "case_id string, current_label string, recommended_label string, recommended_negative_subtype string, recommended_positive_subtype string, phenotype_tags array<string>, reviewer string, review_status string, notes string"
 
 
+def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(file, line, text) of text files, lines counted from 1 in each file; a byte order mark is left out.
+
+    Large files stay split: lines are counted by split, the counts of a file's earlier splits are
+    added up, and a row's place in its own split does the rest. Texts are not moved.
+    """
+    rows = spark.read.text(paths if isinstance(paths, str) else list(paths))
+    # rows of a split follow one another in their task, so their ids differ from its first one by their place
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__id"), F.col("value").alias("text"))
+    splits = rows.groupBy("file", "__split").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("file").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(splits.select("file", "__split", "__first", before.alias("__before")), ["file", "__split"])
+    line = F.col("__before") + F.col("__id") - F.col("__first") + 1
+    return placed.select("file", line.alias("line"), F.when(line == 1, F.regexp_replace("text", "^\ufeff", "")).otherwise(F.col("text")).alias("text"))
+
+
+def json_records(spark: SparkSession, paths: str | Sequence[str], schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Records of JSON-lines files with the columns of ``schema``, _file and _line, and the quarantine (file, line, reason, text) of all other lines.
+
+    Reasons: ``invalid_json``, ``no_object``, ``wrong_type`` (an object with a field of another type than
+    the schema's), and ``empty_file`` with line 0 for a file without any record. Blank lines are skipped.
+    """
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    whole = T.StructType([*kind.fields, T.StructField("__corrupt", T.StringType())])
+    lines = numbered_lines(spark, paths).where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+    # parsers stop behind the first value; a mark behind it, which no text holds, shows that the line is one value and no more
+    mark = F.md5("text")
+    value = F.try_parse_json(F.concat(F.lit("["), "text", F.lit(',"'), mark, F.lit('"]')))
+    read = lines.withColumns({"__value": value, "__row": F.from_json("text", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"})})
+    reason = F.when(~mark.eqNullSafe(F.try_variant_get("__value", "$[1]", "string")), "invalid_json").when(~F.schema_of_variant(F.variant_get("__value", "$[0]", "variant")).startswith("OBJECT"), "no_object").when(F.col("__row").isNull() | F.col("__row.__corrupt").isNotNull(), "wrong_type")
+    read = read.withColumn("__reason", reason).drop("__value")
+    good = read.where("__reason is null").select(*[F.col(f"__row.`{f.name}`").alias(f.name) for f in kind.fields], F.col("file").alias("_file"), F.col("line").alias("_line"))
+    bad = read.where("__reason is not null").select("file", "line", F.col("__reason").alias("reason"), "text")
+    listed = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths)).select(F.col("_metadata.file_path").alias("file"))
+    empty = listed.join(lines.select("file").distinct(), "file", "left_anti").select("file", F.lit(0).cast("bigint").alias("line"), F.lit("empty_file").alias("reason"), F.lit(None).cast("string").alias("text"))
+    return good, bad.unionByName(empty)
+
+
 def json_lines(spark: SparkSession, paths: str | Sequence[str], schema: str | T.StructType) -> DataFrame:
-    """Rows of JSON-lines files; anything that is no object of the schema's types fails the read. Blank lines are skipped."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(paths if isinstance(paths, str) else list(paths))
+    """Rows of JSON-lines files; a line that is no object of the schema's types is an error that names file and line, and so is a file without records. Blank lines are skipped."""
+    good, bad = json_records(spark, paths, schema)
+    problems = bad.orderBy("file", "line").limit(5).collect()
+    if problems:
+        raise ValueError("lines that cannot be taken: " + ", ".join(f"{r['file']}:{r['line']} ({r['reason']})" for r in problems))
+    return good.drop("_file", "_line")
 
 
 def registry(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
