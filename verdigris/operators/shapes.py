@@ -1,51 +1,108 @@
-"""Point sets by group: component labelling, shape from covariance, box cover, nearest distances. Groups are single masks, never whole tables."""
+"""Point sets by group: component labelling, shape from covariance, box cover, nearest distances."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .index import stored
+from .order import dealt
+
+
+#: Edge of the cubes into which masks are cut; a task labels the points of one, at most its cube.
+TILE = 64
 
-def connected_components(points: DataFrame, by: str, least: int = 1, neighbours: int = 18) -> DataFrame:
+
+def _steps(neighbours: int) -> list[tuple[int, int, int]]:
+    """One of each two opposite steps to a neighbour."""
+    most = {6: 1, 18: 2, 26: 3}[neighbours]
+    return [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if 0 < abs(a) + abs(b) + abs(c) <= most and (a, b, c) > (0, 0, 0)]
+
+
+def _tile_roots(at: np.ndarray, steps: Sequence[tuple[int, int, int]]) -> np.ndarray:
+    """For points in their order (z, y, x) without repeats, the number of the first point that each one is joined to."""
+    at = at - at.min(axis=0) + 1
+    shape = at.max(axis=0) + 2
+    flat = (at[:, 0] * shape[1] + at[:, 1]) * shape[2] + at[:, 2]
+    parent = np.arange(len(flat))
+    for step in steps:
+        other = flat + (step[0] * shape[1] + step[1]) * shape[2] + step[2]
+        place = np.minimum(np.searchsorted(flat, other), len(flat) - 1)
+        pairs = np.flatnonzero(flat[place] == other)
+        a, b = pairs, place[pairs]
+        while len(a):  # join by the smaller root until all pairs agree
+            ra, rb = parent[a], parent[b]
+            while (parent[ra] != ra).any():
+                ra = parent[ra]
+            while (parent[rb] != rb).any():
+                rb = parent[rb]
+            apart = ra != rb
+            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+            np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
+    return parent
+
+
+def _contracted(links: DataFrame, by: str) -> DataFrame:
+    """(by, node, least) for the nodes of links (by, a, b): the least node that can be reached, by least labels of neighbours and labels of labels, a stored table a round."""
+    both = stored(links.unionByName(links.select(by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "tile-links")
+    labels = stored(both.groupBy(by, F.col("a").alias("node")).agg(F.min("b").alias("b")).select(by, "node", F.least("node", "b").alias("least")), "tile-labels")
+    while True:
+        near = both.join(labels.select(by, F.col("node").alias("b"), "least"), [by, "b"]).groupBy(by, F.col("a").alias("node")).agg(F.min("least").alias("near"))
+        taken = labels.join(near, [by, "node"]).select(by, "node", F.col("least").alias("old"), F.least("least", "near").alias("least"))
+        jumps = labels.select(by, F.col("node").alias("least"), F.col("least").alias("next"))
+        labels = stored(taken.join(jumps, [by, "least"]).select(by, "node", F.least("least", "next").alias("least"), (F.least("least", "next") != F.col("old")).alias("moved")), "tile-labels")
+        if labels.where("moved").isEmpty():
+            return labels.drop("moved")
+
+
+def connected_components(points: DataFrame, by: str, least: int = 1, neighbours: int = 18, tile: int = TILE) -> DataFrame:
     """(group, component, z, y, x): points of one mask joined over faces and edges (18), faces (6) or corners too (26); small components go.
 
-    Components are numbered in the order of their first point. One task holds one mask.
+    Components are numbered in the order of their first point. Masks are cut into cubes of edge ``tile``,
+    whose points are labelled by themselves; what touches across cubes is linked, and the links are
+    contracted, so that a mask of any size is spread over tasks. A label is the first point of its
+    component; the contraction needs no other name. Repeated points are one; points with a null are left out.
     """
-    most = {6: 1, 18: 2, 26: 3}[neighbours]
-    steps = np.array([(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if 0 < abs(a) + abs(b) + abs(c) <= most and (a, b, c) > (0, 0, 0)])
+    steps = _steps(neighbours)
+    axes = ["z", "y", "x"]
+    cubes = [F.floor(F.col(c) / F.lit(tile)).cast("bigint").alias(f"__{c}") for c in axes]
+    kinds = dict(points.dtypes)
+    root = {f"__r{c}": f"`__r{c}` {kinds[c]}" for c in axes}
 
     def label(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["z", "y", "x"]).sort_values(["z", "y", "x"]).reset_index(drop=True)
-        at = frame[["z", "y", "x"]].to_numpy(np.int64)
-        at = at - at.min(axis=0) + 1
-        shape = at.max(axis=0) + 2
-        flat = (at[:, 0] * shape[1] + at[:, 1]) * shape[2] + at[:, 2]
-        parent = np.arange(len(flat))
-        for step in steps:
-            other = flat + (step[0] * shape[1] + step[1]) * shape[2] + step[2]
-            place = np.minimum(np.searchsorted(flat, other), len(flat) - 1)
-            pairs = np.flatnonzero(flat[place] == other)
-            a, b = pairs, place[pairs]
-            while len(a):  # join by the smaller root until all pairs agree
-                ra, rb = parent[a], parent[b]
-                while (parent[ra] != ra).any():
-                    ra = parent[ra]
-                while (parent[rb] != rb).any():
-                    rb = parent[rb]
-                apart = ra != rb
-                a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-                np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
-        while (parent[parent] != parent).any():
-            parent = parent[parent]
-        _, number, size = np.unique(parent, return_inverse=True, return_counts=True)
-        frame["component"] = number + 1
-        frame = frame[size[number] >= least]
-        return frame[[by, "component", "z", "y", "x"]]
-
-    kinds = dict(points.dtypes)
-    return points.groupBy(by).applyInPandas(label, f"`{by}` {kinds[by]}, component bigint, z {kinds['z']}, y {kinds['y']}, x {kinds['x']}")
+        frame = frame.sort_values(axes).reset_index(drop=True)
+        first = frame[axes].iloc[_tile_roots(frame[axes].to_numpy(np.int64), steps)].reset_index(drop=True)
+        return pd.concat([frame[[by, *axes]], first.set_axis(list(root), axis=1)], axis=1)
+
+    whole = F.lit(True)
+    for c in axes:
+        whole = whole & F.col(c).isNotNull()
+    rows = points.where(whole).select(by, *axes).distinct().select(by, *axes, *cubes)
+    tiled = rows.groupBy(by, *[f"__{c}" for c in axes]).applyInPandas(label, f"`{by}` {kinds[by]}, z {kinds['z']}, y {kinds['y']}, x {kinds['x']}, {', '.join(root.values())}")
+    tiled = stored(tiled.select(by, *axes, F.struct(*[F.col(f"__r{c}").alias(c) for c in axes]).alias("node")), "tiles")
+    # a step leads out of its cube from an outer layer only, so few points are looked up
+    outer, moved = F.lit(False), F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(axes, step, strict=True)]) for step in steps])
+    for c in axes:
+        outer = outer | F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
+    rim = tiled.where(outer)
+    ways = rim.select(by, F.col("node").alias("a"), *[F.col(c).alias(f"o{c}") for c in axes], F.explode(moved).alias("s")).select(by, "a", *[(F.col(f"o{c}") + F.col(f"s.{c}")).cast(kinds[c]).alias(c) for c in axes], *[F.floor(F.col(f"o{c}") / F.lit(tile)).alias(f"t{c}") for c in axes])
+    across = F.lit(False)
+    for c in axes:
+        across = across | (F.floor(F.col(c) / F.lit(tile)) != F.col(f"t{c}"))
+    links = ways.where(across).join(rim.select(by, *axes, F.col("node").alias("b")), [by, *axes]).select(by, "a", "b").where(F.col("a") != F.col("b"))
+    nodes = tiled.groupBy(by, "node").agg(F.count("*").alias("n"))
+    named = nodes.join(_contracted(links, by), [by, "node"], "left").withColumn("first", F.coalesce("least", "node"))
+    sizes = named.groupBy(by, "first").agg(F.sum("n").alias("size"))
+    place = lambda c: F.lpad(F.hex(F.col(f"first.{c}").cast("bigint") + F.lit(1 << 62)), 16, "0")
+    numbers = dealt(sizes, [by], F.concat(*[place(c) for c in axes]), "first", "__place", cell=place("z")).where(F.col("size") >= least)
+    labelled = named.select(by, "node", "first").join(numbers.select(by, "first", (F.col("__place") + 1).alias("component")), [by, "first"]).select(by, "node", "component")
+    return tiled.join(labelled, [by, "node"]).select(by, "component", *axes)
 
 
 def component_shapes(points: DataFrame, by: list[str], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:

@@ -255,7 +255,14 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select(F.col("user_id").alias("mask"), (e % 7).cast("int").alias("z"), (e * 3 % 5).cast("int").alias("y"), (e * 5 % 11).cast("int").alias("x")).distinct()
 
 
-@query()
+@query("""
+with recursive points as (select distinct user_id as mask, (event_id % 7)::int as z, (event_id * 3 % 5)::int as y, (event_id * 5 % 11)::int as x from events),
+numbered as (select *, (z * 5 + y) * 11 + x as id from points), edges as (
+  select a.mask, a.id as a, b.id as b from numbered a join numbered b on a.mask = b.mask and a.id <> b.id and greatest(abs(a.z - b.z), abs(a.y - b.y), abs(a.x - b.x)) = 1 and abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) <= 2
+), reach as (select mask, id as a, id as b from numbered union select r.mask, r.a, e.b from reach r join edges e on r.mask = e.mask and r.b = e.a),
+firsts as (select mask, a as id, min(b) as f from reach group by 1, 2), sizes as (select mask, f, count(*) as n, row_number() over (partition by mask order by f) as component from firsts group by 1, 2)
+select mask, component, z, y, x from numbered join firsts using (mask, id) join sizes using (mask, f) where n >= 2
+""")
 def component_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """18-connected components of every mask, of two points or more."""
     return shapes.connected_components(_points(spark, sf_dir), "mask", 2)
