@@ -1,4 +1,4 @@
-"""A stored BM25 index: chunks checked against their manifest, postings written once, searches that read only the terms they ask for."""
+"""A stored BM25 index: chunks checked against their manifest, postings written once by chunk, searches that score every chunk where its postings lie."""
 
 from __future__ import annotations
 
@@ -90,15 +90,15 @@ def build(chunks: DataFrame, path: str, key: str = "chunk_id", text: str = "text
     """Write the index of a corpus: postings, terms and a manifest of one row. An existing folder is an error.
 
     Texts are tokenized once and their terms dealt to ``parts`` (the shuffle's partitions unless given) by
-    the chunk's id, which is the only shuffle of them. All postings of a chunk are in one bucket, sorted by
-    term, so that a search scores a chunk where its postings lie and skips row groups without its terms.
+    the chunk's id, which is the only shuffle of them. All postings of a chunk are in one bucket, so that
+    a search scores a chunk where its postings lie.
     """
     spark = chunks.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = chunks.select(key, terms_of(F.col(text)).alias("__t")).where(F.size("__t") > 0).repartition(parts, key)
     posted = rows.select(key, F.size("__t").alias("length"), F.explode("__t").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
     name = f"verdigris_build_{uuid.uuid4().hex}"
-    posted.write.bucketBy(parts, key).sortBy("term").option("path", f"{path}/postings").saveAsTable(name)
+    posted.write.bucketBy(parts, key).option("path", f"{path}/postings").saveAsTable(name)
     spark.sql(f"drop table {name}")  # the files stay
     own = spark.read.parquet(f"{path}/postings")
     size = own.select(key, "length").distinct().agg(F.count("*").alias("chunks"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean_length"))
@@ -120,7 +120,7 @@ def load(spark: SparkSession, path: str) -> Index:
     layout = spark.read.parquet(f"{path}/layout").first()
     fields = ", ".join(f"`{n}` {kind}" for n, kind in spark.read.parquet(f"{path}/postings").dtypes)
     name = f"verdigris_index_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
-    spark.sql(f"create table if not exists {name} ({fields}) using parquet clustered by (`{layout['key']}`) sorted by (term) into {layout['parts']} buckets location '{path}/postings'")
+    spark.sql(f"create table if not exists {name} ({fields}) using parquet clustered by (`{layout['key']}`) into {layout['parts']} buckets location '{path}/postings'")
     return Index(spark.table(name), spark.read.parquet(f"{path}/terms"), manifest)
 
 
