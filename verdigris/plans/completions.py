@@ -250,16 +250,16 @@ def body_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with lines as (select c_nationkey, c_custkey, row_number() over (partition by c_nationkey order by c_custkey) as line from customer)
-select c_nationkey::int as nation, line, case c_custkey % 50 when 0 then 'invalid_json' when 1 then 'no_object' else 'wrong_type' end as reason from lines where c_custkey % 50 < 3
+with lines as (select doc_id, (doc_id // 2000)::int as file, row_number() over (partition by doc_id // 2000 order by doc_id) as line from documents)
+select file, line, case doc_id % 50 when 0 then 'invalid_json' when 1 then 'no_object' else 'wrong_type' end as reason from lines where doc_id % 50 < 3
 """)
 def quarantined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as JSON lines, a file for each nation, some of them broken: what is wrong in which line."""
-    key = F.col("c_custkey")
-    good = F.to_json(F.struct(key.alias("id"), F.col("c_name").alias("name")))
-    line = F.when(key % 50 == 0, F.concat(good, F.lit("}"))).when(key % 50 == 1, F.concat(F.lit("["), good, F.lit("]"))).when(key % 50 == 2, F.concat(F.lit('{"id": "'), "c_name", F.lit('"}'))).otherwise(good)
+    """Documents' sources as JSON lines, a file for each 2000 numbers, some of them broken: what is wrong in which line."""
+    key = F.col("doc_id")
+    good = F.to_json(F.struct(key.alias("id"), F.col("source").alias("name")))
+    line = F.when(key % 50 == 0, F.concat(good, F.lit("}"))).when(key % 50 == 1, F.concat(F.lit("["), good, F.lit("]"))).when(key % 50 == 2, F.concat(F.lit('{"id": "'), "source", F.lit('"}'))).otherwise(good)
     path = index.scratch(spark, "json-lines")
-    rows = table(spark, sf_dir, "customer").select("c_nationkey", key, line.alias("value"))
-    rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").drop("c_custkey").write.partitionBy("c_nationkey").text(path)
+    rows = table(spark, sf_dir, "documents").select(F.floor(key / 2000).cast("int").alias("file"), "doc_id", line.alias("value"))
+    rows.repartition("file").sortWithinPartitions("file", "doc_id").drop("doc_id").write.partitionBy("file").text(path)
     _, bad = readers.json_records(spark, f"{path}/*/*.txt", "id bigint, name string")
-    return bad.select(F.regexp_extract("file", "c_nationkey=([0-9]+)", 1).cast("int").alias("nation"), "line", "reason")
+    return bad.select(F.regexp_extract("file", "/file=([0-9]+)/", 1).cast("int").alias("file"), "line", "reason")
