@@ -172,10 +172,11 @@ ranks as (select h.case_id as i, o.truth, {_RANK.format(keys="h.case_id", s="o.s
 train as (select i, w, truth, 0.0 + (1 - w) * e1 + w * e2 as f from ranks join chosen using (i)), {_refits("train", "i, w", "best")}, own as (
   select h.case_id as i, {_OWN.format(s="s1")} as e1, {_OWN.format(s="s3")} as e2 from signals h join signals o on h.dataset_id = o.dataset_id and h.case_id <> o.case_id group by h.case_id
 )
-select i as case_id, w, 0.0 + (1 - w) * e1 + w * e2 as fused, t as threshold, 0.0 + (1 - w) * e1 + w * e2 >= t as predicted from own join best using (i)
+select case_id, case when enough then w end as w, case when enough then 0.0 + (1 - w) * e1 + w * e2 end as fused, case when enough then t end as threshold, case when enough then 0.0 + (1 - w) * e1 + w * e2 >= t end as predicted
+from signals join (select dataset_id, least(count(*) filter (truth), count(*) filter (not truth)) > 2 as enough from signals group by 1) using (dataset_id) left join own on own.i = case_id left join best on best.i = case_id
 """)
 def nested_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every case of a dataset by a blend whose weight and threshold the dataset's other cases choose."""
+    """Every case of a dataset by a blend whose weight and threshold the dataset's other cases choose; nulls in datasets with fewer than three cases of a class, where no pair can be left out."""
     return leave_out.nested_leave_one_out(signals(spark, sf_dir), "s1", "s3", [0.0, 0.1, 0.2], ["dataset_id"]).select("case_id", "w", "fused", "threshold", "predicted")
 
 
