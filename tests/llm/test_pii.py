@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,8 +36,10 @@ def luhn(digits):
 def feistel(values, radices, tweak, key="key"):
     """The network row by row in Python."""
     v, h = list(values), len(values) // 2
+    short = lambda text: hashlib.sha256(text.encode()).hexdigest() if len(v) > 64 else text
+    tweak = short(tweak)
     for i in range(1, 9):
-        other = ",".join(map(str, v[h:] if i % 2 else v[:h]))
+        other = short(",".join(map(str, v[h:] if i % 2 else v[:h])))
         # both halves are read before either is written, as one is not changed in a round
         v = [(x + int(hashlib.sha256(f"{key}|{tweak}|{i}|{j}|{other}".encode()).hexdigest()[:12], 16)) % radices[j] if (i % 2 == 1) == (j < h) else x for j, x in enumerate(v)]
     return v
@@ -194,3 +197,29 @@ def test_text_only_form_hands_on_no_value_and_no_helper(spark):
     assert rows[0] == rows[1] and rows[0].findings == "mine" and rows[0].candidates == 3 and rows[0]["a.b"] == "x" and rows[2].text is None
     assert not any("7123" in str(v) for r in rows for v in r)
     assert with_pseudonyms(docs.limit(0), "key").count() == 0
+
+
+def test_long_values_are_replaced_whole_in_linear_time(spark):
+    text = "".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(3))
+    kinds = "".join("d" if c.isdigit() else "h" for c in text)
+    radix = {"d": 10, "h": 6}
+    made = feistel([int(c) if c.isdigit() else ord(c) - 97 for c in text], [radix[k] for k in kinds], "hex:" + kinds)
+    [[(kind, value, pseudonym)]] = found(spark, [text])
+    assert (kind, value) == ("secret", text)
+    assert pseudonym == "".join(str(x) if k == "d" else chr(97 + x) for x, k in zip(made, kinds, strict=True))
+    dump = "".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(15_625))
+    begin = time.monotonic()
+    [[(kind, value, pseudonym)]] = found(spark, [dump])
+    assert kind == "secret" and value == dump and len(pseudonym) == 1_000_000 and sum(a == b for a, b in zip(dump, pseudonym, strict=True)) < 250_000
+    assert time.monotonic() - begin < 60  # some seconds; quadratic work would take hours
+
+
+REPEATED = ["a@b" + ".c" * 100_000, "ab" * 100_000 + "@b.c", "1 " * 100_000, "12.12.2020 " * 20_000 + "x", "+1-" * 100_000, "1.2.3." * 100_000, "AB12 " * 100_000, "password=" * 100_000, "password=" + "Ab1_" * 100_000, "(222) " * 100_000, "0" * 400_000, "4111 " * 100_000, "222-" * 100_000]
+
+
+def test_no_pattern_recurses(spark):
+    rows = spark.createDataFrame(list(enumerate(REPEATED)), "doc_id bigint, text string")
+    out = {r.doc_id: r for r in pseudonymized(rows, "key").collect()}
+    assert len(out) == len(REPEATED) and out[0].findings[0].value == REPEATED[0]
+    assert all(len(r.text) == len(REPEATED[k]) for k, r in out.items())
+    assert len(out[3].findings) == 20_000
