@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -12,6 +13,35 @@ from verdigris.llm import packing, subwords, tokencounts
 TEXTS = [(1, "Hello world.\n\nSecond line, don't!\n"), (2, None), (3, ""), (4, "\n\n\n"), (5, "é" * 50_000), (6, "one line"), (7, "naïve café…. \u3000 x\n<|endoftext|> y")]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "don't ", ".", "7", "é", " ", "\n", "\t", "\xa0", "\x1c", "   ", "\n \n\n", "\u3000\u3000\u3000", "<|endoftext|>"]), max_size=40))
+def test_cut_white_space_leaves_the_ids(parts):
+    coder, _ = tokencounts.encoding(tokencounts.public_ranks())
+    text, before = "".join(parts), (tokencounts.LONG_SPACE, tokencounts._LONG_SPACES)
+    tokencounts.LONG_SPACE, tokencounts._LONG_SPACES = 0, re.compile(f"(?<!{tokencounts._BLANK}){tokencounts._BLANK}{{3,}}")
+    try:
+        assert tokencounts.encoded(coder, text).tolist() == coder.encode_ordinary(text)
+    finally:
+        tokencounts.LONG_SPACE, tokencounts._LONG_SPACES = before
+
+
+def test_white_space_of_any_length(spark):
+    texts = [(k, "a b" + c * 2_000_000 + tail) for k, (c, tail) in enumerate((c, tail) for c in (" ", "\t", "\n", "\xa0") for tail in ("", "end"))] + [(8, "x" * 2_000_000), (9, "." * 2_000_000)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(5)
+    counts = {r.doc_id: r.n for r in tokencounts.section_tokens(df.where("doc_id not in (4, 5)")).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
+    coder, _ = tokencounts.encoding(tokencounts.public_ranks())
+    for k, text in texts:
+        if k not in (4, 5):  # two million lines are counted below
+            blank = text[3:2_000_003] if k < 8 else ""
+            rest = text[2_000_003:]
+            whole = 2 + len(coder._encode_single_piece(blank[: len(blank) - bool(rest)])) + (len(coder.encode_ordinary(blank[-1:] + rest)) if rest else 0) if blank else len(coder.encode_ordinary(text))
+            assert counts[k] == whole
+    bounds = tokencounts.line_bounds(texts[5][1].encode())
+    ids = tokencounts.encoded(coder, texts[5][1])
+    _, sizes = tokencounts.encoding(tokencounts.public_ranks())
+    assert tokencounts.attributed(np.cumsum(sizes[ids]), bounds, "first").sum() == len(ids)
+
+
 @pytest.mark.parametrize("rule", tokencounts.RULES)
 def test_sections_add_up_to_whole_encodings(spark, rule):
     df = spark.createDataFrame(TEXTS, "doc_id bigint, text string").withColumns({"section": F.lit("x"), "begin": F.lit(1), "n_tokens": F.lit(0)})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,10 @@ from .common import blocks, small_batches
 #: How a token that crosses a boundary is counted: for the section of its first byte, for the one
 #: that holds most of its bytes (the earlier of equals), or for each one by its share of the bytes.
 RULES = ("first", "largest", "share")
+#: Runs of white space, as the tokenizer's pattern knows it, from this length on are cut out before the pattern runs: it remembers a state for each character of a run.
+LONG_SPACE = 100_000
+_BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LONG_SPACES = re.compile(f"(?<!{_BLANK}){_BLANK}{{{LONG_SPACE},}}")
 RESULT = "doc_id bigint, section int, begin bigint, end bigint, n_tokens double"
 _ENCODINGS: dict[str, tuple] = {}
 
@@ -40,6 +45,22 @@ def public_ranks() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def encoded(coder, text: str) -> np.ndarray:
+    """Ids of a text, with white space of any length in it.
+
+    The pattern takes a run of white space as one piece, but for the run's last character where
+    text follows. Cut there, a long run is encoded as the piece that it is and what is around it as before.
+    """
+    if len(text) < LONG_SPACE or not (runs := list(_LONG_SPACES.finditer(text))):
+        return coder.encode_to_numpy(text, disallowed_special=())
+    parts, at = [], 0
+    for run in runs:
+        end = run.end() - (run.end() < len(text))
+        parts += [coder.encode_to_numpy(text[at : run.start()], disallowed_special=()), np.array(coder._encode_single_piece(text[run.start() : end]), dtype=np.uint32)]
+        at = end
+    return np.concatenate([*parts, coder.encode_to_numpy(text[at:], disallowed_special=())])
+
+
 def line_bounds(text: bytes) -> np.ndarray:
     """Byte offsets at which lines begin, and the end; a line has its line feed. An empty text is one empty line."""
     feeds = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 10) + 1
@@ -85,7 +106,7 @@ def _counter(path: str, rule: str, bounds_of):
             rows, section, begin, end, counts = [], [], [], [], []
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 text, shown = readable(raw[a:b])
-                ids = coder.encode_to_numpy(shown, disallowed_special=())
+                ids = encoded(coder, shown)
                 bounds = bounds_of(text)
                 characters = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
                 rows.append(np.full(len(bounds) - 1, i))
@@ -113,7 +134,7 @@ def section_tokens(docs: DataFrame, rule: str = "largest", path: str | None = No
 
     Cases: a null or empty text has one empty section without tokens; empty lines are sections
     with whatever tokens the rule gives them; bytes that are no UTF-8 count as the replacement
-    character, in tokens and offsets; repeated rows are counted each; other columns
+    character, in tokens and offsets; texts, and runs of white space in them, may have any length; repeated rows are counted each; other columns
     are not read; an empty table gives no rows.
     """
     if rule not in RULES:
@@ -139,7 +160,7 @@ def field_tokens(rows: DataFrame, key: str, fields: list[str], separator: str =
             counts = []
             for parts in zip(*columns, strict=True):
                 pieces = [readable(p or b"")[0] + (gap if k + 1 < len(names) else b"") for k, p in enumerate(parts)]
-                ids = coder.encode_to_numpy(b"".join(pieces).decode(), disallowed_special=())
+                ids = encoded(coder, b"".join(pieces).decode())
                 counts.append(attributed(np.cumsum(sizes[ids]), np.concatenate(([0], np.cumsum([len(p) for p in pieces]))), rule))
             flat = np.concatenate(counts) if counts else np.zeros(0)
             yield pa.record_batch([batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), len(names)))), pa.array(names * batch.num_rows, pa.string()), pa.array(flat)], names=[key, "field", "n_tokens"])
