@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -48,3 +49,35 @@ def test_one_long_body_over_many_tiles(spark):
     got = shapes.connected_components(snake.union(apart), "mask", neighbours=6, tile=16).groupBy("component").count().orderBy("component").collect()
     assert [tuple(r) for r in got] == [(1, 200 * 200 + 199), (2, 1)]
     assert shapes.connected_components(snake.limit(0), "mask").count() == 0
+
+
+def nearest(points, targets):
+    out = {}
+    for role, *t in targets:
+        for p in points:
+            out[role] = min(out.get(role, math.inf), math.dist(t, p))
+    return out
+
+
+@pytest.mark.parametrize(("spread", "cell"), [(1.0, 0.01), (100.0, 8.0), (5.0, 1000.0), (1e6, 1.0)])
+def test_nearest_distance_equals_all_pairs(spark, spread, cell):
+    rng = random.Random(spread)
+    at = lambda shift: tuple(rng.choice([rng.random(), rng.randint(0, 9) / 9]) * spread + shift for _ in "zyx")
+    points = [at(0) for _ in range(120)] * 2
+    targets = [(role, *at(shift)) for role, shift in (("a", 0), ("b", spread / 2), ("c", 30 * spread), ("d", -3 * spread)) for _ in range(50)] + [("e", *points[7])]
+    got = shapes.nearest_distance(spark.createDataFrame(points, "z double, y double, x double"), spark.createDataFrame(targets, "role string, z double, y double, x double"), cell)
+    assert {r.role: pytest.approx(r.distance, rel=1e-12) for r in got.collect()} == nearest(points, targets)
+
+
+def test_nearest_distance_with_nulls_and_nothing(spark):
+    points = spark.createDataFrame([(0.0, 0.0, None), (float("nan"), 0.0, 0.0), (1.0, 1.0, 1.0)], "z double, y double, x double")
+    targets = spark.createDataFrame([("a", 1.0, 1.0, 3.0, 5), (None, 1.0, 1.0, 1.0, 5), ("b", None, 1.0, 1.0, 5), ("c", 1.0, float("inf"), 1.0, 5)], "role string, z double, y double, x double, p int")
+    assert [tuple(r) for r in shapes.nearest_distance(points, targets, 1.0).collect()] == [("a", 2.0)]
+    assert shapes.nearest_distance(points.limit(0), targets, 1.0).count() == 0 and shapes.nearest_distance(points, targets.limit(0), 1.0).count() == 0
+
+
+def test_two_far_sets_are_not_compared_point_by_point(spark):
+    """Two sheets of 40,000 points; all pairs would be 1.6 thousand million."""
+    sheet = spark.range(40_000).selectExpr("double(id div 200) y", "double(id % 200) x")
+    points, targets = sheet.selectExpr("0d z", "y", "x"), sheet.selectExpr("1 role", "100 + (y * y + x) / 1000 z", "y", "x")
+    assert [tuple(r) for r in shapes.nearest_distance(points, targets, 4.0).collect()] == [(1, 100.0)]

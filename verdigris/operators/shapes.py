@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -148,23 +149,55 @@ def box_cover(points: DataFrame, by: list[str], size: tuple[int, int, int]) -> D
 def nearest_distance(points: DataFrame, targets: DataFrame, cell: float, by: str = "role") -> DataFrame:
     """The least distance from each target set to the points, both with z, y, x.
 
-    Points are put into cubes; a target point looks at its own and the 26 cubes around, which
-    holds the nearest point if it is within ``cell``. Sets without a point that near are done
-    again with doubled cubes, so no set is compared with all points.
+    Cubes of both sides are halved until they are ``cell`` wide or less, all sets at once. What is kept of a
+    level are pairs of cubes whose nearest sides are no farther apart than the farthest corners of the
+    set's best pair; the next level looks into these alone. Points meet points only in the last pairs.
+    Each level is written to the shared folder; the driver sees the bounds of all coordinates, no rows.
+
+    Cases: points with a null or non-finite coordinate and targets without a set take no part; repeated points
+    count once; a set without targets, or any set where there are no points, gives no row; other columns are not read.
     """
-    out, left, width = None, targets, cell
-    spark = points.sparkSession
-    for _ in range(24):
-        cube = lambda df: df.withColumns({f"c{c}": F.floor(F.col(c) / width).cast("bigint") for c in "zyx"})  # noqa: E731,B023
-        near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
-        grown = cube(left).withColumn("s", F.explode(near)).select(by, F.col("z").alias("tz"), F.col("y").alias("ty"), F.col("x").alias("tx"), (F.col("cz") + F.col("s.a")).alias("cz"), (F.col("cy") + F.col("s.b")).alias("cy"), (F.col("cx") + F.col("s.c")).alias("cx"))
-        d = F.sqrt(F.pow(F.col("z") - F.col("tz"), 2) + F.pow(F.col("y") - F.col("ty"), 2) + F.pow(F.col("x") - F.col("tx"), 2))
-        found = grown.join(cube(points).select("z", "y", "x", "cz", "cy", "cx"), ["cz", "cy", "cx"]).groupBy(by).agg(F.min(d).alias("distance")).where(F.col("distance") <= width)
-        rows = [(r[by], r["distance"]) for r in found.collect()]
-        part = spark.createDataFrame(rows, f"{by} {dict(targets.dtypes)[by]}, distance double")
-        out = part if out is None else out.union(part)
-        left = left.join(F.broadcast(part.select(by)), by, "left_anti")
-        if left.isEmpty():
-            break
-        width *= 2
-    return out
+    axes, far = "zyx", float("inf")
+
+    def clean(df: DataFrame, *more: str) -> DataFrame:
+        usable = F.lit(True)
+        for c in axes:
+            usable = usable & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < far)
+        for c in more:
+            usable = usable & F.col(c).isNotNull()
+        return df.select(*more, *[F.col(c).cast("double").alias(c) for c in axes]).where(usable)
+
+    points, targets = clean(points), clean(targets, by)
+    low, span, levels = _frame(points.unionByName(targets.drop(by)), cell)
+    at = lambda c: F.least(F.floor((F.col(c) - F.lit(low[c])) / F.lit(span) * F.lit(float(1 << levels))).cast("bigint"), F.lit((1 << levels) - 1))
+    cube = lambda level, name: F.struct(*[F.shiftright(at(c), levels - level).alias(c) for c in axes]).alias(name)
+    up = lambda name: F.struct(*[F.shiftright(f"{name}.{c}", 1).alias(c) for c in axes])
+    root = F.struct(*[F.lit(0).cast("bigint").alias(c) for c in axes])
+    pairs = targets.select(by).distinct().select(by, root.alias("t"), root.alias("p"), F.lit(far).alias("best"))
+    # a coordinate that rounding puts on the wrong side of a wall is off by far less than this share of a cube
+    within = lambda best: F.sqrt("near") <= F.sqrt(best) + F.lit(1e-3)
+    for level in range(1, levels + 1):
+        mine = targets.select(by, cube(level, "tc")).distinct().withColumn("t", up("tc"))
+        theirs = points.select(cube(level, "pc")).distinct().withColumn("p", up("pc"))
+        near, most = F.lit(0.0), F.lit(0.0)
+        for c in axes:
+            apart = F.abs(F.col(f"tc.{c}") - F.col(f"pc.{c}")).cast("double")
+            near, most = near + F.pow(F.greatest(apart - 1, F.lit(0.0)), 2), most + F.pow(apart + 1, 2)
+        children = pairs.join(mine, [by, "t"]).join(theirs, "p").select(by, F.col("tc").alias("t"), F.col("pc").alias("p"), near.alias("near"), most.alias("most"), "best")
+        found = stored(children.where(within(F.col("best") * 4)).drop("best"), "cubes")
+        best = found.groupBy(by).agg(F.min("most").alias("best"))
+        pairs = found.join(best, by).where(within(F.col("best"))).select(by, "t", "p", "best")
+    d = F.sqrt(F.pow(F.col("z") - F.col("tz"), 2) + F.pow(F.col("y") - F.col("ty"), 2) + F.pow(F.col("x") - F.col("tx"), 2))
+    mine = targets.distinct().select(by, cube(levels, "t"), *[F.col(c).alias(f"t{c}") for c in axes])
+    theirs = points.distinct().select(cube(levels, "p"), *axes)
+    return pairs.join(mine, [by, "t"]).join(theirs, "p").groupBy(by).agg(F.min(d).alias("distance"))
+
+
+def _frame(points: DataFrame, cell: float) -> tuple[dict[str, float], float, int]:
+    """Least coordinates, the edge of a cube around all points, and how often it is halved until it is ``cell`` or less; 40 halvings are still told apart by doubles."""
+    ends = points.agg(*[f(c).alias(f"{name}{c}") for c in "zyx" for name, f in (("low", F.min), ("high", F.max))]).first()
+    if ends.lowz is None:
+        return dict.fromkeys("zyx", 0.0), 1.0, 1
+    low = {c: ends[f"low{c}"] for c in "zyx"}
+    span = max(ends[f"high{c}"] - low[c] for c in "zyx") or 1.0
+    return low, span, min(max(1, math.ceil(math.log2(span / cell))), 40)
