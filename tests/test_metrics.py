@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -104,3 +105,22 @@ def test_bootstrap_is_repeatable_and_brackets_the_rate(spark):
     a, b = (metrics.resampled_interval(rows, "patient_group_id", 100, 3).first() for _ in range(2))
     rate = metrics.robustness_metrics(rows).first().sensitivity
     assert a == b and a.sensitivity_low <= rate <= a.sensitivity_high
+
+
+@pytest.mark.parametrize("strata", [1, 3])
+def test_resamples_draw_as_many_rows_as_there_are(spark, strata):
+    rng = random.Random(strata)
+    rows = [(f"k{i}", f"s{i % strata}" if i % 7 else None, rng.randint(0, 3), rng.randint(0, 60), rng.randint(0, 1)) for i in range(400)]
+    cells = spark.createDataFrame(rows, "key string, s string, a long, b long, c long")
+    got = {r.resample: (r.drawn, r.a, r.b, r.c) for r in metrics.resampled_counts(cells, ["key"], ["a", "b", "c"], F.col("s"), 40, 9).collect()}
+    ranked = {}
+    for key, s, *counts in sorted(rows, key=lambda r: r[2:]):
+        ranked.setdefault(s or "", []).append(counts)
+    for resample in range(40):
+        want = [0, 0, 0, 0]
+        for key, s, *_ in rows:
+            own = ranked[s or ""]
+            drawn = own[int(hashlib.sha256(f"9|{resample}|{key}".encode()).hexdigest()[:12], 16) % len(own)]
+            want = [want[0] + 1, *(x + y for x, y in zip(want[1:], drawn, strict=True))]
+        assert got[resample] == tuple(want) and want[0] == len(rows)
+    assert len(got) == 40

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio, wilson
@@ -255,25 +255,49 @@ def audit_flags(change: Column, margin: Column, percentile: Column, candidates:
     return F.filter(flags, lambda f: f.isNotNull())
 
 
+#: Parts of the numbers of a stratum's groups by which draws find the counts that they stand for.
+PARTS = 1024
+
+
+def resampled_counts(cells: DataFrame, keys: Sequence[str], columns: Sequence[str], stratum: Column, resamples: int, seed: int) -> DataFrame:
+    """Sums of ``columns`` (whole numbers, the first two telling most rows apart) over bootstrap draws of the rows of ``cells``, which ``keys`` name.
+
+    Returns resample (from 0), drawn, and the sums. Each row draws once in each resample, by a hash of
+    (seed, resample, keys), a number below the count of its stratum's rows; so a resample draws exactly as many
+    rows of each stratum as it has, with replacement. Rows with the same columns are interchangeable: they are counted,
+    the counts take ranges of numbers, and a draw looks up the range of its number. Draws are added up where
+    they are made; they are not shuffled as long as the different counts are few enough for Spark to send them to all tasks.
+    """
+    rows = cells.withColumn("__stratum", F.coalesce(stratum.cast("string"), F.lit("")))
+    kinds = rows.groupBy("__stratum", *columns).agg(F.count("*").alias("__m"))
+    first, second = columns[:2], columns[2:]
+    before = lambda total, part, order: F.coalesce(F.sum(total).over(Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = Window.partitionBy("__stratum")
+    heads = kinds.groupBy("__stratum", *first).agg(F.sum("__m").alias("__h"))
+    heads = heads.select("__stratum", *first, before("__h", ["__stratum"], first).alias("__before"), F.sum("__h").over(whole).alias("__total"))
+    begin = F.col("__before") + before("__m", ["__stratum", *first], second)
+    ranges = kinds.join(heads, ["__stratum", *first]).select("__stratum", *columns, "__total", "__m", begin.alias("__begin")).withColumn("__end", F.col("__begin") + F.col("__m"))
+    part = lambda number: F.floor(number * PARTS / F.col("__total"))
+    ranges = ranges.withColumn("__part", F.explode(F.sequence(part(F.col("__begin")), part(F.col("__end") - 1))))
+    totals = rows.groupBy("__stratum").agg(F.count("*").alias("__total"))
+    number = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "resample", *keys), 256), 1, 12), 16, 10).cast("bigint")
+    draws = rows.select("__stratum", *keys).withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).join(totals, "__stratum")
+    draws = draws.select("__stratum", "resample", F.pmod(number, F.col("__total")).alias("__number"), "__total").withColumn("__part", part(F.col("__number"))).drop("__total")
+    inside = (F.col("__number") >= F.col("__begin")) & (F.col("__number") < F.col("__end"))
+    return draws.join(ranges, ["__stratum", "__part"]).where(inside).groupBy("resample").agg(F.count("*").alias("drawn"), *[F.sum(c).alias(c) for c in columns])
+
+
 def resampled_interval(rows: DataFrame, group: str, resamples: int, seed: int, by_label: bool = False) -> DataFrame:
     """Bootstrap of whole groups: percentile interval of penalized sensitivity and specificity.
 
-    Each group is drawn a Poisson(1) number of times in each resample, the limit of drawing
-    with replacement, by a hash of (seed, resample, group): the draw needs no random state, no
-    join and no order, and any executor can repeat it. The counts of a group are summed before
-    they are multiplied out, so the work grows with groups times resamples.
+    Each resample draws, with replacement, as many groups as there are (``by_label``: of each label), by hashes:
+    the draw needs no random state and no order, and any executor can repeat it. The counts of a group are
+    summed before groups are drawn, so the work grows with groups times resamples.
     """
     keys = [group, "label"] if by_label else [group]
     right = ~F.coalesce(F.col("technical_failure"), F.lit(False)) & F.coalesce(F.col("prediction") == F.col("label"), F.lit(False))
     cells = rows.groupBy(*keys).agg(F.count_if(right & (F.col("label") == "POSITIVE")).alias("tp"), F.count_if(F.col("label") == "POSITIVE").alias("p"), F.count_if(right & (F.col("label") == "NEGATIVE")).alias("tn"), F.count_if(F.col("label") == "NEGATIVE").alias("n"))
-    drawn = cells.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    unit = (F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "resample", *keys), 256), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
-    times, tail, p = F.lit(0), 1.0, 0.36787944117144233
-    for k in range(8):
-        tail -= p
-        times = times + (unit > F.lit(1 - tail)).cast("int")
-        p /= k + 1
-    sums = drawn.withColumn("w", times).groupBy("resample").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("tp", "p", "tn", "n")])
+    sums = resampled_counts(cells, keys, ["p", "n", "tp", "tn"], F.col("label") if by_label else F.lit(""), resamples, seed)
     rates = sums.select(ratio(F.col("tp"), F.col("p"), 0.0).alias("sensitivity"), ratio(F.col("tn"), F.col("n"), 0.0).alias("specificity"))
     ends = [F.percentile(c, F.lit(q)).alias(f"{c}_{name}") for c in ("sensitivity", "specificity") for name, q in (("low", 0.025), ("high", 0.975))]
     return rates.agg(F.count("*").alias("resamples"), *ends)

@@ -282,23 +282,14 @@ def class_map_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", ranked[0].alias("top1"), ranked[1].alias("top2"))
 
 
-def _poisson_steps() -> list[float]:
-    """Where a uniform number must be above for one more draw, two, and so on: the Poisson(1) distribution's steps."""
-    out, tail, p = [], 1.0, 0.36787944117144233
-    for k in range(8):
-        tail -= p
-        out.append(1 - tail)
-        p /= k + 1
-    return out
-
-
-def _bootstrap(group: str, resamples: int, extra: str = "") -> str:
-    draws = " + ".join(f"(u > {step!r}::double)::int" for step in _poisson_steps())
+def _bootstrap(group: str, resamples: int, label: bool = False) -> str:
     return f"""
 with {PREDICTIONS}, marked as (select {group} as g, label, not technical_failure and coalesce(said = label, false) as hit from predictions),
-cells as (select g, {"label as l, " if extra else ""}count(*) filter (hit and label = 'POSITIVE') as tp, count(*) filter (label = 'POSITIVE') as p, count(*) filter (hit and label = 'NEGATIVE') as tn, count(*) filter (label = 'NEGATIVE') as n from marked group by all),
-drawn as (select r, tp, p, tn, n, (('0x' || substr(sha256('20260724|' || r || '|' || g{extra}), 1, 12))::bigint::double + 0.5) / 281474976710656.0::double as u from cells, generate_series(0, {resamples - 1}) t(r)),
-weighted as (select *, {draws} as w from drawn), sums as (select r, sum(tp * w) as tp, sum(p * w) as p, sum(tn * w) as tn, sum(n * w) as n from weighted group by 1),
+cells as (select g, {"label" if label else "''"} as l, count(*) filter (hit and label = 'POSITIVE') as tp, count(*) filter (label = 'POSITIVE') as p, count(*) filter (hit and label = 'NEGATIVE') as tn, count(*) filter (label = 'NEGATIVE') as n from marked group by all),
+kinds as (select l, p, n, tp, tn, count(*) as m from cells group by all), totals as (select l, count(*) as total from cells group by 1),
+begins as (select *, sum(m) over (partition by l order by p, n, tp, tn) - m as b from kinds),
+drawn as (select r, l, ('0x' || substr(sha256('20260724|' || r || '|' || g{" || '|' || l" if label else ""}), 1, 12))::bigint % total as b from cells join totals using (l), generate_series(0, {resamples - 1}) t(r)),
+sums as (select r, sum(tp) as tp, sum(p) as p, sum(tn) as tn, sum(n) as n from drawn asof join begins using (l, b) group by 1),
 rates as (select coalesce(tp / nullif(p, 0), 0.0)::double as se, coalesce(tn / nullif(n, 0), 0.0)::double as sp from sums)
 select count(*) as resamples, quantile_cont(se, 0.025) as sensitivity_low, quantile_cont(se, 0.975) as sensitivity_high, quantile_cont(sp, 0.025) as specificity_low, quantile_cont(sp, 0.975) as specificity_high from rates
 """
@@ -310,7 +301,7 @@ def group_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.resampled_interval(predictions(spark, sf_dir), "patient_group_id", 2000, 20260724)
 
 
-@query(_bootstrap("case_id", 10_000, " || '|' || l"))
+@query(_bootstrap("case_id", 10_000, True))
 def stratified_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases resampled inside their label."""
     return metrics.resampled_interval(predictions(spark, sf_dir), "case_id", 10_000, 20260724, by_label=True)
