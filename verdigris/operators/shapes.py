@@ -172,8 +172,7 @@ def nearest_distance(points: DataFrame, targets: DataFrame, cell: float, by: str
     at = lambda c: F.least(F.floor((F.col(c) - F.lit(low[c])) / F.lit(span) * F.lit(float(1 << levels))).cast("bigint"), F.lit((1 << levels) - 1))
     cube = lambda level, name: F.struct(*[F.shiftright(at(c), levels - level).alias(c) for c in axes]).alias(name)
     up = lambda name: F.struct(*[F.shiftright(f"{name}.{c}", 1).alias(c) for c in axes])
-    root = F.struct(*[F.lit(0).cast("bigint").alias(c) for c in axes])
-    pairs = targets.select(by).distinct().select(by, root.alias("t"), root.alias("p"), F.lit(far).alias("best"))
+    pairs = targets.select(by, cube(0, "t")).distinct().select(by, "t", F.col("t").alias("p"), F.lit(far).alias("best"))
     # a coordinate that rounding puts on the wrong side of a wall is off by far less than this share of a cube
     within = lambda best: F.sqrt("near") <= F.sqrt(best) + F.lit(1e-3)
     for level in range(1, levels + 1):
