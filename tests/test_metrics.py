@@ -124,3 +124,12 @@ def test_resamples_draw_as_many_rows_as_there_are(spark, strata):
             want = [want[0] + 1, *(x + y for x, y in zip(want[1:], drawn, strict=True))]
         assert got[resample] == tuple(want) and want[0] == len(rows)
     assert len(got) == 40
+
+
+def test_bootstrap_draws_are_added_up_where_they_are_made(spark):
+    rows = [(f"k{i}" if i else None, "ab"[i % 2], i % 3, i % 5) for i in range(90)]
+    cells = spark.createDataFrame(rows, "key string, s string, a long, b long")
+    one, other = (metrics.resampled_counts(cells, ["key", "s"], ["a", "b"], F.col("s"), 30, 4, most) for most in (metrics.MOST_KINDS, 3))
+    assert sorted(one.collect()) == sorted(other.collect()) and one.count() == 30
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (one, other)]
+    assert "Generate" not in plans[0] and "Join" not in plans[0] and "Generate" in plans[1]

@@ -3,17 +3,21 @@
 Case rows have case_id, truth (positive / negative), prediction (POSITIVA / NEGATIVA /
 INCONCLUSIVA or null) and status (decisive, inconclusive, failure, timeout,
 invalid_response). What is not correct counts against its truth group, whatever kept it from
-being correct. All reports are single aggregations; nothing is collected.
+being correct. All reports are single aggregations; only the bootstrap collects, a table of its different counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio, wilson
+from .index import stored
 from .order import running_totals
 
 #: The states of a prediction and of a case, as result rows spell them.
@@ -255,21 +259,55 @@ def audit_flags(change: Column, margin: Column, percentile: Column, candidates:
     return F.filter(flags, lambda f: f.isNotNull())
 
 
-#: Parts of the numbers of a stratum's groups by which draws find the counts that they stand for.
+#: Parts of the numbers of a stratum's groups by which draws find the counts that they stand for, when these are too many for one table.
 PARTS = 1024
+#: Different counts that are sent to all tasks as one table, and draws of a task.
+MOST_KINDS, DRAWS = 200_000, 10_000_000
 
 
-def resampled_counts(cells: DataFrame, keys: Sequence[str], columns: Sequence[str], stratum: Column, resamples: int, seed: int) -> DataFrame:
+def resampled_counts(cells: DataFrame, keys: Sequence[str], columns: Sequence[str], stratum: Column, resamples: int, seed: int, most_kinds: int = MOST_KINDS) -> DataFrame:
     """Sums of ``columns`` (whole numbers, the first two telling most rows apart) over bootstrap draws of the rows of ``cells``, which ``keys`` name.
 
     Returns resample (from 0), drawn, and the sums. Each row draws once in each resample, by a hash of
     (seed, resample, keys), a number below the count of its stratum's rows; so a resample draws exactly as many
     rows of each stratum as it has, with replacement. Rows with the same columns are interchangeable: they are counted,
-    the counts take ranges of numbers, and a draw looks up the range of its number. Draws are added up where
-    they are made; they are not shuffled as long as the different counts are few enough for Spark to send them to all tasks.
+    the counts take ranges of numbers, and a draw looks up the range of its number. Rows are spread over tasks by
+    their draws, and a task gives one row a resample: draws are neither kept nor shuffled. Only where there are more
+    than ``most_kinds`` different counts, draws are shuffled to the ranges.
     """
-    rows = cells.withColumn("__stratum", F.coalesce(stratum.cast("string"), F.lit("")))
+    name = F.concat_ws("|", F.lit(""), *keys)
+    rows = stored(cells.select(F.coalesce(stratum.cast("string"), F.lit("")).alias("__stratum"), name.alias("__name"), *columns), "bootstrap-cells")
     kinds = rows.groupBy("__stratum", *columns).agg(F.count("*").alias("__m"))
+    if kinds.limit(most_kinds + 1).count() > most_kinds:
+        return _joined_draws(rows, kinds, columns, resamples, seed)
+    table = kinds.orderBy("__stratum", *columns).toArrow()
+    of, m = table.column("__stratum").to_pylist(), table.column("__m").to_numpy()
+    values = np.stack([table.column(c).to_numpy() for c in columns], axis=1)
+    edges = [k for k in range(len(of)) if k == 0 or of[k] != of[k - 1]] + [len(of)]
+    ranges = {of[a]: (np.cumsum(m[a:b]), values[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)}
+    tasks = min(max(1, -(-int(m.sum()) * resamples // DRAWS)), 8192)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = [b"%d|%d" % (seed, r) for r in range(resamples)]
+        sums, drawn = np.zeros((resamples, len(columns)), np.int64), 0
+        for batch in batches:
+            for s, tail in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ends, counts = ranges[s]
+                tail = tail.encode()
+                digests = b"".join([hashlib.sha256(head + tail).digest() for head in heads])
+                number = (np.frombuffer(digests, ">u8")[::4] >> np.uint64(16)).astype(np.int64) % ends[-1]
+                sums += counts[np.searchsorted(ends, number, "right")]
+                drawn += 1
+        if drawn:
+            yield pa.record_batch([pa.array(np.arange(resamples, dtype=np.int32)), pa.array(np.full(resamples, drawn)), *[pa.array(c) for c in sums.T]], names=["resample", "drawn", *columns])
+
+    spread = rows.select("__stratum", "__name").repartition(tasks, "__name")
+    found = spread.mapInArrow(draw, f"resample int, drawn bigint, {', '.join(f'`{c}` bigint' for c in columns)}")
+    return found.groupBy("resample").agg(*[F.sum(c).alias(c) for c in ("drawn", *columns)])
+
+
+def _joined_draws(rows: DataFrame, kinds: DataFrame, columns: Sequence[str], resamples: int, seed: int) -> DataFrame:
+    """The same, by a join of all draws with the ranges."""
     first, second = columns[:2], columns[2:]
     before = lambda total, part, order: F.coalesce(F.sum(total).over(Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     whole = Window.partitionBy("__stratum")
@@ -280,8 +318,8 @@ def resampled_counts(cells: DataFrame, keys: Sequence[str], columns: Sequence[st
     part = lambda number: F.floor(number * PARTS / F.col("__total"))
     ranges = ranges.withColumn("__part", F.explode(F.sequence(part(F.col("__begin")), part(F.col("__end") - 1))))
     totals = rows.groupBy("__stratum").agg(F.count("*").alias("__total"))
-    number = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "resample", *keys), 256), 1, 12), 16, 10).cast("bigint")
-    draws = rows.select("__stratum", *keys).withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).join(totals, "__stratum")
+    number = F.conv(F.substring(F.sha2(F.concat(F.concat_ws("|", F.lit(seed), "resample"), "__name"), 256), 1, 12), 16, 10).cast("bigint")
+    draws = rows.select("__stratum", "__name").withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).join(totals, "__stratum")
     draws = draws.select("__stratum", "resample", F.pmod(number, F.col("__total")).alias("__number"), "__total").withColumn("__part", part(F.col("__number"))).drop("__total")
     inside = (F.col("__number") >= F.col("__begin")) & (F.col("__number") < F.col("__end"))
     return draws.join(ranges, ["__stratum", "__part"]).where(inside).groupBy("resample").agg(F.count("*").alias("drawn"), *[F.sum(c).alias(c) for c in columns])
