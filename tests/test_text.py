@@ -150,3 +150,15 @@ def test_search_shuffles_neither_postings_nor_hits(spark, monkeypatch):
             if gains > 5:
                 shuffles = re.findall(r"Exchange hashpartitioning\(([^#]*)", found._jdf.queryExecution().executedPlan().toString())
                 assert set(shuffles) == {"__query"}
+
+
+def test_texts_are_parsed_once(spark):
+    """No expression over a text stands in a plan twice, as a filter that asks whether it gives anything would make it."""
+    pages = spark.createDataFrame([(1, "<h1>A</h1><p>" + "one &amp; two. " * 40 + "</p>"), (2, "<p>short</p>"), (3, None)], "page_id int, html string")
+    docs = spark.createDataFrame([("a", "one two one"), ("b", ""), ("c", None)], "chunk_id string, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    shown = chunking.to_markdown(pages)
+    assert [r.page_id for r in shown.collect()] == [1] and plan(shown).count(chunking.SKIPPED) == 1
+    assert plan(chunking.chunk(docs, "chunk_id")).count("#{1,6}") == plan(docs.select(chunking.sections(F.col("text")).alias("s"))).count("#{1,6}")
+    posted = retrieval.postings(docs)
+    assert sorted(tuple(r) for r in posted.collect()) == [("a", "one", 2), ("a", "two", 1)] and plan(posted).count("[^\\W_]++(?:") == 1

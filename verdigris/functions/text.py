@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The two token patterns. A chunk's tokens are words (with inner - and ') and single
@@ -19,6 +19,15 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def exploded(rows: DataFrame, keep: Sequence[str | Column], values: Column, *names: str) -> DataFrame:
+    """``keep`` and a row for each element of ``values``, none of them null; two names are for its place and itself.
+
+    A plain explode lets Spark ask beforehand whether there are elements at all, which computes ``values`` once more for that.
+    """
+    explode = F.explode_outer if len(names) == 1 else F.posexplode_outer
+    return rows.select(*keep, explode(values).alias(*names)).where(F.col(names[-1]).isNotNull())
+
+
 def normalize(text: Column) -> Column:
     """Unix line ends, single spaces, stripped lines, at most one blank line in a row, no blank ends."""
     lines = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[ \t]+", " ")

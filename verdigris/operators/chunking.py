@@ -40,6 +40,10 @@ def _replaced(text: Column, *rules: tuple[str, str]) -> Column:
 
 def unescaped(text: Column) -> Column:
     """Character references (decimal, hexadecimal, and the names of the language's own table) as characters; unknown names stay."""
+    return T.bound(text, _unescaped)
+
+
+def _unescaped(text: Column) -> Column:
     reference = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
     named = F.create_map(*[F.lit(x) for item in sorted(name2codepoint.items()) for x in item])
 
@@ -122,15 +126,15 @@ def section_chunks(body: Column, most: int, overlap: int) -> Column:
 
 def to_markdown(pages: DataFrame, key: str = "page_id", html: str = "html", least: int = LEAST_CHARACTERS) -> DataFrame:
     """(key, markdown) of pages whose text has at least ``least`` characters; null pages have none."""
-    return pages.select(key, markdown(F.col(html)).alias("markdown")).where(F.length("markdown") >= least)
+    return T.exploded(pages, [key], F.filter(F.array(markdown(F.col(html))), lambda m: F.length(m) >= least), "markdown")
 
 
 def chunk(documents: DataFrame, key: str = "doc_id", text: str = "text", most: int = 350, overlap: int = 50) -> DataFrame:
     """(key, ordinal, chunk_id, section, text, token_count): chunk ids are key::chunk_0001 and on. Null texts have no chunks."""
     if most <= 0 or not 0 <= overlap < most:
         raise ValueError("0 <= overlap < most")
-    rows = documents.select(F.col(key), F.flatten(F.transform(sections(F.col(text)), lambda s: F.transform(section_chunks(s["body"], most, overlap), lambda c: F.struct(s["title"].alias("section"), c.alias("text"))))).alias("chunks"))
-    out = rows.select(F.col(key), F.posexplode("chunks").alias("k", "c")).select(F.col(key), (F.col("k") + 1).alias("ordinal"), "c.section", "c.text")
+    chunks = F.flatten(F.transform(sections(F.col(text)), lambda s: F.transform(section_chunks(s["body"], most, overlap), lambda c: F.struct(s["title"].alias("section"), c.alias("text")))))
+    out = T.exploded(documents, [key], chunks, "k", "c").select(F.col(key), (F.col("k") + 1).alias("ordinal"), "c.section", "c.text")
     name = F.concat(F.col(key).cast("string"), F.lit("::chunk_"), F.when(F.col("ordinal") < 10_000, F.lpad(F.col("ordinal").cast("string"), 4, "0")).otherwise(F.col("ordinal").cast("string")))
     return out.select(key, "ordinal", name.alias("chunk_id"), "section", "text", T.token_count(F.col("text")).alias("token_count"))
 
