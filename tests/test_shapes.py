@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from verdigris.operators import shapes
@@ -41,6 +43,26 @@ def test_components_equal_a_flood_fill(spark, neighbours, tile, least, share):
     assert sorted(tuple(r) for r in shapes.connected_components(df, "mask", least, neighbours, tile).collect()) == brute(points, neighbours, least)
 
 
+@pytest.mark.parametrize("size", [1, 5, 1000])
+def test_many_cubes_are_labelled_together(size):
+    """Cubes of many masks in one pass, whatever batches and cubes' ends come together; one group of rows a cube took a call each."""
+    draw = random.Random(size)
+    cubes = [(mask, cube, 0, 0) for mask in (None, 1, 2, 3) for cube in (-1, 0)]
+    points = [(*c, cell) for c in cubes for cell in range(64) for _ in range(draw.choice([0, 0, 1, 2]))]
+    columns = [pa.array(v, pa.int32() if k == 4 else pa.int64()) for k, v in enumerate(zip(*points, strict=True))]
+    whole = pa.record_batch(columns, names=["mask", "__z", "__y", "__x", "cell"])
+    found = []
+    for batch in shapes._tiles_labelled(shapes._steps(18), 4, 7)(whole.slice(k, size) for k in range(0, len(points), size)):
+        found += [((r["mask"], r["__z"], r["__y"], r["__x"]), r["cell"], r["cells"]) for r in batch.to_pylist()]
+    wanted = []
+    for c in cubes:
+        parts = {}
+        for _, number, *at in brute([(0, *np.unravel_index(p[4], (4, 4, 4))) for p in points if p[:4] == c], 18, 1):
+            parts.setdefault(number, []).append(int(np.ravel_multi_index(at, (4, 4, 4))))
+        wanted += [(c, min(cells), sorted(cells)) for cells in parts.values()]
+    assert sorted(found, key=str) == sorted(wanted, key=str)
+
+
 def test_one_long_body_over_many_tiles(spark):
     # a snake through all rows of a plane, joined at alternating ends, and one point apart
     rows = spark.range(200 * 200).selectExpr("'m' as mask", "0 as z", "cast(id div 200 as int) as r", "cast(id % 200 as int) as x")

@@ -90,9 +90,9 @@ def scanned(placed: DataFrame, by: Sequence[str], value: str, scans: Mapping[str
 
 
 def dealt(rows: DataFrame, by: Sequence[str], order: Column, key: str, alias: str, cell: Column | None = None) -> DataFrame:
-    """Adds each row's place (from 0) in its group in the order of a text, equal ones by ``key``.
+    """Adds each row's place (from 0) in its group in the order of a text or another value, equal ones by ``key``.
 
-    ``cell`` is a beginning of that text, its first three characters unless given: rows are counted by
+    ``cell`` is a beginning of that value, of a text its first three characters unless given: rows are counted by
     cell, the cells' counts are added up, and rows are ranked inside cells, so that no task ranks a whole group.
     """
     placed = rows.withColumn("__order", order)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .index import stored
@@ -24,14 +25,11 @@ def _steps(neighbours: int) -> list[tuple[int, int, int]]:
     return [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if 0 < abs(a) + abs(b) + abs(c) <= most and (a, b, c) > (0, 0, 0)]
 
 
-def _tile_roots(at: np.ndarray, steps: Sequence[tuple[int, int, int]]) -> np.ndarray:
-    """For points in their order (z, y, x) without repeats, the number of the first point that each one is joined to."""
-    at = at - at.min(axis=0) + 1
-    shape = at.max(axis=0) + 2
-    flat = (at[:, 0] * shape[1] + at[:, 1]) * shape[2] + at[:, 2]
+def _roots(flat: np.ndarray, apart: Sequence[int]) -> np.ndarray:
+    """For ascending numbers, the place of the first one that each is joined to, where those so far apart are joined."""
     parent = np.arange(len(flat))
-    for step in steps:
-        other = flat + (step[0] * shape[1] + step[1]) * shape[2] + step[2]
+    for step in apart:
+        other = flat + step
         place = np.minimum(np.searchsorted(flat, other), len(flat) - 1)
         pairs = np.flatnonzero(flat[place] == other)
         a, b = pairs, place[pairs]
@@ -41,14 +39,61 @@ def _tile_roots(at: np.ndarray, steps: Sequence[tuple[int, int, int]]) -> np.nda
                 ra = parent[ra]
             while (parent[rb] != rb).any():
                 rb = parent[rb]
-            apart = ra != rb
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+            differ = ra != rb
+            a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
             np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
     while (parent[parent] != parent).any():
         parent = parent[parent]
     return parent
 
 
+def _tiles_labelled(steps: Sequence[tuple[int, int, int]], tile: int, most: int = 1 << 18):
+    """Rows (group, cube, places in the cube), sorted, as a row a component of a cube: group, cube, its first place, its places.
+
+    Many cubes are labelled at once; of what came, whole cubes go on and the last, which may go on, is kept.
+    """
+    edge = tile + 2  # cubes stand apart by a layer on each side
+    apart = [(z * edge + y) * edge + x for z, y, x in steps]
+
+    def label(part: pa.RecordBatch, number: np.ndarray) -> pa.RecordBatch:
+        cell = part.column(4).to_numpy()
+        fresh = np.concatenate(([True], (cell[1:] != cell[:-1]) | (number[1:] != number[:-1])))
+        rows, cell = np.flatnonzero(fresh), cell[fresh].astype(np.int64)
+        z, y, x = cell // tile**2, cell // tile % tile, cell % tile
+        root = _roots(((number[rows].astype(np.int64) * edge + z + 1) * edge + y + 1) * edge + x + 1, apart)
+        order = np.argsort(root, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], root[order][1:] != root[order][:-1])))
+        cells = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(cell[order].astype(np.int32)))
+        own = part.take(pa.array(rows[order[first]]))
+        return pa.record_batch([*own.columns, cells], names=[*own.schema.names, "cells"])
+
+    def numbers(rows: pa.RecordBatch) -> np.ndarray:
+        """Of the cube of each row."""
+        new = np.zeros(rows.num_rows, dtype=bool)
+        for column in rows.columns[:4]:
+            codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+        return np.cumsum(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < most:
+                continue
+            rows = pa.concat_batches(held)
+            number = numbers(rows)
+            end = int(np.searchsorted(number, number[-1]))
+            held = [rows.slice(end)]
+            if end:
+                yield label(rows.slice(0, end), number[:end])
+        if held and sum(b.num_rows for b in held):
+            rows = pa.concat_batches(held)
+            yield label(rows, numbers(rows))
+
+    return run
+
+
 def _contracted(links: DataFrame, by: str) -> DataFrame:
     """(by, node, least) for the nodes of links (by, a, b): the least node that can be reached, by least labels of neighbours and labels of labels, a stored table a round."""
     both = stored(links.unionByName(links.select(by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "tile-links")
@@ -72,38 +117,44 @@ def connected_components(points: DataFrame, by: str, least: int = 1, neighbours:
     """
     steps = _steps(neighbours)
     axes = ["z", "y", "x"]
-    cubes = [F.floor(F.col(c) / F.lit(tile)).cast("bigint").alias(f"__{c}") for c in axes]
+    cubes = [f"__{c}" for c in axes]
     kinds = dict(points.dtypes)
-    root = {f"__r{c}": f"`__r{c}` {kinds[c]}" for c in axes}
 
-    def label(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(axes).reset_index(drop=True)
-        first = frame[axes].iloc[_tile_roots(frame[axes].to_numpy(np.int64), steps)].reset_index(drop=True)
-        return pd.concat([frame[[by, *axes]], first.set_axis(list(root), axis=1)], axis=1)
+    def placed(cell: Column) -> list[Column]:
+        """Coordinates of a place in its row's cube."""
+        inside = {"z": F.floor(cell / F.lit(tile * tile)), "y": F.floor(cell / F.lit(tile)) % tile, "x": cell % tile}
+        return [(F.col(f"__{c}") * tile + inside[c]).cast(kinds[c]).alias(c) for c in axes]
 
     whole = F.lit(True)
     for c in axes:
         whole = whole & F.col(c).isNotNull()
-    rows = points.where(whole).select(by, *axes).distinct().select(by, *axes, *cubes)
-    tiled = rows.groupBy(by, *[f"__{c}" for c in axes]).applyInPandas(label, f"`{by}` {kinds[by]}, z {kinds['z']}, y {kinds['y']}, x {kinds['x']}, {', '.join(root.values())}")
-    tiled = stored(tiled.select(by, *axes, F.struct(*[F.col(f"__r{c}").alias(c) for c in axes]).alias("node")), "tiles")
-    # a step leads out of its cube from an outer layer only, so few points are looked up
+    cell = F.lit(0)
+    for c in axes:
+        cell = cell * tile + F.pmod(F.col(c), F.lit(tile)).cast("int")
+    rows = points.where(whole).select(by, *axes).distinct().select(by, *[F.floor(F.col(c) / F.lit(tile)).cast("bigint").alias(f"__{c}") for c in axes], cell.cast("int").alias("cell"))
+    rows = rows.repartition(by, *cubes).sortWithinPartitions(by, *cubes, "cell")
+    tiled = rows.mapInArrow(_tiles_labelled(steps, tile), f"`{by}` {kinds[by]}, {', '.join(f'`{c}` bigint' for c in cubes)}, cell int, cells array<int>")
+    tiled = stored(tiled.select(by, *cubes, F.struct(*placed(F.col("cell"))).alias("node"), "cells"), "tiles")
+    # a step leads out of its cube from an outer layer only, and only masks of several cubes have others, so few points are looked up
+    cube = F.struct(*cubes)
+    several = tiled.groupBy(by).agg((F.min(cube) != F.max(cube)).alias("several")).where("several").select(by)
     outer, moved = F.lit(False), F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(axes, step, strict=True)]) for step in steps])
     for c in axes:
         outer = outer | F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
-    rim = tiled.where(outer)
+    rim = tiled.join(several, by, "left_semi").select(by, *cubes, "node", F.explode("cells").alias("cell")).select(by, "node", *placed(F.col("cell"))).where(outer)
     ways = rim.select(by, F.col("node").alias("a"), *[F.col(c).alias(f"o{c}") for c in axes], F.explode(moved).alias("s")).select(by, "a", *[(F.col(f"o{c}") + F.col(f"s.{c}")).cast(kinds[c]).alias(c) for c in axes], *[F.floor(F.col(f"o{c}") / F.lit(tile)).alias(f"t{c}") for c in axes])
     across = F.lit(False)
     for c in axes:
         across = across | (F.floor(F.col(c) / F.lit(tile)) != F.col(f"t{c}"))
     links = ways.where(across).join(rim.select(by, *axes, F.col("node").alias("b")), [by, *axes]).select(by, "a", "b").where(F.col("a") != F.col("b"))
-    nodes = tiled.groupBy(by, "node").agg(F.count("*").alias("n"))
-    named = nodes.join(_contracted(links, by), [by, "node"], "left").withColumn("first", F.coalesce("least", "node"))
+    nodes = tiled.select(by, "node", F.size("cells").cast("bigint").alias("n"))
+    named = stored(nodes.join(_contracted(links, by), [by, "node"], "left").withColumn("first", F.coalesce("least", "node")).drop("least"), "tile-nodes")
     sizes = named.groupBy(by, "first").agg(F.sum("n").alias("size"))
-    place = lambda c: F.lpad(F.hex(F.col(f"first.{c}").cast("bigint") + F.lit(1 << 62)), 16, "0")
-    numbers = dealt(sizes, [by], F.concat(*[place(c) for c in axes]), "first", "__place", cell=place("z")).where(F.col("size") >= least)
-    labelled = named.select(by, "node", "first").join(numbers.select(by, "first", (F.col("__place") + 1).alias("component")), [by, "first"]).select(by, "node", "component")
-    return tiled.join(labelled, [by, "node"]).select(by, "component", *axes)
+    # stored, as one stage of windows and joins would hold the sorted rows of all of them at once
+    numbers = stored(dealt(sizes, [by], F.col("first"), "first", "__place", cell=F.col("first.z")).where(F.col("size") >= least).select(by, "first", (F.col("__place") + 1).alias("component")), "tile-numbers")
+    labelled = stored(named.select(by, "node", "first").join(numbers, [by, "first"]).select(by, "node", "component"), "tile-components")
+    labelled = stored(tiled.join(labelled, [by, "node"]).select(by, "component", *cubes, "cells"), "labelled-tiles")
+    return labelled.select(by, "component", *cubes, F.explode("cells").alias("cell")).select(by, "component", *placed(F.col("cell")))
 
 
 def component_shapes(points: DataFrame, by: list[str], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
