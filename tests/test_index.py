@@ -1,8 +1,10 @@
 import random
 import re
 
+import duckdb
 import pytest
 
+from verdigris import catalog
 from verdigris.operators import index, retrieval
 
 
@@ -43,3 +45,26 @@ def test_other_forms_are_refused(spark, corpus, tmp_path):
     other.write.parquet(f"file://{tmp_path}/other/manifest")
     with pytest.raises(ValueError, match="form"):
         index.load(spark, f"file://{tmp_path}/other")
+
+
+def test_manifest_problems_of_odd_documents_equal_their_sql(spark, tmp_path):
+    odd = [(k, None if k % 5 == 1 else "" if k % 5 == 2 else f"text {k}", None if k % 7 == 3 else "" if k % 7 == 4 else "s") for k in range(-130, 200)]
+    odd += [(None, "text", "s"), *[(k, text, "s") for k in range(60, 130) for text in ("again", "again", None)]]  # repeated ids
+    spark.createDataFrame(odd, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(catalog.ORACLES["manifest_problems"]).fetchall())
+    assert sorted(tuple(r) for r in catalog.QUERIES["manifest_problems"](spark, str(tmp_path)).collect()) == want and len(want) > 600
+
+
+def test_manifest_rules_do_not_depend_on_the_order_of_rows(spark):
+    chunks = [("same", "x", "t", ["a"]), ("two", "x", "t", ["a"]), ("two", "y", "t", ["a"]), ("entries", "x", "t", ["a"]), ("none", None, "t", ["a"]), ("one_none", None, "t", ["a"]), ("alone", None, None, []), (None, "x", "", None)]
+    entries = [("same", "x"), ("two", "x"), ("entries", "x"), ("entries", None), ("none", None), ("one_none", "x"), ("gone", None), (None, "x")]
+    want = [("alone", "no_categories"), ("alone", "no_title"), ("alone", "not_in_manifest"), ("entries", "hash_differs"), ("entries", "id_repeated"), ("gone", "chunk_missing")]
+    want += [("one_none", "hash_differs"), ("two", "hash_differs"), ("two", "id_repeated"), ("~", "chunk_missing"), ("~", "no_categories"), ("~", "no_title"), ("~", "not_in_manifest")]
+    for step in (1, -1):
+        own = spark.createDataFrame(chunks[::step], "chunk_id string, sha256 string, title string, categories array<string>").coalesce(1)
+        entry = spark.createDataFrame(entries[::step], "chunk_id string, sha256 string").coalesce(1)
+        assert sorted((r.chunk_id or "~", r.rule) for r in index.manifest_problems(own, entry, ("title", "categories")).collect()) == want
+        with pytest.raises(ValueError, match="chunks and manifest differ"):
+            index.loaded(own.selectExpr("*", *[f"'x' as {c}" for c in ("doc_id", "section", "text", "priority", "url")]), entry)

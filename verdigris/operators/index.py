@@ -47,11 +47,16 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
 
 
 def manifest_problems(chunks: DataFrame, manifest: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
-    """(chunk_id, rule) for what keeps chunks from being loaded: chunks or entries without the other side, repeated ids, hashes that differ, empty fields."""
-    own = chunks.groupBy("chunk_id").agg(F.count("*").alias("__n"), F.first("sha256").alias("__own"))
-    entry = manifest.groupBy("chunk_id").agg(F.count("*").alias("__m"), F.first("sha256").alias("__entry"))
+    """(chunk_id, rule) for what keeps chunks from being loaded: chunks or entries without the other side, repeated ids, hashes that differ (any two of an id's), empty fields.
+
+    Every rule is named once an id. ``manifest_differences`` gives a row for every chunk and entry.
+    """
+    sides = ((chunks, "__n", "__own"), (manifest, "__m", "__entry"))
+    hashed = F.struct("sha256")  # a missing hash takes part in least and greatest
+    own, entry = (rows.groupBy("chunk_id").agg(F.count("*").alias(n), F.min(hashed).alias(f"{h}_least"), F.max(hashed).alias(f"{h}_greatest")) for rows, n, h in sides)
     both = own.join(entry, "chunk_id", "full")
-    rules = {"chunk_missing": F.col("__n").isNull(), "not_in_manifest": F.col("__m").isNull(), "id_repeated": (F.col("__n") > 1) | (F.col("__m") > 1), "hash_differs": ~F.col("__own").eqNullSafe(F.col("__entry")) & F.col("__n").isNotNull() & F.col("__m").isNotNull()}
+    differs = F.least("__own_least", "__entry_least") < F.greatest("__own_greatest", "__entry_greatest")
+    rules = {"chunk_missing": F.col("__n").isNull(), "not_in_manifest": F.col("__m").isNull(), "id_repeated": (F.col("__n") > 1) | (F.col("__m") > 1), "hash_differs": differs & F.col("__n").isNotNull() & F.col("__m").isNotNull()}
     found = F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]), lambda r: r.isNotNull())
     kinds = dict(chunks.dtypes)
     empty = lambda c: F.coalesce(F.size(c) == 0 if kinds[c].startswith("array") else F.col(c).cast("string") == "", F.lit(True))
@@ -59,6 +64,19 @@ def manifest_problems(chunks: DataFrame, manifest: DataFrame, fields: Sequence[s
     return both.select("chunk_id", F.explode(found).alias("rule")).union(lacking)
 
 
+def manifest_differences(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(chunk_id, rule) for every chunk beside every entry of its id where their hashes differ, and for every hash without the other side.
+
+    Two missing hashes do not differ, nor does one from a side that is missing. Equal hashes of an id are
+    joined as one row with their number, so that only pairs that differ are spread out.
+    """
+    counted = lambda rows, h, n: rows.groupBy("chunk_id", F.col("sha256").alias(h)).agg(F.count("*").alias(n))
+    both = counted(chunks, "__own", "__n").join(counted(manifest, "__entry", "__m"), "chunk_id", "full").where(~F.col("__own").eqNullSafe(F.col("__entry")))
+    rule = F.when(F.col("__n").isNull(), "chunk_missing").when(F.col("__m").isNull(), "not_in_manifest").otherwise("hash_differs")
+    times = lambda n: F.explode(F.array_repeat(F.lit(True), F.coalesce(F.col(n), F.lit(1)).cast("int")))
+    return both.select("chunk_id", rule.alias("rule"), "__m", times("__n")).select("chunk_id", "rule", times("__m")).select("chunk_id", "rule")
+
+
 def loaded(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
     """The manifest's chunks; any problem of ``manifest_problems`` is an error that names some."""
     problems = manifest_problems(chunks, manifest).limit(5).collect()
